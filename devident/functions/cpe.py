@@ -39,15 +39,16 @@ def cpe_parse(c: Column) -> Column:
 def with_cpe_fields(df: DataFrame, cpe: str, fields: dict[str, str]) -> DataFrame:
     """Add chosen CPE fields (field name to column name); the text is split once per row.
 
-    All are NULL for a malformed identifier; a field of a well-formed one is never NULL.
+    All are NULL for a malformed identifier; a field of a well-formed one is never NULL. The fields
+    come out of a generator of one row: a filter on them (joins infer such filters) is then not
+    rewritten into further splits.
     """
-    split = df.withColumn("_tokens", _tokens(F.col(cpe)))
     tokens = F.col("_tokens")
-    picked = {
-        column: F.when(_well_formed(tokens), F.get(tokens, F.lit(CPE_FIELDS.index(field) + 2)))
-        for field, column in fields.items()
-    }
-    return split.withColumns(picked).drop("_tokens")
+    picked = F.struct(
+        *[F.get(tokens, F.lit(CPE_FIELDS.index(field) + 2)).alias(column) for field, column in fields.items()]
+    )
+    one = F.when(_well_formed(tokens), F.array(picked))
+    return df.withColumn("_tokens", _tokens(F.col(cpe))).select(*df.columns, F.inline_outer(one))
 
 
 def cpe_is_valid(c: Column) -> Column:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # closes the wrapped document, so that text after it is seen
 _END = "--end of document--"
 
 
-def json_value(c: Column) -> Column:
-    """The document as a VARIANT; NULL for NULL, empty, broken text or text after the document."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), c, F.lit(f',"{_END}"]')))
-    closed = F.try_variant_get(wrapped, "$[1]", "string") == F.lit(_END)
-    return F.when(closed, F.variant_get(wrapped, "$[0]", "variant"))
+def with_json_value(df: DataFrame, document: str, out: str) -> DataFrame:
+    """Add the document as a VARIANT; NULL for NULL, empty, broken text or text after the document.
+
+    The parse is a column of its own, so that using its parts does not repeat it.
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(document), F.lit(f',"{_END}"]')))
+    closed = F.try_variant_get("_wrapped", "$[1]", "string") == F.lit(_END)
+    value = F.when(closed, F.try_variant_get("_wrapped", "$[0]", "variant"))
+    return df.withColumn("_wrapped", wrapped).withColumn(out, value).drop("_wrapped")
 
 
 def kind(v: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from devident.fixed_values import BARE_CPE_OBJECT, DEFAULT_TIER, FENCED_OBJECT
 from devident.functions.cpe import cpe_is_valid
-from devident.functions.documents import elements, json_value, keys, kind, member, stored_text, text, to_json_text
+from devident.functions.documents import elements, keys, kind, member, stored_text, text, to_json_text, with_json_value
 from devident.functions.text import matched
 
 # names of JSON kinds as they appear in stored error texts (fixed values)
@@ -26,8 +26,13 @@ def extract_object(df: DataFrame, raw: str, out: str = "parsed") -> DataFrame:
             "_bare": matched(F.col(raw), BARE_CPE_OBJECT, 0),
         }
     )
-    value = F.coalesce(json_value(F.col("_fenced")), json_value(F.col("_bare")))
-    return found.withColumn(out, value).drop("_fenced", "_bare")
+    fenced = with_json_value(found, "_fenced", "_fenced_value")
+    both = with_json_value(
+        fenced.withColumn("_bare", F.when(F.col("_fenced_value").isNull(), F.col("_bare"))), "_bare", "_bare_value"
+    )
+    return both.withColumn(out, F.coalesce("_fenced_value", "_bare_value")).drop(
+        "_fenced", "_bare", "_fenced_value", "_bare_value"
+    )
 
 
 def filter_predictions(df: DataFrame, parsed: str = "parsed") -> DataFrame:
@@ -91,7 +96,7 @@ def with_predictions(runs: DataFrame, json_column: str = "parsed_output_json") -
     its list is read in the row itself, so no join is needed to find such runs.
     """
     others = [c for c in runs.columns if c != json_column]
-    read = runs.select(*others, json_value(F.col(json_column)).alias("_document"))
+    read = with_json_value(runs, json_column, "_document")
     listed = read.select(*others, _stored_list(F.col("_document")).alias("_list"))
     rows = listed.select(*others, F.posexplode_outer("_list").alias("pos", "_item"))
     return rows.select(*others, "pos", stored_text(F.col("_item")).alias("predicted_cpe"))
@@ -110,14 +115,15 @@ def accepted_entries(truth: DataFrame) -> DataFrame:
     NULL; other elements are dropped. An object in place of the list offers its keys, a text its
     characters.
     """
-    read = truth.select(
-        F.col("id").alias("truth_id"), "device_id", json_value(F.col("accepted_cpes_json")).alias("_list")
+    read = with_json_value(
+        truth.select(F.col("id").alias("truth_id"), "device_id", "accepted_cpes_json"), "accepted_cpes_json", "_list"
     )
     top = F.col("_list")
     names = F.when(kind(top) == "OBJECT", keys(top)).when(kind(top) == "STRING", F.split(text(top), ""))
     items = F.coalesce(elements(top), F.transform(names, lambda n: n.cast("variant")))
+    # outer: the filter Spark infers for a plain explode would repeat the parse
     rows = read.select("truth_id", "device_id", items.alias("_items")).select(
-        "truth_id", "device_id", F.posexplode("_items").alias("pos", "_item")
+        "truth_id", "device_id", F.posexplode_outer("_items").alias("pos", "_item")
     )
     item = F.col("_item")
     plain = F.col("_kind") == "STRING"

@@ -50,10 +50,10 @@ def accepted_choices(accepted: DataFrame) -> DataFrame:
     """Candidates per label and (part, vendor, product): `_choices`, only the best tier, in list order.
 
     A group is part of one label row's own list, so it is never larger than that row was. Malformed
-    identifiers match nothing and are left out.
+    identifiers have NULL keys, which match nothing.
     """
     fields = {"part": "_part", "vendor": "_vendor", "product": "_product", "version": "_version"}
-    parsed = with_cpe_fields(accepted, "cpe", fields).filter(F.col("_part").isNotNull())
+    parsed = with_cpe_fields(accepted, "cpe", fields)
     rank = _tier_value(F.col("tier"), fixed.TIER_RANKS, 0)
     candidate = F.struct((-rank).alias("below"), "pos", F.col("_version").alias("version"), "cpe", "tier")
     grouped = parsed.groupBy(

@@ -2,11 +2,14 @@
 
 Every model table is a projection (or a key join) of a driver table, so its size grows with it:
 devices, sessions and inputs are customers, runs are orders, predictions are line items, scan
-documents are orders. `oracles.py` states the same formulas in SQL.
+documents are orders. `oracles.py` states the same formulas in SQL. Plans (not rows) are kept per
+session and folder.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from devident.operators import scoring
@@ -21,6 +24,7 @@ ACCEPTED = 16
 WILD = ":*:*:*:*:*:*:*"
 
 
+@lru_cache
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,6 +49,7 @@ def device_code(key: Column) -> Column:
     return _text("Customer#", F.lpad(key.cast("string"), 9, "0"))
 
 
+@lru_cache
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return with_defaults(
@@ -60,6 +65,7 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache
 def scan_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return with_defaults(
@@ -74,6 +80,7 @@ def scan_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache
 def aggregated_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     return with_defaults(
@@ -89,6 +96,7 @@ def aggregated_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache
 def scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two per BUILDING session, none for MACHINERY, else one."""
     segment = F.col("c_mktsegment")
@@ -110,6 +118,7 @@ def scan_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_defaults(
         load(spark, sf_dir, "region").select(
@@ -152,6 +161,7 @@ def stored_output() -> Column:
     )
 
 
+@lru_cache
 def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.col("o_orderpriority") == "5-LOW"
     failed = F.month("o_orderdate") == 12
@@ -198,6 +208,7 @@ def _entry(index: Column) -> Column:
     )
 
 
+@lru_cache
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with a positive balance are labelled."""
     entries = F.transform(F.sequence(F.lit(0), F.lit(ACCEPTED - 1)), _entry)
@@ -218,6 +229,7 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`run_id, pos, cpe` from line items and their parts."""
     lines = load(spark, sf_dir, "lineitem").select(
@@ -263,6 +275,7 @@ def scored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {**tables, "scores": with_defaults(rows, "scores", NOW)}
 
 
+@lru_cache
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scan document per order, built from its own columns; see `FIXTURES.md` for the cases.
 
