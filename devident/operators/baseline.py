@@ -32,10 +32,11 @@ def session_cpes(scan_runs: DataFrame) -> DataFrame:
             "tool_version"
         )
     )
+    # outer: the filter Spark infers for a plain explode would repeat the parse
     listed = scanner_cpes(full.select("id", "scan_session_id", "xml")).select(
-        "id", "scan_session_id", F.posexplode("cpes").alias("pos", "cpe")
+        "id", "scan_session_id", F.posexplode_outer("cpes").alias("pos", "cpe")
     )
-    first_seen = listed.groupBy("scan_session_id", "cpe").agg(F.min(F.struct("id", "pos")).alias("seen"))
+    first_seen = listed.filter(F.col("pos").isNotNull()).groupBy("scan_session_id", "cpe").agg(F.min(F.struct("id", "pos")).alias("seen"))
     merged = first_seen.groupBy("scan_session_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("seen", "cpe"))), lambda s: s["cpe"]).alias("cpes")
     )

@@ -51,6 +51,11 @@ def _last(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
 
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _each(items: Column) -> Column:
     """The array, or an empty one when the element is absent."""
     return F.coalesce(items, F.array())
@@ -77,13 +82,12 @@ def collect_scripts(scripts: Column) -> Column:
         ),
         lambda s: F.struct(s["_id"].alias("id"), strip(s["_output"]).alias("output")),
     )
-    names = F.array_distinct(F.transform(shown, lambda s: s["id"]))
-    return F.when(F.size(names) == F.size(shown), shown).otherwise(
-        F.transform(
-            names,
-            lambda n: F.struct(n.alias("id"), _last(F.filter(shown, lambda s: s["id"] == n))["output"].alias("output")),
-        )
-    )
+    def distinct(listed: Column) -> Column:
+        names = F.array_distinct(F.transform(listed, lambda s: s["id"]))
+        last = lambda n: _last(F.filter(listed, lambda s: s["id"] == n))
+        return F.when(F.size(names) == F.size(listed), listed).otherwise(F.transform(names, last))
+
+    return _let(shown, distinct)
 
 
 def merge_scripts(pre: Column, post: Column) -> Column:
@@ -231,8 +235,10 @@ def primary_hosts(scans: DataFrame, xml: str = "xml") -> DataFrame:
     `rejected_documents`.
     """
     documents = scan_meta(parse_documents(scans, xml))
-    # explode instead of filter: a filter would be pushed below the parse and repeat it
-    hosts = documents.withColumn("_host", F.explode(F.filter(F.array(primary_host(F.col("doc.host"))), lambda h: h.isNotNull())))
+    # the host passes a generator: a filter on it is then not pushed below the parse, repeating it
+    hosts = documents.withColumn("_host", F.explode_outer(F.array(primary_host(F.col("doc.host"))))).filter(
+        F.col("_host").isNotNull()
+    )
     host = F.col("_host")
     detailed = hosts.withColumns(
         {
@@ -257,17 +263,19 @@ def rejected_documents(scans: DataFrame, xml: str = "xml") -> DataFrame:
     reason = F.when(F.col("malformed"), "malformed document").when(
         primary_host(F.col("doc.host")).isNull(), "no live host"
     )
-    # as above: the reason passes a generator, so that the parse is not repeated by a filter
-    return documents.withColumn(
-        "reason", F.explode(F.filter(F.array(reason), lambda r: r.isNotNull()))
-    ).drop("doc", "malformed")
+    # as above: through a generator
+    return (
+        documents.withColumn("reason", F.explode_outer(F.array(reason)))
+        .filter(F.col("reason").isNotNull())
+        .drop("doc", "malformed")
+    )
 
 
 def open_services(hosts: DataFrame) -> DataFrame:
     """One row per open port of the primary hosts; `service_pos` counts from 0."""
     kept = [c for c in hosts.columns if c not in _NESTED]
-    rows = hosts.select(*kept, F.posexplode("services").alias("service_pos", "_service"))
-    return rows.select(*kept, "service_pos", "_service.*")
+    rows = hosts.select(*kept, F.posexplode_outer("services").alias("service_pos", "_service"))
+    return rows.filter(F.col("service_pos").isNotNull()).select(*kept, "service_pos", "_service.*")
 
 
 def host_scripts(hosts: DataFrame) -> DataFrame:
@@ -286,8 +294,8 @@ def host_scripts(hosts: DataFrame) -> DataFrame:
         tagged(F.col("host_scripts"), "host", none),
         F.flatten(F.transform("services", lambda v: tagged(v["scripts"], "port", v["port"]))),
     )
-    rows = hosts.select(*kept, F.explode(everything).alias("_script"))
-    return rows.select(*kept, "_script.*")
+    rows = hosts.select(*kept, F.explode_outer(everything).alias("_script"))
+    return rows.filter(F.col("_script").isNotNull()).select(*kept, "_script.*")
 
 
 _NESTED = {"services", "host_scripts", "pre_scripts", "post_scripts", "os_guesses", "os_cpes"}

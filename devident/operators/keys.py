@@ -8,25 +8,26 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from devident.functions.text import created_stamp
 from devident.schemas import NOW_DEFAULTS, TABLES, TEXT_DEFAULTS
-from devident.session import cut_lineage
+from devident.session import materialize
 
 # monotonically_increasing_id() keeps the partition above this bit
 _ROW_BITS = 33
 
 
 def with_keys(
-    df: DataFrame, order_by: Sequence[str | Column], start: int | Column = 0, key: str = "id"
+    df: DataFrame, order_by: Sequence[str | Column], start: int | Column = 0, key: str = "id", costly: bool = False
 ) -> DataFrame:
     """Number rows 1, 2, 3 … after `start` in the given order, without a single-task sort.
 
-    Rows are range-partitioned by the order and written to the checkpoint folder, which fixes every
-    row's place. One count per partition then gives each partition its offset; only those counts
-    (one row per partition) meet in one task. `order_by` should tell rows apart: it decides how a
-    hot leading value is split over partitions.
+    Rows are range-partitioned by the order and written to the shared folder together with their
+    place, which fixes it. One count per partition (read from the place column alone) then gives
+    each partition its offset; only those counts, one row per partition, meet in one task.
+    `order_by` should tell rows apart: it decides how a hot leading value is split over partitions.
+    Range partitioning samples its input; `costly` writes the input down first, so that sampling
+    does not repeat the work behind it.
     """
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    fixed = cut_lineage(ranged)
-    placed = fixed.withColumn("_place", F.monotonically_increasing_id()).withColumns(
+    ranged = (materialize(df) if costly else df).repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    placed = materialize(ranged.withColumn("_place", F.monotonically_increasing_id())).withColumns(
         {
             "_part": F.shiftright(F.col("_place"), _ROW_BITS),
             "_row": F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),

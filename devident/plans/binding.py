@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from devident.operators import scoring
 from devident.operators.keys import with_defaults
 from devident.operators.outputs import accepted_entries
+from devident.session import spread
 
 VENDORS = ["economy", "large", "medium", "promo", "small", "standard"]
 PRODUCTS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
@@ -212,10 +213,9 @@ def _entry(index: Column) -> Column:
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with a positive balance are labelled."""
     entries = F.transform(F.sequence(F.lit(0), F.lit(ACCEPTED - 1)), _entry)
+    customers = load(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
     return with_defaults(
-        load(spark, sf_dir, "customer")
-        .filter(F.col("c_acctbal") >= 0)
-        .select(
+        spread(customers.select("c_custkey", "c_nationkey", "c_mktsegment")).select(
             F.col("c_custkey").alias("id"),
             F.col("c_custkey").alias("device_id"),
             F.lower("c_mktsegment").alias("true_vendor"),
@@ -347,7 +347,10 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         urgency != 5, '<runstats><finished timestr="day ', F.dayofmonth("o_orderdate"), '" exit="',
         either(urgency == 4, "error", "success"), '"/></runstats>',
     )
-    return load(spark, sf_dir, "orders").select(
+    orders = load(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+    )
+    return spread(orders).select(
         key.alias("seq"),
         customer.alias("scan_session_id"),
         _text("scan-", key).alias("scan_name"),

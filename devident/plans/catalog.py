@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,7 +12,7 @@ from devident.operators import baseline, extract, inference, integrity, outputs,
 from devident.operators.keys import with_defaults, with_keys
 from devident.operators.payload import payload_text
 from devident.plans import binding, pipeline
-from devident.session import configure
+from devident.session import configure, shared_folder, spread
 from devident.sources.feeds import read_prompts, read_truth
 from devident.sources.reports import write_report
 from devident.store import register
@@ -35,12 +34,6 @@ def _joined(items: str | Column) -> Column:
     return F.array_join(items, "|")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A fresh folder below the session's shared checkpoint folder."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
-    return f"{root}/devident-{uuid.uuid4().hex}"
-
-
 # --- reports ---------------------------------------------------------------
 
 
@@ -68,7 +61,7 @@ def run_manifest(spark, sf_dir):
 
 def _keyed_scores(spark, sf_dir, tables) -> DataFrame:
     rows = binding.fresh_scores(spark, sf_dir, tables)
-    keyed = with_keys(rows, ["model_run_id", "pos", "predicted_cpe"])
+    keyed = with_keys(rows, ["model_run_id", "pos", "predicted_cpe"], costly=True)
     return with_defaults(keyed.drop("pos"), "scores", binding.NOW)
 
 
@@ -130,7 +123,7 @@ def report_roundtrip(spark, sf_dir):
     """The report sink: written as Parquet and read back."""
     tables = binding.scored_tables(spark, sf_dir)
     summary = reports.summary_by_prompt(reports.with_prompts(reports.run_scores(tables), tables))
-    return spark.read.parquet(write_report({"summary_by_prompt": summary}, _scratch(spark))["summary_by_prompt"])
+    return spark.read.parquet(write_report({"summary_by_prompt": summary}, shared_folder(spark))["summary_by_prompt"])
 
 
 # --- scoring ---------------------------------------------------------------
@@ -173,7 +166,7 @@ def score_new(spark, sf_dir):
         truth, outputs.accepted_entries(truth),
     )
     start = old.agg(F.max("id")).first()[0]
-    return with_keys(rows, ["model_run_id", "pos"], start).select("id", *scoring.SCORE_COLUMNS, "pos")
+    return with_keys(rows, ["model_run_id", "pos"], start, costly=True).select("id", *scoring.SCORE_COLUMNS, "pos")
 
 
 @query
@@ -247,7 +240,7 @@ def cpe_validate_lines(spark, sf_dir):
 
 def _raw_outputs(spark, sf_dir) -> DataFrame:
     """Free texts of models, one per order: fenced, bare, broken or without an object."""
-    orders = binding.load(spark, sf_dir, "orders")
+    orders = spread(binding.load(spark, sf_dir, "orders"))
     urgency = F.substring("o_orderpriority", 1, 1)
     stored = binding.stored_output()
     body = F.coalesce(
@@ -521,7 +514,7 @@ def list_prompts(spark, sf_dir):
 @query
 def truth_feed(spark, sf_dir):
     """The truth feed written as JSON lines and read back."""
-    path = _scratch(spark)
+    path = shared_folder(spark)
     feed = _truth_feed(spark, sf_dir)
     feed.select(
         "mac", "true_vendor", "true_product",
@@ -533,7 +526,7 @@ def truth_feed(spark, sf_dir):
 @query
 def prompt_feed(spark, sf_dir):
     """The prompt feed written as JSON lines and read back."""
-    path = _scratch(spark)
+    path = shared_folder(spark)
     _conversation_prompts(spark, sf_dir)[1].drop("seq").write.json(path)
     return read_prompts(spark, path, multi_line=False)
 

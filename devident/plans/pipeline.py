@@ -35,7 +35,7 @@ def ingest_rows(
         host_json().alias("parsed_data_json"),
         payload_text().alias("input_payload_json"),
     )
-    documents = with_keys(hosts, ["seq"], key="_n")
+    documents = with_keys(hosts, ["seq"], key="_n", costly=True)
     added = registry.new_devices(
         devices, documents.select("device_code", "mac", "vendor", "seq"), now, starts.get("devices")
     )
@@ -88,7 +88,7 @@ def load_prompts(store: Store, feed: DataFrame, now: str | None = None) -> None:
 
 
 def _append_keyed(store: Store, table: str, rows: DataFrame, order_by: list[str], now: str | None) -> None:
-    keyed = with_keys(rows, order_by, last_key(store.table(table)))
+    keyed = with_keys(rows, order_by, last_key(store.table(table)), costly=True)
     store.append(table, with_defaults(keyed.drop("pos"), table, now))
 
 
@@ -107,7 +107,7 @@ def redo_baselines(store: Store, requested: DataFrame, now: str | None = None) -
     kept, kept_scores, fresh = baseline.rebuild_baselines(
         requested, store.table("aggregated_inputs"), store.table("scan_runs"), runs, scores, now
     )
-    keyed = with_defaults(with_keys(fresh, ["aggregated_input_id"], start), "model_runs", now)
+    keyed = with_defaults(with_keys(fresh, ["aggregated_input_id"], start, costly=True), "model_runs", now)
     store.replace("scores", kept_scores)
     store.replace("model_runs", kept.unionByName(keyed))
 
@@ -158,7 +158,7 @@ def rescore(store: Store, requested: DataFrame, now: str | None = None) -> None:
         requested, store.table("model_runs"), store.table("aggregated_inputs"), store.table("scan_sessions"),
         truth, accepted_entries(truth), scores,
     )
-    keyed = with_defaults(with_keys(fresh, ["model_run_id", "pos"], start).drop("pos"), "scores", now)
+    keyed = with_defaults(with_keys(fresh, ["model_run_id", "pos"], start, costly=True).drop("pos"), "scores", now)
     store.replace("scores", kept.unionByName(keyed))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,10 +26,30 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the session names (`spark.checkpoint.dir`)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below the shared folder that the session names (`spark.checkpoint.dir`)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="devident-checkpoint-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="devident-shared-"))
+    return f"{context.getCheckpointDir()}/devident-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet to the shared folder and read from there.
+
+    Cuts the lineage: what follows neither repeats the work above nor depends on an executor that
+    did it, and each later pass reads only the columns it needs.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a frame over the cores when its files give fewer tasks than there are cores.
+
+    For costly per-row work on few input splits. Inputs with enough splits are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
