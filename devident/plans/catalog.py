@@ -573,8 +573,11 @@ def sweep_grid(spark, sf_dir):
     return inference.sweep(binding.aggregated_inputs(spark, sf_dir), [1, 2, 3, 4], _SETTINGS)
 
 
-def _stub_backend():
-    """A model without a model: an answer made from the texts alone."""
+def _stub():
+    """A maker of a model without a model: it answers from the texts alone.
+
+    Made inside a function, so that it travels to the executors by value.
+    """
 
     class Stub:
         def chat(self, messages, *, temperature, top_p, seed, max_tokens):
@@ -587,7 +590,7 @@ def _stub_backend():
             good = f"cpe:2.3:h:{segment}:{place}:{max_tokens}:*:*:*:*:*:*:*"
             return f'  Found\n```json\n{{"cpes": ["{good}", "bad"]}}\n```  '
 
-    return Stub()
+    return lambda: Stub()
 
 
 def _answers(spark, sf_dir) -> DataFrame:
@@ -595,7 +598,7 @@ def _answers(spark, sf_dir) -> DataFrame:
     requests = inference.build_requests(
         asked, binding.aggregated_inputs(spark, sf_dir), binding.prompts(spark, sf_dir)
     )
-    return inference.infer(requests, _stub_backend)
+    return inference.infer(requests, _stub())
 
 
 @query
