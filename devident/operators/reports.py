@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from devident.fixed_values import NO_TIER
+from devident.operators.joins import outer_to_many
+from devident.session import materialize
 
 Tables = Mapping[str, DataFrame]
 
@@ -81,7 +83,7 @@ def scores_wide(tables: Tables, ordered: bool = True) -> DataFrame:
         F.col("started_at").alias("run_started_at"), F.col("ended_at").alias("run_ended_at"),
     )
     context = (
-        runs.join(_targets(tables).join(scans, "scan_session_id", "left"), "aggregated_input_id")
+        runs.join(outer_to_many(_targets(tables), scans, "scan_session_id"), "aggregated_input_id")
         .join(_prompts(tables).withColumnRenamed("prompt_id", "_prompt"), F.col("prompt_id") == F.col("_prompt"), "left")
         .withColumn("prompt_id", F.col("_prompt"))
         .drop("_prompt")
@@ -292,12 +294,15 @@ def repeat_variance(tables: Tables) -> DataFrame:
 
 
 def report_tables(tables: Tables) -> dict[str, DataFrame]:
-    """The five report tables."""
-    runs = run_scores(tables)
+    """The five report tables.
+
+    The run totals are written to the shared folder once; the three summaries read them from there.
+    """
+    runs = materialize(with_prompts(run_scores(tables), tables))
     return {
         "scores_wide": scores_wide(tables),
         "summary_by_model": summary_by_model(runs),
-        "summary_by_prompt": summary_by_prompt(with_prompts(runs, tables)),
-        "variance_by_config": variance_by_config(run_scores(tables, device=False)),
+        "summary_by_prompt": summary_by_prompt(runs),
+        "variance_by_config": variance_by_config(runs),
         "run_manifest": run_manifest(tables),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from devident import fixed_values as fixed
 from devident.functions.cpe import with_cpe_fields
+from devident.operators.joins import outer_to_many
 from devident.operators.outputs import with_predictions
 
 SCORE_COLUMNS = [
@@ -111,16 +112,14 @@ def score_rows(rows: DataFrame, accepted: DataFrame) -> DataFrame:
 def score_predictions(context: DataFrame, predictions: DataFrame, accepted: DataFrame) -> DataFrame:
     """Score predictions given as rows `(run_id, pos, cpe)`.
 
-    Runs with a label but without predictions give one NULL row. They are found by an anti join
-    against the distinct run ids, so a run with very many predictions can be split over tasks.
+    Runs with a label but without predictions give one NULL row. A run with very many predictions
+    is split over tasks.
     """
     labelled = context.filter(F.col("ground_truth_id").isNotNull()).select("model_run_id", "ground_truth_id")
     rows = predictions.select(
         F.col("run_id").alias("model_run_id"), "pos", F.col("cpe").alias("predicted_cpe")
     )
-    predicted = rows.join(labelled, "model_run_id")
-    silent = labelled.join(rows.select("model_run_id").distinct(), "model_run_id", "left_anti")
-    return score_rows(predicted.unionByName(silent, allowMissingColumns=True), accepted)
+    return score_rows(outer_to_many(labelled, rows, "model_run_id"), accepted)
 
 
 def score_runs(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from devident.fixed_values import CPE_FIELDS
 from devident.functions.cpe import cpe_is_valid, cpe_normalize, cpe_parse
+from devident.functions.text import strip
 from devident.operators import baseline, extract, inference, integrity, outputs, registry, reports, scoring
 from devident.operators.keys import with_defaults, with_keys
 from devident.operators.payload import payload_text
@@ -15,6 +16,7 @@ from devident.plans import binding, pipeline
 from devident.session import configure, shared_folder, spread
 from devident.sources.feeds import read_prompts, read_truth
 from devident.sources.reports import write_report
+from devident.sources.scans import read_scans
 from devident.store import register
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +367,20 @@ def ingest_tables(spark, sf_dir):
     )
 
 
+@query
+def scan_files(spark, sf_dir):
+    """One scan file per supplier, written below a folder per target and time, then read."""
+    key = F.col("s_suppkey")
+    files = binding.load(spark, sf_dir, "supplier").select(
+        F.format_string("10.1.%d.%d_20240101_%06d", F.floor(key / 256), key % 256, F.col("s_nationkey")).alias("folder"),
+        F.concat(F.lit('<nmaprun args="'), F.col("s_name"), F.lit('">\n<host/></nmaprun>')).alias("value"),
+    )
+    path = shared_folder(spark)
+    files.write.partitionBy("folder").text(path)
+    scans = read_scans(spark, path, "*.txt")
+    return scans.select("target_ip", "scan_ts", strip(F.col("xml")).alias("xml"))
+
+
 # --- scanner baseline ------------------------------------------------------
 
 

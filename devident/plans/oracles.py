@@ -439,6 +439,11 @@ LEFT JOIN (SELECT device_code, vendor, (SELECT max(id) FROM devices WHERE device
                  WHERE device_code NOT IN (SELECT device_code FROM devices WHERE device_type = 'router') GROUP BY device_code)
           ) a ON a.device_code = h.device_code"""
 
+ORACLES["scan_files"] = """
+SELECT '10.1.' || s_suppkey // 256 || '.' || s_suppkey % 256 AS target_ip,
+  '20240101_' || lpad(CAST(s_nationkey AS VARCHAR), 6, '0') AS scan_ts,
+  '<nmaprun args="' || s_name || '">' || chr(10) || '<host/></nmaprun>' AS xml FROM supplier"""
+
 # --- scanner baseline --------------------------------------------------------
 
 _table(

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from devident.functions.text import matched
 
-# .../<ip>_<yyyymmdd>_<hhmmss>/<scan name>.xml
-_PATH = r"([^/]*)_(\d{8}_\d{6})/[^/]*$"
+# .../<ip>_<yyyymmdd>_<hhmmss>/<scan name>.xml, the folder possibly as <column>=<value>
+_PATH = r"([^/=]*)_(\d{8}_\d{6})/[^/]*$"
 # file stem: without the last suffix; a leading dot starts no suffix
 _STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
