@@ -28,27 +28,28 @@ def _round_even(c: Column, places: int = 4) -> Column:
     return F.rint(c * scale) / scale
 
 
-def _targets(tables: Tables) -> DataFrame:
-    """Input, session and device columns per input."""
-    inputs, sessions, devices = tables["aggregated_inputs"], tables["scan_sessions"], tables["devices"]
-    return (
-        inputs.select(
-            F.col("id").alias("aggregated_input_id"), "scan_session_id",
-            F.col("variant_name").alias("input_variant"), F.col("parser_version").alias("input_parser_version"),
-        )
-        .join(
-            sessions.select(
-                F.col("id").alias("scan_session_id"), "device_id", "target_ip", F.col("hostname").alias("scan_hostname")
-            ),
-            "scan_session_id",
-        )
-        .join(
-            devices.select(
-                F.col("id").alias("device_id"), "device_code", F.col("manufacturer").alias("device_manufacturer"),
-                F.col("model").alias("device_model"), "device_type",
-            ),
-            "device_id",
-        )
+def _sessions(tables: Tables) -> DataFrame:
+    return tables["scan_sessions"].select(
+        F.col("id").alias("scan_session_id"), "device_id", "target_ip", F.col("hostname").alias("scan_hostname")
+    )
+
+
+def _targets(tables: Tables, sessions: DataFrame) -> DataFrame:
+    """Input, session and device columns per input.
+
+    `sessions` may carry what belongs to a session; joined to it by the same key beforehand, that
+    costs no further shuffle of the sessions.
+    """
+    inputs, devices = tables["aggregated_inputs"], tables["devices"]
+    return inputs.select(
+        F.col("id").alias("aggregated_input_id"), "scan_session_id",
+        F.col("variant_name").alias("input_variant"), F.col("parser_version").alias("input_parser_version"),
+    ).join(sessions, "scan_session_id").join(
+        devices.select(
+            F.col("id").alias("device_id"), "device_code", F.col("manufacturer").alias("device_manufacturer"),
+            F.col("model").alias("device_model"), "device_type",
+        ),
+        "device_id",
     )
 
 
@@ -83,7 +84,7 @@ def scores_wide(tables: Tables, ordered: bool = True) -> DataFrame:
         F.col("started_at").alias("run_started_at"), F.col("ended_at").alias("run_ended_at"),
     )
     context = (
-        runs.join(outer_to_many(_targets(tables), scans, "scan_session_id"), "aggregated_input_id")
+        runs.join(_targets(tables, outer_to_many(_sessions(tables), scans, "scan_session_id")), "aggregated_input_id")
         .join(_prompts(tables).withColumnRenamed("prompt_id", "_prompt"), F.col("prompt_id") == F.col("_prompt"), "left")
         .withColumn("prompt_id", F.col("_prompt"))
         .drop("_prompt")
@@ -125,10 +126,9 @@ def run_scores(tables: Tables, device: bool = True) -> DataFrame:
     if not device:
         return joined.withColumn("fan_out", F.lit(1))
     fans = tables["scan_runs"].groupBy("scan_session_id").agg(F.count(F.lit(1)).alias("_scans"))
-    targets = (
-        _targets(tables)
-        .join(fans, "scan_session_id", "left")
-        .select("aggregated_input_id", "device_code", F.coalesce("_scans", F.lit(1)).alias("fan_out"))
+    sessions = _sessions(tables).join(fans, "scan_session_id", "left")
+    targets = _targets(tables, sessions).select(
+        "aggregated_input_id", "device_code", F.coalesce("_scans", F.lit(1)).alias("fan_out")
     )
     return joined.join(targets, "aggregated_input_id")
 
@@ -232,7 +232,7 @@ def run_manifest(tables: Tables, ordered: bool = True) -> DataFrame:
         F.sum("exact_match").alias("n_exact"),
         F.sum("cve_lookup_valid").alias("n_cve_valid"),
     )
-    targets = _targets(tables).select("aggregated_input_id", "device_code")
+    targets = _targets(tables, _sessions(tables)).select("aggregated_input_id", "device_code")
     runs = tables["model_runs"].withColumnRenamed("id", "model_run_id")
     manifest = (
         runs.join(scored, "model_run_id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,7 +18,7 @@ from devident.session import configure, shared_folder, spread
 from devident.sources.feeds import read_prompts, read_truth
 from devident.sources.reports import write_report
 from devident.sources.scans import read_scans
-from devident.store import register
+from devident.store import Store, register
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,10 +113,16 @@ def sql_views(spark, sf_dir):
     register(binding.scored_tables(spark, sf_dir))
     return spark.sql(
         """
-        SELECT mr.model_name, mr.prompt_id, count(s.id) AS n_predictions,
-               round(avg(s.match_score), 3) AS avg_match, count(DISTINCT mr.id) AS trials
-        FROM scores s JOIN model_runs mr ON mr.id = s.model_run_id
-        GROUP BY mr.model_name, mr.prompt_id HAVING trials > 1
+        WITH per_run AS (
+          SELECT model_run_id, best_match_tier, count(*) AS n FROM scores GROUP BY model_run_id, best_match_tier
+        )
+        SELECT device_type, best_match_tier, sum(n) AS n_predictions, count(DISTINCT model_run_id) AS n_runs
+        FROM per_run
+        JOIN model_runs AS run ON run.id = model_run_id
+        JOIN aggregated_inputs AS input ON input.id = run.aggregated_input_id
+        JOIN scan_sessions AS session ON session.id = input.scan_session_id
+        JOIN devices AS device ON device.id = session.device_id
+        GROUP BY device_type, best_match_tier
         """
     )
 
@@ -128,6 +135,19 @@ def report_roundtrip(spark, sf_dir):
     return spark.read.parquet(write_report({"summary_by_prompt": summary}, shared_folder(spark))["summary_by_prompt"])
 
 
+@query
+def report_counts(spark, sf_dir):
+    """All five report tables written and read back: their sizes."""
+    tables = binding.base_tables(spark, sf_dir)
+    scored = {**tables, "scores": _keyed_scores(spark, sf_dir, tables)}
+    written = write_report(reports.report_tables(scored), shared_folder(spark))
+    counts = [
+        spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("report"), "n_rows")
+        for name, path in written.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 # --- scoring ---------------------------------------------------------------
 
 
@@ -171,6 +191,20 @@ def score_new(spark, sf_dir):
     return with_keys(rows, ["model_run_id", "pos"], start, costly=True).select("id", *scoring.SCORE_COLUMNS, "pos")
 
 
+@query
+def store_scoring(spark, sf_dir):
+    """Stored runs scored through a store, twice: the second time adds nothing."""
+    store = Store(spark, shared_folder(spark))
+    for name, table in binding.base_tables(spark, sf_dir).items():
+        store.replace(name, table)
+    for _ in range(2):
+        pipeline.score_new(store, binding.NOW)
+    models = store.table("model_runs").select(F.col("id").alias("model_run_id"), "model_name")
+    return store.table("scores").join(models, "model_run_id").groupBy("model_name").agg(
+        F.count(F.lit(1)).alias("n_scores"), F.sum("match_score").alias("total_score"), F.max("id").alias("last_key")
+    )
+
+
 @query
 def score_status(spark, sf_dir):
     tables = binding.base_tables(spark, sf_dir)

@@ -176,6 +176,7 @@ _table("old_scores", "SELECT l_orderkey AS model_run_id, l_orderkey * 10 + l_lin
 _scored(
     "new_scores", "stored", "r.status = 'complete' AND r.id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45)"
 )
+_scored("stored_scores", "stored", "r.status = 'complete'")
 _scored("urgent_scores", "stored", "r.o_orderpriority = '1-URGENT'")
 
 _SCORE_COLUMNS = (
@@ -188,28 +189,38 @@ _table(
     "SELECT row_number() OVER (ORDER BY model_run_id, pos NULLS FIRST, predicted_cpe NULLS FIRST) AS id, * FROM scores",
     "scores",
 )
+# customers are devices, sessions and inputs at once
+_table(
+    "targets",
+    f"""SELECT c_custkey AS device_id, c_name AS device_code, lower(c_mktsegment) AS device_manufacturer,
+        CAST(NULL AS VARCHAR) AS device_model, CASE WHEN c_acctbal < 1000 THEN 'camera' ELSE 'router' END AS device_type,
+        c_custkey AS scan_session_id, {_IP.format(k='c_custkey')} AS target_ip,
+        CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN 'host-' || c_custkey END AS scan_hostname,
+        c_custkey AS aggregated_input_id, 'plain-text' AS input_variant, '1.0' AS input_parser_version FROM customer""",
+)
+_table(
+    "run_facts",
+    """SELECT id AS model_run_id, aggregated_input_id, prompt_id, prompt_name, prompt_version, model_name, model_version,
+       temperature, top_p, max_tokens, seed, trial_number, status AS run_status, started_at AS run_started_at,
+       ended_at AS run_ended_at, error_text
+       FROM model_runs LEFT JOIN (SELECT id AS prompt_id, prompt_name, prompt_version FROM prompts) USING (prompt_id)""",
+    "model_runs", "prompts",
+)
+_table(
+    "labels_of",
+    """SELECT id AS ground_truth_id, true_vendor, true_product, true_firmware_version, rubric_version, label_status
+       FROM ground_truth""",
+    "ground_truth",
+)
 _table(
     "wide",
-    f"""SELECT d.id AS device_id, d.device_code, d.manufacturer AS device_manufacturer, d.model AS device_model, d.device_type,
-        ss.id AS scan_session_id, ss.target_ip, ss.hostname AS scan_hostname, sr.scan_name, sr.tool_version AS nmap_version,
-        ai.id AS aggregated_input_id, ai.variant_name AS input_variant, ai.parser_version AS input_parser_version,
-        mr.id AS model_run_id, mr.model_name, mr.model_version, mr.temperature, mr.top_p, mr.max_tokens, mr.seed,
-        mr.trial_number, mr.status AS run_status, mr.started_at AS run_started_at, mr.ended_at AS run_ended_at,
-        p.id AS prompt_id, p.prompt_name, p.prompt_version,
-        gt.id AS ground_truth_id, gt.true_vendor, gt.true_product, gt.true_firmware_version, gt.rubric_version, gt.label_status,
-        s.id AS score_id, s.predicted_cpe, s.predicted_vendor, s.predicted_product, s.matched_accepted_cpe,
-        s.part_correct, s.vendor_correct, s.product_correct, s.version_correct, s.exact_match, s.cve_lookup_valid,
-        s.best_match_tier, s.match_score, s.score_notes, s.scorer_version, '{NOW}' AS scored_at
-        FROM keyed_scores s
-        JOIN model_runs mr ON mr.id = s.model_run_id
-        JOIN aggregated_inputs ai ON ai.id = mr.aggregated_input_id
-        JOIN scan_sessions ss ON ss.id = ai.scan_session_id
-        JOIN devices d ON d.id = ss.device_id
-        JOIN ground_truth gt ON gt.id = s.ground_truth_id
-        LEFT JOIN prompts p ON p.id = mr.prompt_id
-        LEFT JOIN scan_runs sr ON sr.scan_session_id = ss.id""",
-    "keyed_scores", "aggregated_inputs", "scan_sessions", "devices", "prompts", "scan_runs",
+    f"""SELECT * EXCLUDE (id, pos, error_text), id AS score_id, '{NOW}' AS scored_at
+        FROM keyed_scores JOIN run_facts USING (model_run_id) JOIN targets USING (aggregated_input_id)
+        JOIN labels_of USING (ground_truth_id)
+        LEFT JOIN (SELECT scan_session_id, scan_name, tool_version AS nmap_version FROM scan_runs) USING (scan_session_id)""",
+    "keyed_scores", "run_facts", "targets", "labels_of", "scan_runs",
 )
+_table("facts", "SELECT * FROM scores JOIN run_facts USING (model_run_id) JOIN targets USING (aggregated_input_id)", "scores", "run_facts", "targets")
 
 ORACLES: dict[str, str] = {}
 
@@ -239,42 +250,38 @@ SELECT aggregated_input_id, model_name, prompt_id, temperature, count(model_run_
 FROM (SELECT aggregated_input_id, model_name, prompt_id, temperature, model_run_id, avg(match_score) AS m
       FROM wide GROUP BY ALL)
 GROUP BY aggregated_input_id, model_name, prompt_id, temperature"""
-ORACLES["run_manifest"] = _with("scores", "devices", "scan_sessions", "aggregated_inputs", "prompts") + """
-SELECT mr.id AS model_run_id, d.device_code, ai.id AS aggregated_input_id, mr.model_name, mr.model_version,
-  p.prompt_name, p.prompt_version, mr.temperature, mr.top_p, mr.seed, mr.trial_number, mr.status,
-  mr.started_at, mr.ended_at, mr.error_text,
-  count(s.scorer_version) AS n_predictions_scored, CAST(sum(s.exact_match) AS BIGINT) AS n_exact,
-  CAST(sum(s.cve_lookup_valid) AS BIGINT) AS n_cve_valid
-FROM model_runs mr JOIN aggregated_inputs ai ON ai.id = mr.aggregated_input_id
-JOIN scan_sessions ss ON ss.id = ai.scan_session_id JOIN devices d ON d.id = ss.device_id
-LEFT JOIN prompts p ON p.id = mr.prompt_id LEFT JOIN scores s ON s.model_run_id = mr.id
-GROUP BY ALL"""
+ORACLES["run_manifest"] = _with("scores", "run_facts", "targets") + """
+SELECT model_run_id, device_code, aggregated_input_id, model_name, model_version, prompt_name, prompt_version,
+  temperature, top_p, seed, trial_number, run_status AS status, run_started_at AS started_at, run_ended_at AS ended_at,
+  error_text, coalesce(n, 0) AS n_predictions_scored, n_exact, n_cve_valid
+FROM run_facts JOIN targets USING (aggregated_input_id)
+LEFT JOIN (SELECT model_run_id, count(*) AS n, CAST(sum(exact_match) AS BIGINT) AS n_exact,
+             CAST(sum(cve_lookup_valid) AS BIGINT) AS n_cve_valid FROM scores GROUP BY model_run_id) USING (model_run_id)"""
 ORACLES["scores_wide"] = _with("wide") + "SELECT * FROM wide"
-_H2H = """SELECT d.device_code, mr.model_name, count(*) AS n_predictions, round(avg(s.match_score), 3) AS avg_match,
-  CAST(sum(s.exact_match) AS BIGINT) AS exact, CAST(sum(s.cve_lookup_valid) AS BIGINT) AS cve_valid
-FROM scores s JOIN model_runs mr ON mr.id = s.model_run_id
-JOIN aggregated_inputs ai ON ai.id = mr.aggregated_input_id
-JOIN scan_sessions ss ON ss.id = ai.scan_session_id JOIN devices d ON d.id = ss.device_id
-GROUP BY d.device_code, mr.model_name"""
-_H2H_WITH = _with("scores", "aggregated_inputs", "scan_sessions", "devices")
-ORACLES["head_to_head"] = _H2H_WITH + _H2H
-ORACLES["baseline_against_models"] = _H2H_WITH + f"""
+_AVERAGE = "round(sum(match_score) / count(match_score), 3) AS avg_match"
+_SIDE_BY_SIDE = f"""SELECT device_code, model_name, count(*) AS n_predictions, {_AVERAGE},
+  CAST(sum(exact_match) AS BIGINT) AS exact, CAST(sum(cve_lookup_valid) AS BIGINT) AS cve_valid
+FROM facts GROUP BY ALL"""
+ORACLES["head_to_head"] = _with("facts") + _SIDE_BY_SIDE
+ORACLES["baseline_against_models"] = _with("facts") + f"""
 SELECT device_code, max(avg_match) FILTER (WHERE model_name = 'nmap') AS scanner_match,
-  max(avg_match) FILTER (WHERE model_name <> 'nmap') AS best_model_match FROM ({_H2H}) GROUP BY device_code"""
-ORACLES["prompt_effect"] = _with("scores", "prompts") + """
-SELECT p.prompt_name, p.prompt_version, round(avg(s.match_score), 3) AS avg_match, count(DISTINCT mr.id) AS n_runs
-FROM scores s JOIN model_runs mr ON mr.id = s.model_run_id JOIN prompts p ON p.id = mr.prompt_id
-GROUP BY p.prompt_name, p.prompt_version"""
-ORACLES["repeat_variance"] = _with("scores") + """
-SELECT mr.aggregated_input_id, mr.model_name, mr.prompt_id, count(DISTINCT mr.id) AS trials,
-  round(avg(s.match_score), 3) AS avg_match, round(min(s.match_score), 3) AS min_match, round(max(s.match_score), 3) AS max_match
-FROM scores s JOIN model_runs mr ON mr.id = s.model_run_id
-GROUP BY mr.aggregated_input_id, mr.model_name, mr.prompt_id HAVING count(DISTINCT mr.id) > 1"""
-ORACLES["sql_views"] = _with("scores") + """
-SELECT mr.model_name, mr.prompt_id, count(*) AS n_predictions, round(avg(s.match_score), 3) AS avg_match,
-  count(DISTINCT mr.id) AS trials
-FROM scores s JOIN model_runs mr ON mr.id = s.model_run_id GROUP BY mr.model_name, mr.prompt_id
-HAVING count(DISTINCT mr.id) > 1"""
+  max(avg_match) FILTER (WHERE model_name <> 'nmap') AS best_model_match FROM ({_SIDE_BY_SIDE}) GROUP BY device_code"""
+ORACLES["prompt_effect"] = _with("facts") + f"""
+SELECT prompt_name, prompt_version, {_AVERAGE}, count(DISTINCT model_run_id) AS n_runs
+FROM facts WHERE prompt_id IS NOT NULL GROUP BY ALL"""
+ORACLES["repeat_variance"] = _with("facts") + f"""
+SELECT * FROM (
+  SELECT aggregated_input_id, model_name, prompt_id, count(DISTINCT model_run_id) AS trials, {_AVERAGE},
+    min(match_score) AS min_match, max(match_score) AS max_match FROM facts GROUP BY ALL) WHERE trials > 1"""
+ORACLES["sql_views"] = _with("facts") + """
+SELECT device_type, best_match_tier, count(*) AS n_predictions, count(DISTINCT model_run_id) AS n_runs
+FROM facts GROUP BY ALL"""
+ORACLES["report_counts"] = _with("wide") + """
+SELECT 'scores_wide' AS report, count(*) AS n_rows FROM wide
+UNION ALL SELECT 'summary_by_model', count(*) FROM (SELECT DISTINCT device_code, model_name FROM wide)
+UNION ALL SELECT 'summary_by_prompt', count(*) FROM (SELECT DISTINCT model_name, prompt_name, prompt_version FROM wide)
+UNION ALL SELECT 'variance_by_config', count(*) FROM (SELECT DISTINCT aggregated_input_id, model_name, prompt_id, temperature FROM wide)
+UNION ALL SELECT 'run_manifest', count(*) FROM orders"""
 
 ORACLES["score_predictions"] = _with("scores") + f"SELECT {_SCORE_COLUMNS}, pos FROM scores"
 ORACLES["unscored_runs"] = _with("model_runs", "old_scores") + """
@@ -283,6 +290,10 @@ WHERE status = 'complete' AND id NOT IN (SELECT model_run_id FROM old_scores)"""
 ORACLES["score_new"] = _with("new_scores", "old_scores") + f"""
 SELECT (SELECT max(id) FROM old_scores) + row_number() OVER (ORDER BY model_run_id, pos NULLS FIRST) AS id,
   {_SCORE_COLUMNS}, pos FROM new_scores"""
+ORACLES["store_scoring"] = _with("stored_scores") + """
+SELECT r.model_name, count(*) AS n_scores, sum(x.match_score) AS total_score, max(x.id) AS last_key
+FROM (SELECT *, row_number() OVER (ORDER BY model_run_id, pos NULLS FIRST) AS id FROM stored_scores) x
+JOIN model_runs r ON r.id = x.model_run_id GROUP BY r.model_name"""
 ORACLES["score_status"] = _with("model_runs", "ground_truth", "old_scores") + """
 SELECT o_orderkey * 2 AS model_run_id, CASE WHEN mr.id IS NULL THEN 'not found' WHEN g.id IS NULL THEN 'no truth'
   WHEN mr.id IN (SELECT model_run_id FROM old_scores) THEN 'already scored' ELSE 'scorable' END AS score_status

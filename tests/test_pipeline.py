@@ -71,6 +71,25 @@ def test_ingest(store):
     assert inputs[1].input_payload_json.startswith("Device: dev-10.0.0.2\nScan:   01-full.scan\n")
 
 
+def test_a_second_batch_continues_keys_and_reuses_devices(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    schema = "device_code string, scan_name string, xml string, seq long"
+
+    def batch(*rows):
+        pipeline.ingest(store, spark.createDataFrame(list(rows), schema), "t")
+
+    batch(("a", "s1", document("m1"), 1))
+    batch(("b", "s2", document("m2"), 1), ("a", "s3", document("m9"), 2), ("b", "s4", document("m3"), 3))
+    batch(("c", "s5", document("m4"), 1))
+    devices = sorted((r.id, r.device_code, r.mac) for r in store.table("devices").collect())
+    assert devices == [(1, "a", "m1"), (2, "b", "m2"), (3, "c", "m4")]
+    sessions = sorted((r.id, r.device_id) for r in store.table("scan_sessions").collect())
+    assert sessions == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 3)]
+    runs = sorted((r.id, r.scan_session_id, r.scan_name) for r in store.table("scan_runs").collect())
+    assert runs == [(i, i, f"s{i}") for i in range(1, 6)]
+    assert sorted(r.scan_session_id for r in store.table("aggregated_inputs").collect()) == [1, 2, 3, 4, 5]
+
+
 def test_stages_and_their_repetition(store, spark, tmp_path, backend):
     truth = {"mac": "m1", "true_vendor": "v", "accepted_cpes": [{"cpe": f"cpe:2.3:a:v:one:1{TAIL}", "tier": "partial"}, "junk"]}
     (tmp_path / "truth.json").write_text(json.dumps([truth, {"mac": "m9"}]))
