@@ -250,6 +250,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache
 def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All tables but scores and experiments."""
     makers = (
@@ -258,8 +259,10 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {make.__name__: make(spark, sf_dir) for make in makers}
 
 
-def fresh_scores(spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame]) -> DataFrame:
+@lru_cache
+def fresh_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score rows (no key yet) of all complete runs, from the line-item predictions."""
+    tables = base_tables(spark, sf_dir)
     truth = tables["ground_truth"]
     context = scoring.scoring_context(
         tables["model_runs"], tables["aggregated_inputs"], tables["scan_sessions"], truth, keep=["status"]
@@ -268,10 +271,11 @@ def fresh_scores(spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame])
     return scoring.score_predictions(complete, predictions(spark, sf_dir), accepted_entries(truth))
 
 
+@lru_cache
 def scored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All tables the reports read. Score keys are unique but not consecutive: reports only count them."""
     tables = base_tables(spark, sf_dir)
-    rows = fresh_scores(spark, sf_dir, tables).withColumn("id", F.monotonically_increasing_id())
+    rows = fresh_scores(spark, sf_dir).withColumn("id", F.monotonically_increasing_id())
     return {**tables, "scores": with_defaults(rows, "scores", NOW)}
 
 

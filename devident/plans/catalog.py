@@ -62,8 +62,8 @@ def run_manifest(spark, sf_dir):
     return reports.run_manifest(binding.scored_tables(spark, sf_dir))
 
 
-def _keyed_scores(spark, sf_dir, tables) -> DataFrame:
-    rows = binding.fresh_scores(spark, sf_dir, tables)
+def _keyed_scores(spark, sf_dir) -> DataFrame:
+    rows = binding.fresh_scores(spark, sf_dir)
     keyed = with_keys(rows, ["model_run_id", "pos", "predicted_cpe"], costly=True)
     return with_defaults(keyed.drop("pos"), "scores", binding.NOW)
 
@@ -71,7 +71,7 @@ def _keyed_scores(spark, sf_dir, tables) -> DataFrame:
 @query
 def scores_wide(spark, sf_dir):
     tables = binding.base_tables(spark, sf_dir)
-    return reports.scores_wide({**tables, "scores": _keyed_scores(spark, sf_dir, tables)})
+    return reports.scores_wide({**tables, "scores": _keyed_scores(spark, sf_dir)})
 
 
 @query
@@ -139,7 +139,7 @@ def report_roundtrip(spark, sf_dir):
 def report_counts(spark, sf_dir):
     """All five report tables written and read back: their sizes."""
     tables = binding.base_tables(spark, sf_dir)
-    scored = {**tables, "scores": _keyed_scores(spark, sf_dir, tables)}
+    scored = {**tables, "scores": _keyed_scores(spark, sf_dir)}
     written = write_report(reports.report_tables(scored), shared_folder(spark))
     counts = [
         spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("report"), "n_rows")
@@ -153,7 +153,7 @@ def report_counts(spark, sf_dir):
 
 @query
 def score_predictions(spark, sf_dir):
-    return binding.fresh_scores(spark, sf_dir, binding.base_tables(spark, sf_dir))
+    return binding.fresh_scores(spark, sf_dir)
 
 
 def _old_scores(spark, sf_dir) -> DataFrame:
