@@ -40,7 +40,7 @@ CPE_SCHEMA = f"""
   _corrupt string"""
 _OPTIONS = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
 # what may follow the root element: white space, comments, processing instructions
-_AFTER_ROOT = r"(?s)</nmaprun\s*>(?!(?:\s|<!--.*?-->|<\?.*?\?>)*+\z)"
+_AFTER_ROOT = r"(?s)</nmaprun\s*>(?!(?:\s++|<!--.*?-->|<\?.*?\?>)*+\z)"
 
 
 def _first(items: Column) -> Column:

@@ -128,3 +128,9 @@ def test_documents_are_parsed_once(rows):
         extract.rejected_documents(scans(rows)), scanner_cpes(scans(rows)),
     ):
         assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1
+
+
+def test_long_endings(rows):
+    end = "</nmaprun>" + "\n" * 200_000 + "<!-- " + "x" * 200_000 + " -->" + " " * 200_000
+    frame = rows("i int, xml string", [(1, MINIMAL.replace("</nmaprun>", end)), (2, MINIMAL.replace("</nmaprun>", end + "x"))])
+    assert [r.i for r in extract.primary_hosts(frame).collect()] == [1]

@@ -71,3 +71,13 @@ def test_accepted_lists(rows):
     assert found == [(0, 0, "V", "exact"), (0, 1, "V", "exact"), (0, 2, "V", None), (0, 5, "V", "odd")]
     others = sorted((r.truth_id, r.cpe, r.tier) for r in accepted_entries(frame).collect() if r.truth_id)
     assert others == [(1, "a", "exact"), (1, "b", "exact"), (2, "x", "exact"), (2, "y", "exact")]
+
+
+def test_whole_long_texts_are_read(rows):
+    noise = "word { not json } " * 50_000
+    frame = rows(
+        "i int, raw string",
+        [(1, noise + '```json\n{"cpe": "%s"}\n```' % V), (2, noise + '{"cpe": "%s"}' % V + noise), (3, "```{" + "x" * 1_000_000)],
+    )
+    found = {r.i: r.parsed_output_json for r in filter_predictions(extract_object(frame, "raw")).collect()}
+    assert found == {1: '{"cpe":"%s"}' % V, 2: '{"cpe":"%s"}' % V, 3: None}
