@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +26,21 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared folder that the session names (`spark.checkpoint.dir`)."""
+    """A fresh folder that driver and executors share.
+
+    Below `spark.checkpoint.dir` where the session names one, else below the warehouse. A warehouse
+    on a local disk serves only a local master; on a cluster that is refused, since each executor
+    would write to a disk of its own.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="devident-shared-"))
-    return f"{context.getCheckpointDir()}/devident-{uuid.uuid4().hex}"
+    base = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        warehouse = context._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.sql.warehouse.dir"))
+        resolved = warehouse.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(warehouse)
+        if resolved.toUri().getScheme() == "file" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{resolved}/_intermediate"
+    return f"{base.rstrip('/')}/devident-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -44,12 +52,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a frame over the cores when its files give fewer tasks than there are cores.
-
-    For costly per-row work on few input splits. Inputs with enough splits are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from devident.plans.catalog import QUERIES
+from devident.plans.oracles import ORACLES
 from tests.oracle_check import connect, difference
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -17,14 +19,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_as_sql(spark, con, name):
-    problem = difference(queries()[name](spark, SF_DIR), con, oracle_sql()[name])
+    problem = difference(QUERIES[name](spark, SF_DIR), con, ORACLES[name])
     assert problem is None, problem
