@@ -1,7 +1,7 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
-Each step's input is the sum of a word's vector and the mean of its character n-grams' vectors, both from hashed
-tables. Two GRUs read a window in either direction, attention weighs their states, and one
+Each step's input is the sum of a word's vector and the mean of its character n-grams' vectors. Both tables hold
+what was met in training; other words and n-grams are zero. Two GRUs read a window in either direction, attention weighs their states, and one
 logit comes out.
 """
 
@@ -10,23 +10,36 @@ from __future__ import annotations
 import numpy as np
 
 EMBED, HIDDEN, ATTEND = 12, 12, 8
-BUCKETS = 1 << 15
 GRAMS = (3, 4, 5)
 _PRIME = np.uint64(0x100000001B3)
+_SLOTS = 1 << 21
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
+def _mixed(hashes: np.ndarray) -> np.ndarray:
     hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS
+    return hashes ^ (hashes >> np.uint64(29))
+
+
+class Rows:
+    """The row of each known 64-bit hash; 0 for others. Of known hashes with one slot the first counts."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = np.concatenate([np.zeros(1, np.uint64), known])
+        self.at = np.zeros(_SLOTS, dtype=np.int32)
+        self.at[(known & np.uint64(_SLOTS - 1)).astype(np.int64)[::-1]] = np.arange(len(known), 0, -1)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        row = self.at[(hashes & np.uint64(_SLOTS - 1)).astype(np.int64)]
+        return np.where(self.known[row] == hashes, row, 0)
 
 
 def features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word in lower case: its word bucket; the buckets of its character n-grams, flat, with the
-    place where each word's begin. A word has one n-gram at least."""
+    """Of each word in lower case: its hash; the hashes of its character n-grams, flat, with the place
+    where each word's begin. A word has one n-gram at least."""
     texts = [w.decode("utf-8", "replace").lower() for w in vocabulary]
     marked = "".join(f"\x02{t}\x03" for t in texts)
     points = np.frombuffer(marked.encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
@@ -34,17 +47,17 @@ def features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     begins = np.cumsum(lengths) - lengths
     ends = np.repeat(begins + lengths, lengths)
     place = np.arange(len(points))
-    owners, buckets = [], []
+    owners, grams = [], []
     rolled = np.zeros(len(points), dtype=np.uint64)
     for n in range(1, max(GRAMS) + 1):
         shifted = np.zeros(len(points), dtype=np.uint64)
-        shifted[: len(points) - n + 1] = points[n - 1 :]
+        shifted[: max(0, len(points) - n + 1)] = points[n - 1 :]
         rolled = (rolled ^ shifted) * _PRIME
         if n in GRAMS:
             inside = np.flatnonzero(place + n <= ends)
             owners.append(inside)
-            buckets.append(_bucket(rolled[inside] + np.uint64(n)))
-    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+            grams.append(_mixed(rolled[inside] + np.uint64(n)))
+    owner, gram = np.concatenate(owners), np.concatenate(grams)
     word_of = np.repeat(np.arange(len(texts)), lengths)
     order = np.argsort(owner, kind="stable")
     counts = np.bincount(word_of[owner], minlength=len(texts))
@@ -52,8 +65,8 @@ def features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     powers[0] = 1
     inside = place - np.repeat(begins, lengths)
     spelled = points * np.cumprod(powers, dtype=np.uint64)[inside]
-    words = _bucket(np.add.reduceat(spelled, begins) if len(texts) else spelled)
-    return words, bucket[order], np.cumsum(counts) - counts
+    words = _mixed(np.add.reduceat(spelled, begins) if len(texts) else spelled)
+    return words, gram[order], np.cumsum(counts) - counts
 
 
 def subset(features_, chosen: np.ndarray):
@@ -65,13 +78,20 @@ def subset(features_, chosen: np.ndarray):
     return words[chosen], grams[spans], firsts
 
 
-def initial(seed: int = 11) -> dict[str, np.ndarray]:
+def resolve(features_, word_rows: Rows, char_rows: Rows):
+    """Features as rows of the tables instead of hashes."""
+    return word_rows.of(features_[0]), char_rows.of(features_[1]), features_[2]
+
+
+def initial(seed: int = 11, words: int = 0, grams: int = 0) -> dict[str, np.ndarray]:
+    """Parameters with tables for so many words and n-grams; row 0 stands for those not known and stays zero."""
     rng = np.random.default_rng(seed)
 
     def normal(*shape, scale):
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    params = {"word": normal(BUCKETS, EMBED, scale=0.02), "char": normal(BUCKETS, EMBED, scale=0.02)}
+    params = {"word": normal(words + 1, EMBED, scale=0.02), "char": normal(grams + 1, EMBED, scale=0.02)}
+    params["word"][0] = params["char"][0] = 0
     for side in "fb":
         params |= {
             f"w{side}": normal(EMBED, 3 * HIDDEN, scale=EMBED**-0.5),
@@ -149,7 +169,7 @@ def forward(params, projected, ids, keep=False):
 
 
 def gradients(params, vectors, features_, ids, d_logit, cache) -> dict[str, np.ndarray]:
-    """Gradients of all parameters, given those of the logits."""
+    """Gradients of all parameters, given those of the logits; of the tables as (rows, values)."""
     mask, kept_f, kept_b, states, hidden, weight, pooled = cache
     size = params["uf"].shape[0]
     grad = {"out": pooled.T @ d_logit, "bias": np.array([d_logit.sum()], np.float32)}
@@ -170,12 +190,20 @@ def gradients(params, vectors, features_, ids, d_logit, cache) -> dict[str, np.n
         np.add.at(d_vectors, rows, d @ params[f"w{side}"].T)
     words, grams, begins = features_
     counts = np.diff(np.concatenate([begins, [len(grams)]]))
-    grad["word"], grad["char"] = np.zeros_like(params["word"]), np.zeros_like(params["char"])
-    np.add.at(grad["word"], words, d_vectors)
-    np.add.at(grad["char"], grams, np.repeat(d_vectors / counts[:, None], counts, axis=0))
+    grad["word"] = _by_row(words, d_vectors)
+    grad["char"] = _by_row(grams, np.repeat(d_vectors / counts[:, None], counts, axis=0))
     return grad
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the rows of a table that were used, without row 0."""
+    rows, values = rows[rows > 0], values[rows > 0]
+    used, place = np.unique(rows, return_inverse=True)
+    out = np.zeros((len(used), values.shape[1]), values.dtype)
+    np.add.at(out, place, values)
+    return used, out
+
+
 class Adam:
     """`rate` by parameter; those not named have `other`."""
 
@@ -188,7 +216,8 @@ class Adam:
         self.step += 1
         scale = (1 - 0.999**self.step) ** 0.5 / (1 - 0.9**self.step)
         for k, g in grad.items():
+            at, g = g if isinstance(g, tuple) else (slice(None), g)
             g = g.astype(np.float32)
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.001 * (g * g - self.second[k])
-            params[k] -= scale * self.rates[k] * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)
+            self.first[k][at] += 0.1 * (g - self.first[k][at])
+            self.second[k][at] += 0.001 * (g * g - self.second[k][at])
+            params[k][at] -= scale * self.rates[k] * self.first[k][at] / (np.sqrt(self.second[k][at]) + 1e-8)

@@ -9,6 +9,6 @@ SQL = None
 
 def query(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    params = learn(docs, read(spark, sf_dir, "labels"))
-    found = score(docs, params, keep=["doc_id"]).withColumn("held_out", held_out())
+    model = learn(docs, read(spark, sf_dir, "labels"))
+    found = score(docs, model, keep=["doc_id"]).withColumn("held_out", held_out())
     return found.select("doc_id", "held_out", "score", "predicted")

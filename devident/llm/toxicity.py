@@ -24,13 +24,15 @@ _BATCH = 2048
 @dataclass(frozen=True)
 class Training:
     """The bounds of what is learned from: labelled documents of either class (expected numbers, chosen by
-    a hash of doc_id) and windows of each, spread over the whole text; and the number of steps."""
+    a hash of doc_id) and windows of each, spread over the whole text; the number
+    of steps and their batch; and in how many documents a known word or n-gram must be."""
 
     positives: int = 1500
     negatives: int = 2500
     windows: int = 16
     steps: int = 160
     batch: int = 128
+    least: int = 3
     seed: int = 17
 
 
@@ -81,58 +83,97 @@ def sample(docs: DataFrame, labels: DataFrame, training: Training) -> list[tuple
     return [((r.doc_id, r.toxic), words(r.text.encode())) for r in rows]
 
 
-def _lexical(params, labels, owner, ids, feats) -> None:
-    """Start the first component of each table at how much more often toxic documents have the word or the n-gram."""
-    vocabulary, grams, begins = feats
-    counts = np.diff(np.concatenate([begins, [len(grams)]]))
-    gram_word = np.repeat(np.arange(len(vocabulary)), counts)
-    documents = np.unique(owner)
-    number = np.searchsorted(documents, owner)
+@dataclass(frozen=True)
+class Model:
+    """Parameters, the hashes of the words and n-grams that the tables know, and how a document's largest
+    logit becomes a probability: by `scale` and `shift`."""
+
+    params: dict
+    words: np.ndarray
+    grams: np.ndarray
+    scale: float = 1.0
+    shift: float = 0.0
+
+
+def calibrate(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that fit documents' largest logits to their labels; both classes weigh the same, and
+    targets are a little off 0 and 1, so that separable ones don't end in a step."""
+    size = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    target = np.where(labels == 1, (size[1] + 1) / (size[1] + 2), 1 / (size[0] + 2))
+    weight = 0.5 / size[labels]
+    x = np.stack([logits, np.ones(len(logits))], axis=1).astype(float)
+    beta = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = gru.sigmoid(x @ beta)
+        slope = x.T @ (weight * (p - target)) + 1e-4 * (beta - [1, 0])
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        beta = beta - step * min(1.0, 2.0 / np.abs(step).max(initial=1e-12))
+    return (float(beta[0]), float(beta[1])) if beta[0] > 0.05 else (1.0, 0.0)
+
+
+def _lexicon(labels, owner, ids, feats, least: int):
+    """Of words and of n-grams: those in `least` documents or more, and how much more often toxic documents have
+    them, from -1 to 1."""
+    word_hash, gram_hash, begins = feats
+    counts = np.diff(np.concatenate([begins, [len(gram_hash)]]))
+    documents, number = np.unique(owner, return_inverse=True)
     flag = np.zeros(len(documents))
     flag[number] = labels
     used = ids >= 0
-    pairs = np.unique(np.repeat(number, used.sum(axis=1)) * len(vocabulary) + ids[used])
-    doc, word = np.divmod(pairs, len(vocabulary))
+    pairs = np.unique(np.repeat(number, used.sum(axis=1)) * len(word_hash) + ids[used])
+    doc, word = np.divmod(pairs, len(word_hash))
     total = np.array([(1 - flag).sum(), flag.sum()])
-    for table, doc_of, bucket in (
-        ("word", doc, vocabulary[word]),
-        ("char", np.repeat(doc, counts[word]), grams[np.concatenate([np.arange(begins[w], begins[w] + counts[w]) for w in word])]),
-    ):
-        seen = np.unique(doc_of * gru.BUCKETS + bucket)
-        d, b = np.divmod(seen, gru.BUCKETS)
-        has = [np.bincount(b[flag[d] == c], minlength=gru.BUCKETS) for c in (0, 1)]
-        p0, p1 = (has[c] / max(1, total[c]) for c in (0, 1))
+    firsts = np.cumsum(counts[word]) - counts[word]
+    of_word = np.arange(counts[word].sum()) + np.repeat(begins[word] - firsts, counts[word])
+    out = []
+    for doc_of, hashes in ((doc, word_hash[word]), (np.repeat(doc, counts[word]), gram_hash[of_word])):
+        known, row = np.unique(hashes, return_inverse=True)
+        d, r = np.divmod(np.unique(doc_of * len(known) + row), len(known))
+        has = [np.bincount(r[flag[d] == c], minlength=len(known)) for c in (0, 1)]
+        p0, p1 = (has[c] / total[c] for c in (0, 1))
         mean = (has[0] + has[1] + 3) / (total.sum() + 6)  # rare ones say little
-        z = (p1 - p0) / np.sqrt(mean * (1 - mean) * (1 / max(1, total[0]) + 1 / max(1, total[1])))
-        params[table][:, 0] += np.tanh(z * np.abs(z) / 36)
+        z = (p1 - p0) / np.sqrt(mean * (1 - mean) * (1 / total[0] + 1 / total[1]))
+        kept = has[0] + has[1] >= least
+        out.append((known[kept], np.tanh(z * np.abs(z) / 36)[kept]))
+    return out
 
 
-def train(rows: list, training: Training) -> dict[str, np.ndarray]:
-    """The network's parameters. Windows of a toxic document count as toxic only where the network finds
+def train(rows: list, training: Training) -> Model:
+    """The network. Windows of a toxic document count as toxic only where the network finds
     them the most toxic ones of the document; every window of a clean document is clean.
 
     Without a row of each class the network says 0 for every text.
     """
-    params = gru.initial(training.seed)
     labels = np.array([r[0][1] for r in rows], dtype=np.int64)
     if not len(rows) or labels.min() == labels.max():
+        params, none = gru.initial(training.seed), np.empty(0, np.uint64)
         params["bias"][:] = -20.0
-        return params
+        params["out"][:] = 0.0
+        return Model(params, none, none)
     owner = np.array([r[0][0] for r in rows])
     index: dict[bytes, int] = {}
     ids = np.full((len(rows), WINDOW), -1, dtype=np.int64)
     for i, (_, parts) in enumerate(rows):
         ids[i, : len(parts)] = [index.setdefault(w, len(index)) for w in parts]
-    feats = gru.features(list(index))
-    _lexical(params, labels, owner, ids, feats)
-    adam, rng = gru.Adam(params, word=0.002, char=0.002), np.random.default_rng(training.seed)
+    hashed = gru.features(list(index))
+    (known_words, word_start), (known_grams, gram_start) = _lexicon(labels, owner, ids, hashed, training.least)
+    params = gru.initial(training.seed, len(known_words), len(known_grams))
+    params["word"][1:, 0] += word_start
+    params["char"][1:, 0] += gram_start
+    feats = gru.resolve(hashed, gru.Rows(known_words), gru.Rows(known_grams))
+    adam, rng = gru.Adam(params, word=0.0005, char=0.0005), np.random.default_rng(training.seed)
     toxic, clean = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     groups = np.split(toxic, np.flatnonzero(np.diff(owner[toxic])) + 1)
     targets = hard = None
+
+    def window_logits():
+        projected = gru.project(params, gru.embed(params, *feats))
+        return np.concatenate([gru.forward(params, projected, ids[i : i + _BATCH])[0] for i in range(0, len(ids), _BATCH)])
+
     for step in range(training.steps):
         if step % 20 == 0:
-            projected = gru.project(params, gru.embed(params, *feats))
-            logits = np.concatenate([gru.forward(params, projected, ids[i : i + _BATCH])[0] for i in range(0, len(ids), _BATCH)])
+            logits = window_logits()
             # per toxic document its best window, and those that are near it or already found toxic
             targets = np.concatenate([g[(logits[g] >= logits[g].max()) | (logits[g] > 1.0)] for g in groups])
             hard = clean[np.argsort(-logits[clean], kind="stable")[: max(1, len(clean) // 4)]]
@@ -146,16 +187,21 @@ def train(rows: list, training: Training) -> dict[str, np.ndarray]:
         logit, cache = gru.forward(params, gru.project(params, vectors), own, keep=True)
         d_logit = ((gru.sigmoid(logit) - y) / len(taken)).astype(np.float32)
         grad = gru.gradients(params, vectors, some, own, d_logit, cache)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-        adam.update(params, {k: g * min(1.0, 1.0 / (norm + 1e-9)) for k, g in grad.items()})
-    return params
+        adam.update(params, grad)
+    logits = window_logits()
+    documents, number = np.unique(owner, return_inverse=True)
+    largest, flag = np.full(len(documents), -np.inf), np.zeros(len(documents), dtype=np.int64)
+    np.maximum.at(largest, number, logits)
+    flag[number] = labels
+    return Model(params, known_words, known_grams, *calibrate(largest, flag))
 
 
 class Scorer:
     """Scores texts; keeps the projected vectors of words already met."""
 
-    def __init__(self, params):
-        self.params = params
+    def __init__(self, model: Model):
+        self.model, self.params = model, model.params
+        self.rows = gru.Rows(model.words), gru.Rows(model.grams)
         self.known: dict[bytes, int] = {}
         self.forth = np.empty((1024, 3 * gru.HIDDEN), np.float32)
         self.back = np.empty_like(self.forth)
@@ -172,7 +218,7 @@ class Scorer:
             self.forth, self.back = (np.concatenate([a, np.empty_like(a)]) for a in (self.forth, self.back))
         for i in range(0, len(new), 1 << 15):
             some = new[i : i + (1 << 15)]
-            forth, back = gru.project(self.params, gru.embed(self.params, *gru.features(some)))
+            forth, back = gru.project(self.params, gru.embed(self.params, *gru.resolve(gru.features(some), *self.rows)))
             at = slice(begin + i, begin + i + len(some))
             self.forth[at], self.back[at] = forth, back
         self.known.update((w, begin + i) for i, w in enumerate(new))
@@ -183,7 +229,9 @@ class Scorer:
 
     def probabilities(self, ids: np.ndarray) -> np.ndarray:
         out = [
-            gru.sigmoid(gru.forward(self.params, (self.forth, self.back), ids[i : i + _BATCH])[0])
+            gru.sigmoid(
+                self.model.scale * gru.forward(self.params, (self.forth, self.back), ids[i : i + _BATCH])[0] + self.model.shift
+            )
             for i in range(0, len(ids), _BATCH)
         ]
         return np.concatenate(out) if out else np.empty(0, np.float32)
@@ -220,12 +268,12 @@ class Scorer:
         return self.windows(own)
 
 
-def score(docs: DataFrame, params: dict, text: str = "text", keep=None, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", keep=None, threshold: float = 0.3) -> DataFrame:
     """The columns `keep` (None: all) with `score` (0 to 1) and `predicted` (1 from `threshold` on).
 
     NULL, empty and blank texts score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(params)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     read = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text])])
@@ -247,6 +295,6 @@ def held_out(column="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> dict:
-    """Parameters learned from the labelled documents that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Model:
+    """The network learned from the labelled documents that are not held out."""
     return train(sample(docs, labels.select("doc_id", "toxic").filter(~held_out()), training), training)

@@ -5,17 +5,27 @@ import pytest
 from pyspark.sql import functions as F
 
 from devident.llm import gru
-from devident.llm.toxicity import STRIDE, WINDOW, Scorer, Training, held_out, learn, score, train, window_ids, window_starts
+from devident.llm.toxicity import STRIDE, WINDOW, Model, Scorer, Training, held_out, learn, score, train, window_ids, window_starts
 
-SF_DIR = "/root/testdata/sf0.01"
+SF_DIR = "/root/testdata/sf0.1"
+
+
+def model(seed):
+    hashed = gru.features([b"some", b"short", *[f"w{i}".encode() for i in range(0, 1500, 2)]])
+    known = np.unique(hashed[0]), np.unique(hashed[1])
+    params = gru.initial(seed, len(known[0]), len(known[1]))
+    params["word"] *= 50
+    return Model(params, *known)
 
 
 def test_gradients():
     rng = np.random.default_rng(2)
-    params = {k: v.astype(np.float64) for k, v in gru.initial(3).items()}
+    hashed = gru.features([b"one", b"two", b"thr\xc3\xa9e", b"a"])
+    known = np.unique(hashed[0][:3]), np.unique(hashed[1])[2:]
+    params = {k: v.astype(np.float64) for k, v in gru.initial(3, len(known[0]), len(known[1])).items()}
     for k in ("word", "char"):
-        params[k] = rng.standard_normal(params[k].shape) * 0.5
-    feats = gru.features([b"one", b"two", b"thr\xc3\xa9e", b"a"])
+        params[k][1:] = rng.standard_normal(params[k][1:].shape) * 0.5
+    feats = gru.resolve(hashed, gru.Rows(known[0]), gru.Rows(known[1]))
     ids = np.array([[0, 1, 2, 1, -1], [3, 0, -1, -1, -1], [2, 2, 1, 0, 3]])
     weights = np.array([1.0, -2.0, 0.5])
 
@@ -26,6 +36,10 @@ def test_gradients():
     vectors, (logit, cache) = value()
     grad = gru.gradients(params, vectors, feats, ids, weights, cache)
     for name, g in grad.items():
+        if isinstance(g, tuple):
+            full = np.zeros_like(params[name])
+            full[g[0]] = g[1]
+            g = full
         flat = np.flatnonzero(np.abs(g).ravel() > 1e-4)
         for at in rng.choice(flat, min(6, len(flat)), replace=False):
             old = params[name].ravel()[at]
@@ -47,15 +61,14 @@ def test_windows_overlap_and_cover():
 
 
 def test_padding_does_not_change_a_score():
-    params = gru.initial(4)
-    scorer = Scorer(params)
+    scorer = Scorer(model(4))
     ids = scorer.windows([b"some", b"short", b"text"])
     assert scorer.probabilities(ids)[0] == pytest.approx(scorer.probabilities(ids[:, :3])[0], abs=1e-5)
 
 
 def test_long_text_scores_like_its_windows(monkeypatch):
     monkeypatch.setattr("devident.llm.toxicity.CACHED_WORDS", 400)
-    params = gru.initial(5)
+    params = model(5)
     parts = [f"w{i * 7919 % 1500}".encode() for i in range(3000)]
     whole = Scorer(params).scores([b" ".join(parts), b"x", None])
     by_window = max(Scorer(params).scores([b" ".join(parts[s : s + WINDOW])])[0] for s in window_starts(3000))
@@ -70,7 +83,7 @@ def test_learns_on_the_tables(spark):
     toxic = [r.score for r in rows if r.toxic]
     clean = [r.score for r in rows if not r.toxic]
     auc = np.mean([(t > c) + 0.5 * (t == c) for t in toxic for c in clean])
-    assert auc > 0.9 and np.mean([r.predicted == r.toxic for r in rows]) > 0.9
+    assert auc > 0.97 and np.mean([r.predicted == r.toxic for r in rows]) > 0.97
 
 
 def test_odd_rows(spark, rows):
