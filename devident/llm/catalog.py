@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from devident.llm.queries import language, packing, quality_rules, simhash, substring_dedup, toxicity
+from devident.llm.queries import language, packing, pii, quality_rules, simhash, substring_dedup, toxicity
 
-_MODULES = (toxicity, substring_dedup, language, simhash, packing, quality_rules)
+_MODULES = (toxicity, substring_dedup, language, pii, simhash, packing, quality_rules)
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if m.SQL is not None}

@@ -1,0 +1,106 @@
+"""Personal data: base spans against the contract's patterns, labelers, reliabilities, odd rows."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from devident.llm.pii import LABELERS, expectation_maximisation, find, learn, spans_of
+from devident.llm.queries.pii import query
+
+DOCS = "doc_id long, text string"
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    return [
+        (k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if valid(k, m.group())
+    ]
+
+
+def noisy(rng):
+    bits = ["a@b.c", "_d@e.f", "a@b", "@c.d", ".", "..", "x.y%+@m-1.co.uk", "1.2.3.4", ".5", "256.1.1.1", "001.02.3.255", "4111 1111-1111 1111",
+            "4111111111111111", "5", "-", "--", " ", "\n", "é", "𝒳", "+1 (203) 555-8282", "+49 30 1234567", "+", "+1 .", "12", "+1234567890123456", "the", "name"]
+    return "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
+
+
+def test_base_like_the_patterns(spark, rows):
+    rng = random.Random(3)
+    data = [(i, noisy(rng)) for i in range(800)]
+    got = {r.doc_id: [(s.kind, s.first, s.last) for s in r.base] for r in find(rows(DOCS, data)).collect()}
+    for i, text in data:
+        assert got[i] == brute(text), repr(text)
+
+
+def test_query(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in query(spark, sf_dir).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        base = brute(r.text)
+        row = got[r.doc_id]
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(b[0] == k for b in base) for k in PATTERNS]
+        assert row.base_sha256 == hashlib.sha256(line.encode()).hexdigest() and row.spans.startswith(line)
+
+
+def test_long_and_odd_rows(spark, rows):
+    many = "4111111111111111 x " * 3000
+    data = [(1, None), (2, ""), (2, "a@b.c"), (2, "a@b.c"), (None, "1.2.3.4"), (3, many), (4, "1" * 200_000), (5, "a" * 200_000 + "@"),
+            (6, "a@" + "b." * 50_000 + "c"), (7, "1 " * 50_000), (8, "+1" + " " * 100_000)]
+    frame = rows(DOCS, data).selectExpr("*", "1 AS base", "2 AS added", "3 AS candidates")
+    got = find(frame).collect()
+    assert sorted(len(r.base) for r in got) == sorted(len(brute(t)) for _, t in data)
+    assert [s.first for r in got if r.doc_id == 3 for s in r.base] == [19 * i for i in range(3000)]
+    assert find(rows(DOCS, [])).count() == 0
+
+
+def test_labelers_agree_on_what_is_personal(spark, rows):
+    data = [(i, f"call Dr. Anna Meier or mail anna.meier{i} (at) mail (dot) org password=Xy{i}abc9 tel 203 555 8282") for i in range(40)]
+    data += [(100 + i, f"isbn {9780000000000 + 7 * i} page 22 33 44 version 10 20 30") for i in range(60)]
+    found = {r.doc_id: r for r in find(rows(DOCS, data)).collect()}
+    kinds = {s.kind for s in found[3].added}
+    assert {"handle", "secret"} <= kinds and all(a.first < a.last for a in found[3].added)
+    assert not found[105].added
+    assert all(not any(b.first < a.last and b.last > a.first for b in r.base) for r in found.values() for a in r.added)
+
+
+def test_reliabilities():
+    rng = random.Random(1)
+    counts = {}
+    for _ in range(4000):
+        y = rng.random() < 0.4
+        right = lambda p: (1 if y else -1) * (1 if rng.random() < p else -1)
+        votes = (right(0.9), right(0.8), right(0.55), 0, right(0.85))
+        counts[votes] = counts.get(votes, 0) + 1
+    rows_ = [dict(zip(LABELERS, v)) | {"n": n} for v, n in counts.items()]
+    found, _ = expectation_maximisation(rows_)
+    assert found.prior == pytest.approx(0.4, abs=0.05)
+    assert found.votes["regex", 1, 1] == pytest.approx(0.9, abs=0.05) and found.votes["context", 1, 1] == pytest.approx(0.55, abs=0.06)
+    assert expectation_maximisation([])[0].prior == 0.5
+
+
+def test_nothing_to_learn_from(spark, rows):
+    assert learn(spans_of(rows(DOCS, [(1, "plain words only")]))) == {}
