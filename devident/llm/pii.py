@@ -172,6 +172,8 @@ def spans_of(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame
     frame = _located(frame, "_pii_text", CANDIDATE, "_pii_candidates", F.col("_pii_text").rlike(
         r"[0-9]{2}|(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)|[(\[\x20]at[)\]\x20]|(?<!\p{L})(?:" + "|".join(TITLES) + r")\.?\x20"
     ))
+    # through a generator, so that the base spans aren't worked out again for each candidate
+    frame = frame.select(*keep, F.inline(F.array(F.struct("base", "_pii_candidates"))))
     frame = frame.withColumn("candidates", F.transform("_pii_candidates", _candidate))
     return materialize(frame.select(*keep, "base", "candidates"))
 
