@@ -5,12 +5,13 @@ of PREFIX words, the leftmost of equal ones. Neighbouring windows mostly have th
 of n words has about n / 21 anchored suffixes instead of n. The anchor's prefix partitions the
 suffixes: windows of equal words have the same prefix at the same offset and meet in the same part.
 
-Parts whose windows all come from one text segment need no tree. Other parts become suffix
+The windows of an anchored suffix cover its segment; equal segments fold into a class with its least
+doc_id. Parts of one class need no tree. Other parts become suffix
 subtrees in memory: the windows' suffixes of their distinct segments are sorted, neighbours' common
 prefixes are measured, and an internal node at depth `length` or more is a repeat; the least doc_id below
 it keeps its copy. Parts with more than `part` distinct segments are split by longer prefixes, up to the
 whole window, which is the node itself; its least doc_id is a partial aggregate. So no part
-has to fit in memory whose size grows with the corpus, and equal segments, however many, count once.
+has to fit in memory whose size grows with the corpus.
 """
 
 from __future__ import annotations
@@ -132,19 +133,23 @@ def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 if _digest(parts)[1] != print_:
                     continue  # another row with the same doc_id
                 hashes = word_hashes(parts).view(np.int64)
-                rows += [(w["key"], w["segment"], doc_id, hashes[w["low"] : w["low"] + w["more"] + length]) for w in own]
-            columns = zip(*rows) if rows else [[]] * 4
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                rows += [(w["key"], w["segment"], w["n"], doc_id, hashes[w["low"] : w["low"] + w["more"] + length]) for w in own]
+            columns = zip(*rows) if rows else [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), type=t) for c, t in zip(columns, types)], names=["key", "segment", "least", "hashes"]
+                [pa.array(list(c), type=t) for c, t in zip(columns, types)], names=["key", "segment", "n", "least", "hashes"]
             )
 
-    lists = wanted.groupBy("doc_id", "print").agg(F.collect_set(F.struct("key", "segment", "low", "more")).alias("wanted"))
-    return docs.join(lists, "doc_id").mapInArrow(run, "key long, segment long, least long, hashes array<long>")
+    lists = wanted.groupBy("doc_id", "print").agg(
+        F.collect_set(F.struct("key", "segment", "n", "low", "more")).alias("wanted")
+    )
+    return docs.join(lists, "doc_id").mapInArrow(run, "key long, segment long, n long, least long, hashes array<long>")
 
 
 def _spans_of_nodes(owner: np.ndarray, offset: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Places where a new span of offsets with the same owner and the same least doc_id begins."""
+    if not len(owner):
+        return np.empty(0, dtype=np.int64)
     return np.flatnonzero(
         np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1) | (least[1:] != least[:-1])])
     )
@@ -187,8 +192,10 @@ def _trees(segments: DataFrame, length: int) -> DataFrame:
         least = flat.field("least").slice(low, high - low).to_numpy()
         names = flat.field("segment").slice(low, high - low).to_numpy()
         owner, offset, found = subtree(parts, hashes, least, length)
+        earlier = found < least[owner]  # windows that the segment's own least document doesn't own
+        owner, offset, found = owner[earlier], offset[earlier], found[earlier]
         first = _spans_of_nodes(owner, offset, found)
-        last = np.concatenate([first[1:], [len(owner)]]) - 1
+        last = np.concatenate([first[1:], [len(owner)]]).astype(np.int64)[: len(first)] - 1
         return pa.RecordBatch.from_arrays(
             [pa.array(c) for c in (parts[owner[first]], names[owner[first]], offset[first].astype(np.int32), offset[last].astype(np.int32), found[first])],
             names=["key", "segment", "first", "last", "least"],
@@ -226,8 +233,10 @@ def _whole_prefixes(segments: DataFrame, length: int) -> DataFrame:
 
     windows = materialize(segments.mapInArrow(run, "key long, segment long, first int, own long, node long"))
     least = materialize(windows.groupBy("key", "node").agg(F.min("own").alias("least")))
-    found = windows.join(least, ["key", "node"])
-    return found.select("key", "segment", "first", F.col("first").alias("last"), "least").distinct()
+    found = windows.alias("w").join(
+        least.alias("l"), F.expr("w.key = l.key AND w.node = l.node AND w.own > l.least")
+    )
+    return found.select("w.key", "segment", "first", F.col("first").alias("last"), "least").distinct()
 
 
 def _remove(joined: DataFrame, length: int) -> DataFrame:
@@ -258,40 +267,37 @@ def _remove(joined: DataFrame, length: int) -> DataFrame:
     )
 
 
-def removals(docs: DataFrame, length: int = 50, part: int = 256) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, length: int = 50, part: int = 4096) -> tuple[DataFrame, DataFrame]:
     """The index of `docs(doc_id, text)`, and (doc_id, print, first, last): the starts of windows that also
     start in a document with a smaller doc_id."""
     index = materialize(_index(docs, length))
     runs = index.select("doc_id", "print", F.explode(F.arrays_zip("key", "low", "more", "segment")).alias("s")).select(
         "doc_id", "print", "s.*"
     )
-    met = runs.groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
-        F.min("segment").alias("segment"), F.max("segment").alias("other"),
-    )
-    met = materialize(met.filter("least < most"))
-    single = met.filter("segment = other").select(
-        "key", "segment", F.lit(0).alias("first"), F.lit(length).alias("last"), "least"
+    met = runs.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    met = materialize(met.filter("least < most").select("key"))
+    shared = materialize(runs.join(met, "key"))
+    classes = shared.groupBy("key", "segment").agg(
+        F.min(F.struct("doc_id", "print", "low", "more")).alias("rep"), F.max("doc_id").alias("most")
     )
-    several = met.filter("segment <> other").select("key")
-    classes = materialize(
-        runs.join(several, "key").groupBy("key", "segment")
-        .agg(F.min(F.struct("doc_id", "print", "low", "more")).alias("rep")).select("key", "segment", "rep.*")
+    classes = materialize(classes.select("key", "segment", "rep.*", "most"))
+    sizes = materialize(classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    segments = materialize(_segments(docs, classes.join(sizes, "key"), length))
+    # all windows of a segment start in its least document, and some in an earlier one
+    own = classes.filter("doc_id < most").select(
+        "key", "segment", F.lit(0).alias("first"), F.lit(length).alias("last"), F.col("doc_id").alias("least")
     )
-    sizes = classes.groupBy("key").agg(F.count("*").alias("n"))
-    words_of = materialize(_segments(docs, classes, length)).join(materialize(sizes), "key")
-    verdicts = single.unionByName(_trees(words_of.filter(F.col("n") <= part), length)).unionByName(
-        _whole_prefixes(words_of.filter(F.col("n") > part), length)
+    verdicts = own.unionByName(_trees(segments.filter(F.col("n") <= part), length)).unionByName(
+        _whole_prefixes(segments.filter(F.col("n") > part), length)
     )
-    verdicts = materialize(verdicts)
-    gone = runs.join(verdicts, ["key", "segment"]).filter(F.col("doc_id") > F.col("least"))
+    gone = shared.join(materialize(verdicts), ["key", "segment"]).filter(F.col("doc_id") > F.col("least"))
     return index, gone.select(
         "doc_id", "print", (F.col("low") + F.col("first")).alias("first"),
         (F.col("low") + F.least("last", F.col("more").cast("int"))).alias("last"),
     )
 
 
-def dedupe(docs: DataFrame, length: int = 50, part: int = 256) -> DataFrame:
+def dedupe(docs: DataFrame, length: int = 50, part: int = 4096) -> DataFrame:
     """Per row of `docs(doc_id, text)`: n_words, n_removed, kept_sha256, `spans` (begin, end, … of removed words)
     and `kept`, the text left where words were removed (NULL: nothing was).
 
