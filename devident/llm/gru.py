@@ -37,7 +37,17 @@ class Rows:
         return np.where(self.known[row] == hashes, row, 0)
 
 
-def features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(vocabulary: list[bytes], some: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_features` of a whole vocabulary, worked out for `some` words at a time."""
+    parts = [_features(vocabulary[i : i + some]) for i in range(0, max(1, len(vocabulary)), some)]
+    before = np.cumsum([0] + [len(p[1]) for p in parts[:-1]])
+    return (
+        np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]),
+        np.concatenate([p[2] + b for p, b in zip(parts, before)]),
+    )
+
+
+def _features(vocabulary: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word in lower case: its hash; the hashes of its character n-grams, flat, with the place
     where each word's begin. A word has one n-gram at least."""
     texts = [w.decode("utf-8", "replace").lower() for w in vocabulary]
@@ -148,6 +158,16 @@ def _gru_back(d_states, kept, u, mask):
     return dx, du
 
 
+def project_all(params, features_, some: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """The projections of a whole vocabulary, `some` words at a time."""
+    number = len(features_[0])
+    parts = [
+        project(params, embed(params, *subset(features_, np.arange(i, min(i + some, number)))))
+        for i in range(0, max(1, number), some)
+    ]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def project(params, vectors) -> tuple[np.ndarray, np.ndarray]:
     return vectors @ params["wf"] + params["cf"], vectors @ params["wb"] + params["cb"]
 

@@ -30,7 +30,7 @@ class Training:
     positives: int = 1500
     negatives: int = 2500
     windows: int = 16
-    steps: int = 160
+    steps: int = 240
     batch: int = 128
     least: int = 3
     seed: int = 17
@@ -49,8 +49,8 @@ def window_ids(ids: np.ndarray) -> np.ndarray:
     return padded[starts[:, None] + np.arange(WINDOW)] if len(starts) else np.empty((0, WINDOW), dtype=np.int64)
 
 
-def sample(docs: DataFrame, labels: DataFrame, training: Training) -> list[tuple[int, list[bytes]]]:
-    """(label, words) of up to `windows` windows per sampled document, collected.
+def sample(docs: DataFrame, labels: DataFrame, training: Training) -> list:
+    """(doc_id, start, toxic, text) of up to `windows` windows per sampled document, collected.
 
     `labels(doc_id, toxic)`: NULL labels are left out, a repeated doc_id counts once and as toxic if any of its rows
     says so. The sample is bounded by the training's numbers, whatever the size of the tables.
@@ -80,7 +80,7 @@ def sample(docs: DataFrame, labels: DataFrame, training: Training) -> list[tuple
     )
     rows = joined.mapInArrow(run, "doc_id long, start long, toxic int, text string").collect()
     rows.sort(key=lambda r: (r.doc_id, r.start, r.text))
-    return [((r.doc_id, r.toxic), words(r.text.encode())) for r in rows]
+    return rows
 
 
 @dataclass(frozen=True)
@@ -116,25 +116,24 @@ def _lexicon(labels, owner, ids, feats, least: int):
     """Of words and of n-grams: those in `least` documents or more, and how much more often toxic documents have
     them, from -1 to 1."""
     word_hash, gram_hash, begins = feats
-    counts = np.diff(np.concatenate([begins, [len(gram_hash)]]))
-    documents, number = np.unique(owner, return_inverse=True)
-    flag = np.zeros(len(documents))
-    flag[number] = labels
-    used = ids >= 0
-    pairs = np.unique(np.repeat(number, used.sum(axis=1)) * len(word_hash) + ids[used])
-    doc, word = np.divmod(pairs, len(word_hash))
-    total = np.array([(1 - flag).sum(), flag.sum()])
-    firsts = np.cumsum(counts[word]) - counts[word]
-    of_word = np.arange(counts[word].sum()) + np.repeat(begins[word] - firsts, counts[word])
+    known_words, word_row = np.unique(word_hash, return_inverse=True)
+    known_grams, gram_row = np.unique(gram_hash, return_inverse=True)
+    gram_row = gram_row.astype(np.int32)
+    has_word, has_gram = (np.zeros((2, len(k)), dtype=np.int64) for k in (known_words, known_grams))
+    total = np.zeros(2)
+    cuts = np.flatnonzero(np.diff(owner)) + 1  # rows are ordered by document
+    for own in np.split(np.arange(len(owner)), cuts):
+        label, met = labels[own[0]], np.unique(ids[own])
+        met = met[met >= 0]
+        has_word[label][np.unique(word_row[met])] += 1
+        has_gram[label][np.unique(gru.subset((word_hash, gram_row, begins), met)[1])] += 1
+        total[label] += 1
     out = []
-    for doc_of, hashes in ((doc, word_hash[word]), (np.repeat(doc, counts[word]), gram_hash[of_word])):
-        known, row = np.unique(hashes, return_inverse=True)
-        d, r = np.divmod(np.unique(doc_of * len(known) + row), len(known))
-        has = [np.bincount(r[flag[d] == c], minlength=len(known)) for c in (0, 1)]
-        p0, p1 = (has[c] / total[c] for c in (0, 1))
-        mean = (has[0] + has[1] + 3) / (total.sum() + 6)  # rare ones say little
+    for known, has in ((known_words, has_word), (known_grams, has_gram)):
+        p0, p1 = has[0] / total[0], has[1] / total[1]
+        mean = (has.sum(axis=0) + 3) / (total.sum() + 6)  # rare ones say little
         z = (p1 - p0) / np.sqrt(mean * (1 - mean) * (1 / total[0] + 1 / total[1]))
-        kept = has[0] + has[1] >= least
+        kept = has.sum(axis=0) >= least
         out.append((known[kept], np.tanh(z * np.abs(z) / 36)[kept]))
     return out
 
@@ -145,16 +144,17 @@ def train(rows: list, training: Training) -> Model:
 
     Without a row of each class the network says 0 for every text.
     """
-    labels = np.array([r[0][1] for r in rows], dtype=np.int64)
+    labels = np.array([r.toxic for r in rows], dtype=np.int64)
     if not len(rows) or labels.min() == labels.max():
         params, none = gru.initial(training.seed), np.empty(0, np.uint64)
         params["bias"][:] = -20.0
         params["out"][:] = 0.0
         return Model(params, none, none)
-    owner = np.array([r[0][0] for r in rows])
+    owner = np.array([r.doc_id for r in rows])
     index: dict[bytes, int] = {}
     ids = np.full((len(rows), WINDOW), -1, dtype=np.int64)
-    for i, (_, parts) in enumerate(rows):
+    for i, row in enumerate(rows):
+        parts = words(row.text.encode())
         ids[i, : len(parts)] = [index.setdefault(w, len(index)) for w in parts]
     hashed = gru.features(list(index))
     (known_words, word_start), (known_grams, gram_start) = _lexicon(labels, owner, ids, hashed, training.least)
@@ -168,7 +168,7 @@ def train(rows: list, training: Training) -> Model:
     targets = hard = None
 
     def window_logits():
-        projected = gru.project(params, gru.embed(params, *feats))
+        projected = gru.project_all(params, feats)
         return np.concatenate([gru.forward(params, projected, ids[i : i + _BATCH])[0] for i in range(0, len(ids), _BATCH)])
 
     for step in range(training.steps):
