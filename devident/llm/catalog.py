@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from devident.llm.queries import language, line_dedup, packing, pii, quality_rules, simhash, substring_dedup, toxicity, wordpiece
+from devident.llm.queries import (
+    decontamination, language, line_dedup, packing, pii, quality_rules, simhash, substring_dedup, toxicity, wordpiece,
+)
 
-_MODULES = (toxicity, substring_dedup, language, line_dedup, pii, simhash, packing, quality_rules, wordpiece)
+_MODULES = (
+    toxicity, substring_dedup, decontamination, language, line_dedup, pii, simhash, packing, quality_rules, wordpiece,
+)
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
 ORACLES = {m.NAME: m.SQL for m in _MODULES if m.SQL is not None}
