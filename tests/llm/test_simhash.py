@@ -8,7 +8,7 @@ import xxhash
 
 from devident.llm import golay
 from devident.llm.components import components
-from devident.llm.simhash import TWO_BITS, Plan, fingerprint, key_rows, links, near_duplicates, shingle_hashes
+from devident.llm.simhash import RESEMBLING, TWO_BITS, fingerprint, key_rows, links, near_duplicates, shingle_hashes
 
 DOCS = "doc_id long, text string"
 
@@ -88,7 +88,6 @@ def test_links_of_hot_groups_lose_nothing(spark, rows, group):
 
 
 def test_wide_plan_with_hot_groups(spark, rows):
-    plan = Plan(5, 4, tuple(range(0, 254, 23)), tuple((i, i + 1) for i in range(0, 10, 2)), False, 40)
     rng = random.Random(8)
     vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
     docs = []
@@ -99,7 +98,7 @@ def test_wide_plan_with_hot_groups(spark, rows):
             if i:
                 copy[rng.randrange(200)] = "changed"
             docs.append((g * 100 + i, " ".join(copy)))
-    got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, docs), plan).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, docs), RESEMBLING).collect()}
     assert got == {d: d // 100 * 100 for d, _ in docs}
 
 
