@@ -207,7 +207,8 @@ def gradients(params, vectors, features_, ids, d_logit, cache) -> dict[str, np.n
         used = at >= 0
         rows, d = at[used], dx[used]
         grad[f"w{side}"], grad[f"c{side}"] = vectors[rows].T @ d, d.sum(axis=0)
-        np.add.at(d_vectors, rows, d @ params[f"w{side}"].T)
+        at, values = _by_row(rows + 1, d @ params[f"w{side}"].T)
+        d_vectors[at - 1] += values
     words, grams, begins = features_
     counts = np.diff(np.concatenate([begins, [len(grams)]]))
     grad["word"] = _by_row(words, d_vectors)
@@ -218,10 +219,12 @@ def gradients(params, vectors, features_, ids, d_logit, cache) -> dict[str, np.n
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of the rows of a table that were used, without row 0."""
     rows, values = rows[rows > 0], values[rows > 0]
-    used, place = np.unique(rows, return_inverse=True)
-    out = np.zeros((len(used), values.shape[1]), values.dtype)
-    np.add.at(out, place, values)
-    return used, out
+    if not len(rows):
+        return rows, values
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class Adam:
