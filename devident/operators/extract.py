@@ -39,8 +39,9 @@ CPE_SCHEMA = f"""
       service array<struct<cpe array<string>>>>>>>>>,
   _corrupt string"""
 _OPTIONS = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": "_corrupt"}
-# what may follow the root element: white space, comments, processing instructions
-_AFTER_ROOT = r"(?s)</nmaprun\s*>(?!(?:\s++|<!--.*?-->|<\?.*?\?>)*+\z)"
+# what may follow the root element: white space, processing instructions and comments, which are cut before
+_AFTER_ROOT = r"(?s)</nmaprun\s*>(?!(?:\s++|<\?.*?\?>)*+\z)"
+_NO_MARKUP = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
 
 
 def _first(items: Column) -> Column:
@@ -64,7 +65,9 @@ def _each(items: Column) -> Column:
 def parse_documents(df: DataFrame, xml: str = "xml", schema: str = SCAN_SCHEMA) -> DataFrame:
     """Add `doc` (the parsed document) and `malformed` (the text is not one well-formed document)."""
     parsed = df.withColumn("_doc", F.from_xml(F.col(xml), schema, _OPTIONS))
-    broken = F.col("_doc").isNull() | F.col("_doc._corrupt").isNotNull() | F.col(xml).rlike(_AFTER_ROOT)
+    # an end tag within a comment or a CDATA section ends nothing
+    plain = F.regexp_replace(F.col(xml), _NO_MARKUP, "")
+    broken = F.col("_doc").isNull() | F.col("_doc._corrupt").isNotNull() | plain.rlike(_AFTER_ROOT)
     return parsed.withColumn("malformed", broken).withColumn(
         "doc", F.when(~F.col("malformed"), F.col("_doc"))
     ).drop("_doc")

@@ -28,7 +28,12 @@ class ModelSettings:
 
 
 class Backend(Protocol):
-    """What the caller plugs in. Built once per task; `chat` answers one request."""
+    """What the caller plugs in. Built once per task and model; `chat` answers one request.
+
+    A backend that cannot seed says so by `supports_seed = False`; its runs carry no seed.
+    """
+
+    supports_seed: bool = True
 
     def chat(
         self, messages: list[dict], *, temperature: float, top_p: float, seed: int | None, max_tokens: int
@@ -109,29 +114,46 @@ def rejected_requests(asked: DataFrame, inputs: DataFrame, prompts: DataFrame) -
     )
 
 
-def infer(requests: DataFrame, backend: Callable[[], Backend], supports_seed: bool = True) -> DataFrame:
-    """Run every request through the caller's backend.
+def infer(
+    requests: DataFrame, backend: Callable[[str, str], Backend], tasks: int | None = None
+) -> DataFrame:
+    """Run every request through the caller's backend of its model.
 
-    Adds `raw_output_text` (stripped), `status`, `error_text` and the start and end stamps. A
-    request that fails is marked and does not stop the others. `backend` is called once per task.
+    Adds `raw_output_text` (stripped), `status`, `error_text` and the start and end stamps. A request that
+    fails is marked and does not stop the others. `backend(model_name, model_version)` is called once per task and
+    model. Requests are small but slow: they are dealt over `tasks` tasks, by default as many as the session's shuffles
+    have, and never coalesced by their bytes.
     """
-    asked = requests if supports_seed else requests.withColumn("seed", F.lit(None).cast("long"))
+    number = tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = requests.repartition(number, F.xxhash64("aggregated_input_id", "prompt_id", "model_name", "model_version"))
     added = ["raw_output_text", "status", "error_text", "started_at", "ended_at"]
-    schema = T.StructType(asked.schema.fields + [T.StructField(n, T.StringType()) for n in added])
+    # a backend that cannot seed turns a seed into NULL
+    fields = [T.StructField(f.name, f.dataType, f.nullable or f.name == "seed") for f in asked.schema.fields]
+    schema = T.StructType(fields + [T.StructField(n, T.StringType()) for n in added])
+    seed_at = asked.columns.index("seed")
 
     def stamp() -> str:
         return datetime.now(timezone.utc).isoformat()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, failed = None, None
-        try:
-            model = backend()
-        except Exception as problem:  # a backend that cannot start fails its requests, not the job
-            failed = problem
+        models: dict = {}
+
+        def model_of(name: str, version: str):
+            if (name, version) not in models:
+                try:
+                    models[name, version] = backend(name, version), None
+                except Exception as problem:  # a backend that cannot start fails its requests, not the job
+                    models[name, version] = None, problem
+            return models[name, version]
+
         for batch in batches:
-            results = []
+            results, seeds = [], []
             for row in batch.to_pylist():
                 started = stamp()
+                model, failed = model_of(row["model_name"], row["model_version"])
+                if not getattr(model, "supports_seed", True):
+                    row["seed"] = None
+                seeds.append(row["seed"])
                 try:
                     if failed is not None:
                         raise failed
@@ -146,7 +168,9 @@ def infer(requests: DataFrame, backend: Callable[[], Backend], supports_seed: bo
                 except Exception as problem:
                     results.append(("", STATUS_ERROR, str(problem), started, stamp()))
             outcome = [pa.array([r[i] for r in results], pa.string()) for i in range(len(added))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *outcome], [*batch.schema.names, *added])
+            columns = list(batch.columns)
+            columns[seed_at] = pa.array(seeds, columns[seed_at].type)
+            yield pa.RecordBatch.from_arrays([*columns, *outcome], [*batch.schema.names, *added])
 
     return asked.mapInArrow(answer, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -15,7 +15,8 @@ _ROW_BITS = 33
 
 
 def with_keys(
-    df: DataFrame, order_by: Sequence[str | Column], start: int | Column = 0, key: str = "id", costly: bool = False
+    df: DataFrame, order_by: Sequence[str | Column], start: int | Column = 0, key: str = "id", costly: bool = False,
+    then: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Number rows 1, 2, 3 … after `start` in the given order, without a single-task sort.
 
@@ -24,9 +25,11 @@ def with_keys(
     each partition its offset; only those counts, one row per partition, meet in one task.
     `order_by` should tell rows apart: it decides how a hot leading value is split over partitions.
     Range partitioning samples its input; `costly` writes the input down first, so that sampling
-    does not repeat the work behind it.
+    does not repeat the work behind it. `then` is applied to the ordered rows before they are numbered: heavy
+    work on each row, possibly dropping rows, that is done once and after the exchange. It must keep the order.
     """
     ranged = (materialize(df) if costly else df).repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ranged = then(ranged) if then else ranged
     placed = materialize(ranged.withColumn("_place", F.monotonically_increasing_id())).withColumns(
         {
             "_part": F.shiftright(F.col("_place"), _ROW_BITS),
@@ -43,7 +46,7 @@ def with_keys(
     keyed = placed.join(F.broadcast(offsets), "_part")
     base = F.lit(start) if isinstance(start, int) else start
     number = (base + F.col("_offset") + F.col("_row") + 1).cast("long")
-    return keyed.select(number.alias(key), *[F.col(c) for c in df.columns])
+    return keyed.select(number.alias(key), *[F.col(c) for c in ranged.columns])
 
 
 def last_key(df: DataFrame, key: str = "id") -> int:

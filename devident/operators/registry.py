@@ -93,6 +93,7 @@ def upsert_prompts(prompts: DataFrame, feed: DataFrame, now: str | None = None)
     table holds a version twice, its first row is the one updated.
     """
     key = ["prompt_name", "prompt_version"]
+    feed = feed.filter(F.col("name").isNotNull() & F.col("text").isNotNull())  # a prompt has both
     latest = feed.groupBy(F.col("name").alias("prompt_name"), F.col("version").alias("prompt_version")).agg(
         F.max_by(F.struct("text", "notes"), "seq").alias("_new"), F.min("seq").alias("_seq")
     )

@@ -386,7 +386,7 @@ def ingest_tables(spark, sf_dir):
     runs = rows["scan_runs"].withColumnRenamed("id", "scan_run_id")
     inputs = rows["aggregated_inputs"].select(
         F.col("id").alias("input_id"), "scan_session_id", "variant_name",
-        F.length("input_payload_json").alias("payload_length"),
+        "input_payload_json",
     )
     added = rows["devices"].select(F.col("id").alias("device_id"), F.col("manufacturer").alias("new_manufacturer"))
     return (
@@ -396,7 +396,7 @@ def ingest_tables(spark, sf_dir):
         .select(
             "scan_session_id", "scan_run_id", "input_id", "device_id", "new_manufacturer", "target_ip", "hostname",
             "session_start", sessions["ended_at"], "scan_name", "command", "exit_code", "tool_version",
-            "variant_name", "payload_length",
+            "variant_name", "input_payload_json",
         )
     )
 
@@ -630,6 +630,9 @@ def _stub():
     """
 
     class Stub:
+        def __init__(self, name, version):
+            self.name, self.supports_seed = name, name != "model-b"
+
         def chat(self, messages, *, temperature, top_p, seed, max_tokens):
             place = messages[0]["content"].rsplit(" for ", 1)[1].lower()
             segment = messages[1]["content"].rsplit(" ", 1)[1].lower()
@@ -638,9 +641,9 @@ def _stub():
             if segment == "household":
                 return '  {"cpes": null}  '
             good = f"cpe:2.3:h:{segment}:{place}:{max_tokens}:*:*:*:*:*:*:*"
-            return f'  Found\n```json\n{{"cpes": ["{good}", "bad"]}}\n```  '
+            return f'  Found by {self.name}\n```json\n{{"cpes": ["{good}", "bad"]}}\n```  '
 
-    return lambda: Stub()
+    return Stub
 
 
 def _answers(spark, sf_dir) -> DataFrame:

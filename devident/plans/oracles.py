@@ -104,8 +104,8 @@ _table(
 )
 _table(
     "stored",
-    f"""SELECT o_orderkey AS run_id, CAST(i AS INTEGER) AS pos, {_PREDICTED} AS cpe
-        FROM orders, range({6}) t(i) WHERE i < floor(o_totalprice / 100000)""",
+    f"""SELECT o_orderkey AS run_id, CAST(i AS INTEGER) AS pos, {_PREDICTED} AS cpe FROM
+        (SELECT *, unnest(range(CAST(floor(o_totalprice / 100000) AS BIGINT))) AS i FROM orders)""",
 )
 _table(
     "ground_truth",
@@ -441,7 +441,7 @@ SELECT n AS scan_session_id, n AS scan_run_id, n AS input_id, coalesce(k.id, a.i
   a.vendor AS new_manufacturer, h.ip AS target_ip, h.hostname, h.day_text AS session_start,
   CASE WHEN h.u <> 5 THEN 'day ' || h.d END AS ended_at, 'scan-' || h.seq AS scan_name, 'scan ' || h.seq AS command,
   CAST(CASE WHEN h.u <> 5 THEN CASE WHEN h.u = 4 THEN 0 ELSE 1 END END AS INTEGER) AS exit_code,
-  '7.' || h.m AS tool_version, 'plain-text' AS variant_name, CAST(length(y.payload) AS INTEGER) AS payload_length
+  '7.' || h.m AS tool_version, 'plain-text' AS variant_name, y.payload AS input_payload_json
 FROM (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM hosts) h JOIN payloads y ON y.seq = h.seq
 LEFT JOIN (SELECT * FROM devices WHERE device_type = 'router') k ON k.device_code = h.device_code
 LEFT JOIN (SELECT device_code, vendor, (SELECT max(id) FROM devices WHERE device_type = 'router')
@@ -581,7 +581,7 @@ _GOOD = "'cpe:2.3:h:' || segment || ':' || place || ':' || max_tokens || '" + WI
 ORACLES["infer_stub"] = _with("grid") + f"""
 SELECT aggregated_input_id, prompt_id, model_name, seed,
   CASE segment WHEN 'machinery' THEN '' WHEN 'household' THEN '{{"cpes": null}}'
-    ELSE 'Found' || chr(10) || '```json' || chr(10) || '{{"cpes": ["' || {_GOOD} || '", "bad"]}}' || chr(10) || '```' END AS raw_output_text,
+    ELSE 'Found by ' || model_name || chr(10) || '```json' || chr(10) || '{{"cpes": ["' || {_GOOD} || '", "bad"]}}' || chr(10) || '```' END AS raw_output_text,
   CASE segment WHEN 'machinery' THEN 'error' ELSE 'complete' END AS status,
   CASE segment WHEN 'machinery' THEN 'cannot answer machinery' END AS error_text FROM grid"""
 ORACLES["run_records"] = _with("grid") + f"""

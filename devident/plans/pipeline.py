@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from devident.fixed_values import INPUT_VARIANT, PARSER_VERSION, SCANNER_TOOL_NAME
 from devident.operators import baseline, inference, registry, reports, scoring
-from devident.operators.extract import host_json, primary_hosts
+from devident.operators.extract import host_json, primary_hosts, rejected_documents
 from devident.operators.keys import last_key, with_defaults, with_keys
 from devident.operators.outputs import accepted_entries
 from devident.operators.payload import payload_text
-from devident.sources.reports import write_report
+from devident.sources.reports import report_dir, write_report
+from devident.session import materialize
 from devident.store import Store
 
 
@@ -24,18 +25,26 @@ def ingest_rows(
     `scans` has `device_code, scan_name, xml, seq` and optionally `operator, network_name`; `seq`
     is the ingest order. Each usable document gives one session, scan run and input, so one
     numbering serves all three; documents are parsed once. `starts` holds the last keys in use.
+    What is not usable is told by `ingest_rejects`.
     """
     starts = starts or {}
     for optional in ("operator", "network_name"):
         if optional not in scans.columns:
             scans = scans.withColumn(optional, F.lit(None).cast("string"))
-    hosts = primary_hosts(scans).select(
-        "device_code", "scan_name", "xml", "seq", "operator", "network_name", "command", "tool_version",
-        "start_time", "end_time", "exit_code", "ip", "mac", "vendor", "hostname",
-        host_json().alias("parsed_data_json"),
-        payload_text().alias("input_payload_json"),
+
+    def parse(raw: DataFrame) -> DataFrame:
+        return primary_hosts(raw).select(
+            "device_code", "scan_name", "xml", "seq", "operator", "network_name", "command", "tool_version",
+            "start_time", "end_time", "exit_code", "ip", "mac", "vendor", "hostname",
+            host_json().alias("parsed_data_json"),
+            payload_text().alias("input_payload_json"),
+        )
+
+    # raw documents are dealt by their order, and only then parsed: what the parse makes is never shuffled
+    raw = scans.filter(F.col("device_code").isNotNull()).select(
+        "device_code", "scan_name", "xml", "seq", "operator", "network_name"
     )
-    documents = with_keys(hosts, ["seq"], key="_n", costly=True)
+    documents = with_keys(raw, ["seq"], key="_n", then=parse)
     added = registry.new_devices(
         devices, documents.select("device_code", "mac", "vendor", "seq"), now, starts.get("devices")
     )
@@ -68,12 +77,20 @@ def ingest_rows(
     }
 
 
-def ingest(store: Store, scans: DataFrame, now: str | None = None) -> None:
-    """Append a batch of scan documents to the store."""
+def ingest_rejects(scans: DataFrame) -> DataFrame:
+    """Documents of a batch that give no rows, with the `reason`: no device code, malformed, or no live host."""
+    coded = F.col("device_code").isNotNull()
+    nameless = scans.filter(~coded).withColumn("reason", F.lit("no device code"))
+    return rejected_documents(scans.filter(coded)).select(*scans.columns, "reason").unionByName(nameless)
+
+
+def ingest(store: Store, scans: DataFrame, now: str | None = None) -> DataFrame:
+    """Append a batch of scan documents to the store; returns the documents that gave no rows."""
     tables = ("devices", "scan_sessions", "scan_runs", "aggregated_inputs")
     starts = {name: last_key(store.table(name)) for name in tables}
     for name, rows in ingest_rows(scans, store.table("devices"), starts, now).items():
         store.append(name, rows)
+    return ingest_rejects(scans)
 
 
 def load_truth(store: Store, entries: DataFrame, now: str | None = None) -> DataFrame:
@@ -113,14 +130,14 @@ def redo_baselines(store: Store, requested: DataFrame, now: str | None = None) -
 
 
 def run_models(
-    store: Store, asked: DataFrame, backend: Callable[[], inference.Backend], supports_seed: bool = True
+    store: Store, asked: DataFrame, backend: Callable[[str, str], inference.Backend], tasks: int | None = None
 ) -> DataFrame:
     """Answer requests (`aggregated_input_id, prompt_id`, settings) and append the runs.
 
     Returns the requests that name an unknown input or prompt.
     """
     inputs, prompts = store.table("aggregated_inputs"), store.table("prompts")
-    answered = inference.infer(inference.build_requests(asked, inputs, prompts), backend, supports_seed)
+    answered = inference.infer(inference.build_requests(asked, inputs, prompts), backend, tasks)
     order = ["aggregated_input_id", "prompt_id", "model_name", "started_at"]
     _append_keyed(store, "model_runs", inference.run_records(answered), order, None)
     return inference.rejected_requests(asked, inputs, prompts)
@@ -136,9 +153,20 @@ def score_new(store: Store, now: str | None = None) -> None:
     _append_keyed(store, "scores", rows, ["model_run_id", "pos"], now)
 
 
-def score_selected(store: Store, requested: DataFrame, now: str | None = None) -> None:
-    """Score named runs (`model_run_id`) of any status that have no score rows yet."""
+def _classes(store: Store, requested: DataFrame) -> DataFrame:
+    """What scoring makes of requested runs, fixed before the tables change."""
+    return materialize(
+        scoring.score_status(
+            requested, store.table("model_runs"), store.table("aggregated_inputs"), store.table("scan_sessions"),
+            store.table("ground_truth"), store.table("scores"),
+        )
+    )
+
+
+def score_selected(store: Store, requested: DataFrame, now: str | None = None) -> DataFrame:
+    """Score named runs (`model_run_id`) of any status that have no score rows yet; returns each one's class."""
     truth = store.table("ground_truth")
+    classes = _classes(store, requested)
     chosen = store.table("model_runs").join(
         requested.select(F.col("model_run_id").alias("id")).distinct(), "id", "left_semi"
     )
@@ -148,10 +176,12 @@ def score_selected(store: Store, requested: DataFrame, now: str | None = None) -
         truth, accepted_entries(truth),
     )
     _append_keyed(store, "scores", rows, ["model_run_id", "pos"], now)
+    return classes
 
 
-def rescore(store: Store, requested: DataFrame, now: str | None = None) -> None:
-    """Replace the score rows of named runs."""
+def rescore(store: Store, requested: DataFrame, now: str | None = None) -> DataFrame:
+    """Replace the score rows of named runs; returns the class that each one had."""
+    classes = _classes(store, requested)
     truth, scores = store.table("ground_truth"), store.table("scores")
     start = last_key(scores)
     kept, fresh = scoring.rescore(
@@ -160,8 +190,9 @@ def rescore(store: Store, requested: DataFrame, now: str | None = None) -> None:
     )
     keyed = with_defaults(with_keys(fresh, ["model_run_id", "pos"], start, costly=True).drop("pos"), "scores", now)
     store.replace("scores", kept.unionByName(keyed))
+    return classes
 
 
-def export(store: Store, path: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write the five report tables."""
-    return write_report(reports.report_tables(store.tables()), path, fmt)
+def export(store: Store, path: str | None = None, fmt: str = "parquet") -> dict[str, str]:
+    """Write the five report tables, by default to a folder of the store named after the time."""
+    return write_report(reports.report_tables(store.tables()), path or report_dir(f"{store.root}/reports"), fmt)

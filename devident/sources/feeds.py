@@ -14,13 +14,27 @@ _PROMPT = "name string, version string, notes string, text string"
 def read_truth(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Labelled entries, one per list element; a file with a single entry gives one row.
 
-    `accepted_cpes` is kept as the JSON text it was given as, `[]` when absent. Pass
+    A file that is not JSON throughout stops the read, as no entry of it can be trusted. In
+    line-delimited feeds a broken line costs only itself: see `broken_lines`. `accepted_cpes` is kept as the JSON text it was given as, `[]` when absent. Pass
     `multi_line=False` for line-delimited feeds, which Spark splits inside files.
     """
-    entries = spark.read.schema(_TRUTH).json(path, multiLine=multi_line)
+    entries = _read(spark, path, _TRUTH, multi_line)
     return entries.withColumn("accepted_cpes", F.coalesce("accepted_cpes", F.lit("[]")))
 
 
 def read_prompts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Prompt versions `name, version, notes, text`."""
-    return spark.read.schema(_PROMPT).json(path, multiLine=multi_line)
+    return _read(spark, path, _PROMPT, multi_line)
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a line-delimited feed that are not JSON objects, as `line`."""
+    lines = spark.read.schema("_broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return lines.filter(F.col("_broken").isNotNull()).select(F.col("_broken").alias("line"))
+
+
+def _read(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
+    if multi_line:
+        return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+    lines = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    return lines.filter(F.col("_broken").isNull()).drop("_broken")

@@ -18,8 +18,8 @@ def read_scans(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFr
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .text(path, wholetext=True)
-        # file names arrive URL-encoded
-        .select(F.url_decode(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("xml"))
+        # file names arrive with %XX escapes; a plus sign stands for itself
+        .select(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("xml"))
     )
     return files.select(
         "path",

@@ -33,7 +33,7 @@ def backend():
                 return "I cannot say"
             return ' {"cpes": ["cpe:2.3:h:v:p%s", "%s %s %s"]}\n' % (":*" * 8, messages[0]["content"], seed, max_tokens)
 
-    return lambda: Echo()
+    return lambda name, version: Echo()
 
 
 def test_grid(inputs):
@@ -75,10 +75,26 @@ def test_runs(inputs, prompts, backend):
 
 
 def test_no_seed_and_broken_backend(inputs, prompts, backend):
-    def broken():
+    def broken(name, version):
         raise ValueError("no model")
 
     asked = build_requests(sweep(inputs, [2], [ModelSettings("m")]), inputs, prompts)
     failed = infer(asked, broken).collect()
     assert {(r.status, r.error_text) for r in failed} == {("error", "no model")}
-    assert {r.seed for r in infer(asked, backend, supports_seed=False).collect()} == {None}
+
+
+def test_each_model_answers_for_itself_in_many_tasks(spark, inputs, prompts):
+    class Named:
+        def __init__(self, name, version):
+            self.name, self.supports_seed = f"{name}-{version}", name == "a"
+
+        def chat(self, messages, *, seed, **settings):
+            from pyspark import TaskContext
+
+            return f"{self.name} {seed} task {TaskContext.get().partitionId()}"
+
+    asked = build_requests(sweep(inputs, [1], [ModelSettings("a", "1", seed=t) for t in range(30)] + [ModelSettings("b", "2", seed=t) for t in range(30)]), inputs, prompts)
+    answers = infer(asked, lambda name, version: Named(name, version), tasks=6).collect()
+    assert all(r.raw_output_text.startswith(f"{r.model_name}-{r.model_version} {r.seed} ") for r in answers)
+    assert {r.seed for r in answers if r.model_name == "b"} == {None} and 29 in {r.seed for r in answers}
+    assert infer(asked, lambda name, version: Named(name, version), tasks=6).rdd.getNumPartitions() == 6

@@ -26,3 +26,24 @@ def test_defaults_apply_to_absent_columns_only(rows):
     assert with_defaults(frame.drop("started_at"), "scan_sessions", "now").first().started_at == "now"
     run = with_defaults(rows("id long, aggregated_input_id long", [(1, 1)]), "model_runs", "now").first()
     assert (run.status, run.started_at, run.ended_at) == ("pending", "now", None)
+
+
+def test_feeds_and_paths(spark, tmp_path):
+    import pytest
+
+    from devident.sources.feeds import broken_lines, read_prompts, read_truth
+    from devident.sources.scans import read_scans
+
+    (tmp_path / "lines.json").write_text('{"name": "p", "version": "1", "text": "x"}\n{"name": "q", \n')
+    feed = str(tmp_path / "lines.json")
+    assert [r.name for r in read_prompts(spark, feed, multi_line=False).collect()] == ["p"]
+    assert [r.line for r in broken_lines(spark, feed).collect()] == ['{"name": "q", ']
+    (tmp_path / "truth.json").write_text('[{"mac": "m1"}, {"mac": ]')
+    with pytest.raises(Exception):
+        read_truth(spark, str(tmp_path / "truth.json")).collect()
+    folder = tmp_path / "scans" / "10.0.0.1_20240101_000001"
+    folder.mkdir(parents=True)
+    for name in ("a+b c.xml", "50%.v1.xml", "plain.xml"):
+        (folder / name).write_text("<nmaprun/>")
+    found = {r.scan_name: r.path for r in read_scans(spark, str(tmp_path / "scans")).collect()}
+    assert set(found) == {"a+b c", "50%.v1", "plain"} and found["a+b c"].endswith("a+b c.xml")

@@ -31,7 +31,7 @@ def backend():
         def chat(self, messages, *, temperature, top_p, seed, max_tokens):
             return '```json\n{"cpes": ["cpe:2.3:a:v:one:2%s", "no"]}\n```' % (":*" * 7)
 
-    return lambda: Model()
+    return lambda name, version: Model()
 
 
 @pytest.fixture(scope="module")
@@ -90,6 +90,18 @@ def test_a_second_batch_continues_keys_and_reuses_devices(spark, tmp_path):
     assert sorted(r.scan_session_id for r in store.table("aggregated_inputs").collect()) == [1, 2, 3, 4, 5]
 
 
+def test_documents_that_give_no_rows_are_returned(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    data = [("a", "s1", document("m1"), 1), (None, "s2", document("m2"), 2), ("b", "s3", "<nmaprun><host>", 3),
+            ("c", "s4", "<nmaprun/>", 4), ("d", "s5", document("m5").replace("</nmaprun>", "<!-- </nmaprun> --></nmaprun>"), 5)]
+    rejects = pipeline.ingest(store, spark.createDataFrame(data, "device_code string, scan_name string, xml string, seq long"), "t")
+    assert sorted((r.scan_name, r.reason) for r in rejects.collect()) == [
+        ("s2", "no device code"), ("s3", "malformed document"), ("s4", "no live host"),
+    ]
+    for name in ("scan_sessions", "scan_runs", "aggregated_inputs", "devices"):
+        assert store.table(name).count() == 2, name
+
+
 def test_stages_and_their_repetition(store, spark, tmp_path, backend):
     truth = {"mac": "m1", "true_vendor": "v", "accepted_cpes": [{"cpe": f"cpe:2.3:a:v:one:1{TAIL}", "tier": "partial"}, "junk"]}
     (tmp_path / "truth.json").write_text(json.dumps([truth, {"mac": "m9"}]))
