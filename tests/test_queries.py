@@ -1,6 +1,8 @@
 """Every registered query beside its SQL on the smallest tables."""
 
 import os
+import runpy
+import sys
 
 import pytest
 
@@ -22,6 +24,14 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_entry_point_without_the_corpus_operators(monkeypatch):
+    monkeypatch.setitem(sys.modules, "devident.llm", None)
+    monkeypatch.delitem(sys.modules, "devident.llm.catalog", raising=False)
+    monkeypatch.delitem(sys.modules, "corpus_pipeline", raising=False)
+    alone = runpy.run_path(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "__spark_entry__.py"))
+    assert set(alone["queries"]()) == set(QUERIES) and set(alone["oracle_sql"]()) == set(ORACLES)
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
 
