@@ -18,32 +18,36 @@ def scanner_cpes(scans: DataFrame, xml: str = "xml", out: str = "cpes") -> DataF
     return documents.withColumn(out, F.array_distinct(known)).drop("doc", "malformed")
 
 
-def session_cpes(scan_runs: DataFrame) -> DataFrame:
-    """`scan_session_id, cpes, tool_version` over all documents of a session.
+def session_cpes(scan_runs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """`scan_session_id, cpes, tool_version` over all documents of a session, of `sessions` only if given.
 
     Identifiers come in first-seen order by scan run. They are made distinct, with partial
     aggregation, before a session's list is built, so a list holds distinct identifiers only,
     however many documents repeat them.
     """
     full = scan_runs.select("id", "scan_session_id", "tool_version", F.nullif("stdout_text", F.lit("")).alias("xml"))
-    # a session with scan runs but no documents still counts
-    versions = full.groupBy("scan_session_id").agg(
-        F.min_by("tool_version", F.when(F.col("xml").isNotNull() & F.col("tool_version").isNotNull(), F.col("id"))).alias(
-            "tool_version"
-        )
+    # each document is reduced to its identifiers and its version where it is read: no text is shuffled;
+    # outer: the filter Spark infers for a plain explode would repeat the parse, and sessions without
+    # identifiers still count
+    listed = scanner_cpes(full).select(
+        "scan_session_id",
+        "id",
+        F.when(F.col("xml").isNotNull() & F.col("tool_version").isNotNull(), F.struct("id", "tool_version")).alias("version"),
+        F.posexplode_outer("cpes").alias("pos", "cpe"),
     )
-    # outer: the filter Spark infers for a plain explode would repeat the parse
-    listed = scanner_cpes(full.select("id", "scan_session_id", "xml")).select(
-        "id", "scan_session_id", F.posexplode_outer("cpes").alias("pos", "cpe")
+    if sessions is not None:
+        listed = listed.join(sessions.select("scan_session_id").distinct(), "scan_session_id", "left_semi")
+    first_seen = listed.groupBy("scan_session_id", "cpe").agg(
+        F.min(F.struct("id", "pos")).alias("seen"), F.min("version").alias("version")
     )
-    first_seen = listed.filter(F.col("pos").isNotNull()).groupBy("scan_session_id", "cpe").agg(F.min(F.struct("id", "pos")).alias("seen"))
     merged = first_seen.groupBy("scan_session_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seen", "cpe"))), lambda s: s["cpe"]).alias("cpes")
+        F.collect_list(F.when(F.col("cpe").isNotNull(), F.struct("seen", "cpe"))).alias("found"),
+        F.min("version").alias("version"),
     )
-    return versions.join(merged, "scan_session_id", "left").select(
+    return merged.select(
         "scan_session_id",
-        F.coalesce("cpes", F.array().cast("array<string>")).alias("cpes"),
-        "tool_version",
+        F.transform(F.sort_array("found"), lambda s: s["cpe"]).alias("cpes"),
+        F.col("version.tool_version").alias("tool_version"),
     )
 
 
@@ -58,11 +62,10 @@ def missing_baselines(inputs: DataFrame, runs: DataFrame) -> DataFrame:
 def baseline_runs(inputs: DataFrame, scan_runs: DataFrame, now: str | None = None) -> DataFrame:
     """One run per given input, without key; inputs whose session has no scan runs are skipped.
 
-    Only documents of the sessions asked for are parsed.
+    See `baseline_status` for what becomes of each request.
     """
     wanted = inputs.select(F.col("id").alias("aggregated_input_id"), "scan_session_id")
-    needed = scan_runs.join(wanted.select("scan_session_id").distinct(), "scan_session_id", "left_semi")
-    found = wanted.join(session_cpes(needed), "scan_session_id")
+    found = wanted.join(session_cpes(scan_runs, wanted), "scan_session_id")
 
     def absent(kind: str) -> Column:
         return F.lit(None).cast(kind)
@@ -94,6 +97,25 @@ def build_baselines(inputs: DataFrame, scan_runs: DataFrame, runs: DataFrame, no
     return baseline_runs(missing_baselines(inputs, runs), scan_runs, now)
 
 
+def baseline_status(requested: DataFrame, inputs: DataFrame, scan_runs: DataFrame, runs: DataFrame) -> DataFrame:
+    """What adding a baseline would do with each requested input: `id, baseline_status`."""
+    known = inputs.select("id", "scan_session_id", F.lit(True).alias("_found"))
+    scanned = scan_runs.select("scan_session_id").distinct().withColumn("_scanned", F.lit(True))
+    have = runs.filter(F.col("model_name") == SCANNER_MODEL_NAME).select(
+        F.col("aggregated_input_id").alias("id")
+    ).distinct().withColumn("_have", F.lit(True))
+    status = (
+        F.when(F.col("_found").isNull(), "input not found")
+        .when(F.col("_have").isNotNull(), "has a baseline")
+        .when(F.col("_scanned").isNull(), "no scan runs")
+        .otherwise("to add")
+    )
+    asked = requested.select("id").distinct().join(known, "id", "left")
+    return asked.join(scanned, "scan_session_id", "left").join(have, "id", "left").select(
+        "id", status.alias("baseline_status")
+    )
+
+
 def rebuild_baselines(
     requested: DataFrame, inputs: DataFrame, scan_runs: DataFrame, runs: DataFrame, scores: DataFrame,
     now: str | None = None,

@@ -118,7 +118,10 @@ def run_scores(tables: Tables, device: bool = True) -> DataFrame:
     `fan_out` is how often the fact table repeats the run (scan runs of its session, at least 1).
     Without `device` only the run's own columns and prompt are there, and no other table is read.
     """
-    per_run = _per_run(tables["scores"].groupBy("model_run_id"), "id")
+    # as in the fact table, a score without its label doesn't count
+    labels = tables["ground_truth"].select(F.col("id").alias("ground_truth_id"))
+    scores = tables["scores"].join(labels, "ground_truth_id", "left_semi") if device else tables["scores"]
+    per_run = _per_run(scores.groupBy("model_run_id"), "id")
     runs = tables["model_runs"].select(
         F.col("id").alias("model_run_id"), "aggregated_input_id", "prompt_id", "model_name", "temperature"
     )
@@ -300,7 +303,8 @@ def report_tables(tables: Tables) -> dict[str, DataFrame]:
     """
     runs = materialize(with_prompts(run_scores(tables), tables))
     return {
-        "scores_wide": scores_wide(tables),
+        # files in a folder have no order to speak of
+        "scores_wide": scores_wide(tables, ordered=False),
         "summary_by_model": summary_by_model(runs),
         "summary_by_prompt": summary_by_prompt(runs),
         "variance_by_config": variance_by_config(runs),

@@ -6,56 +6,60 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-_TYPES = {"L": T.LongType(), "I": T.IntegerType(), "D": T.DoubleType(), "S": T.StringType()}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
 
 
-def _struct(text: str) -> T.StructType:
-    """`name:L!` is a long that must not be null; L long, I int, D double, S string."""
-    fields = []
-    for item in text.split():
-        name, kind = item.split(":")
-        fields.append(T.StructField(name, _TYPES[kind[0]], not kind.endswith("!")))
-    return T.StructType(fields)
+def _struct(ddl: str) -> T.StructType:
+    """A schema from DDL text; Spark's own reader of such text needs a session, which an import doesn't have."""
+    fields = [column.split() for column in ddl.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind], not rest) for name, kind, *rest in fields])
 
 
 TABLES: dict[str, T.StructType] = {
     "devices": _struct(
-        "id:L! device_code:S! mac:S display_name:S manufacturer:S model:S firmware_version:S "
-        "device_type:S notes:S created_at:S"
+        "id long not null, device_code string not null, mac string, display_name string, "
+        "manufacturer string, model string, firmware_version string, device_type string, notes string, "
+        "created_at string"
     ),
     "scan_sessions": _struct(
-        "id:L! device_id:L! target_ip:S hostname:S started_at:S ended_at:S network_name:S "
-        "environment_notes:S operator:S protocol_version:S"
+        "id long not null, device_id long not null, target_ip string, hostname string, started_at string, "
+        "ended_at string, network_name string, environment_notes string, operator string, "
+        "protocol_version string"
     ),
     "scan_runs": _struct(
-        "id:L! scan_session_id:L! scan_name:S command:S stdout_text:S stderr_text:S exit_code:I "
-        "started_at:S ended_at:S tool_name:S tool_version:S parsed_data_json:S"
+        "id long not null, scan_session_id long not null, scan_name string, command string, "
+        "stdout_text string, stderr_text string, exit_code int, started_at string, ended_at string, "
+        "tool_name string, tool_version string, parsed_data_json string"
     ),
     "aggregated_inputs": _struct(
-        "id:L! scan_session_id:L! variant_name:S parser_version:S input_payload_json:S "
-        "created_at:S notes:S"
+        "id long not null, scan_session_id long not null, variant_name string, parser_version string, "
+        "input_payload_json string, created_at string, notes string"
     ),
     "prompts": _struct(
-        "id:L! prompt_name:S prompt_version:S prompt_text:S! created_at:S notes:S"
+        "id long not null, prompt_name string, prompt_version string, prompt_text string not null, "
+        "created_at string, notes string"
     ),
     "experiments": _struct(
-        "id:L! name:S! model_name:S model_version:S prompt_id:L temperature:D top_p:D seed:L "
-        "notes:S created_at:S"
+        "id long not null, name string not null, model_name string, model_version string, prompt_id long, "
+        "temperature double, top_p double, seed long, notes string, created_at string"
     ),
     "model_runs": _struct(
-        "id:L! aggregated_input_id:L! experiment_id:L prompt_id:L trial_number:I model_name:S "
-        "model_version:S temperature:D top_p:D max_tokens:I seed:L conversation_history_json:S "
-        "raw_output_text:S parsed_output_json:S started_at:S ended_at:S status:S error_text:S"
+        "id long not null, aggregated_input_id long not null, experiment_id long, prompt_id long, "
+        "trial_number int, model_name string, model_version string, temperature double, top_p double, "
+        "max_tokens int, seed long, conversation_history_json string, raw_output_text string, "
+        "parsed_output_json string, started_at string, ended_at string, status string, error_text string"
     ),
     "ground_truth": _struct(
-        "id:L! device_id:L! true_vendor:S true_product:S true_firmware_version:S "
-        "accepted_cpes_json:S rubric_version:S label_status:S notes:S created_at:S updated_at:S"
+        "id long not null, device_id long not null, true_vendor string, true_product string, "
+        "true_firmware_version string, accepted_cpes_json string, rubric_version string, "
+        "label_status string, notes string, created_at string, updated_at string"
     ),
     "scores": _struct(
-        "id:L! model_run_id:L! ground_truth_id:L! predicted_cpe:S matched_accepted_cpe:S "
-        "part_correct:I vendor_correct:I product_correct:I version_correct:I exact_match:I "
-        "cve_lookup_valid:I best_match_tier:S match_score:D predicted_vendor:S "
-        "predicted_product:S score_notes:S scorer_version:S created_at:S"
+        "id long not null, model_run_id long not null, ground_truth_id long not null, predicted_cpe string, "
+        "matched_accepted_cpe string, part_correct int, vendor_correct int, product_correct int, "
+        "version_correct int, exact_match int, cve_lookup_valid int, best_match_tier string, "
+        "match_score double, predicted_vendor string, predicted_product string, score_notes string, "
+        "scorer_version string, created_at string"
     ),
 }
 

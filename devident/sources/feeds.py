@@ -29,8 +29,9 @@ def read_prompts(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of a line-delimited feed that are not JSON objects, as `line`."""
-    lines = spark.read.schema("_broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-    return lines.filter(F.col("_broken").isNotNull()).select(F.col("_broken").alias("line"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    kind = F.schema_of_variant(F.try_parse_json("value"))
+    return lines.filter(kind.isNull() | ~kind.startswith("OBJECT")).select(F.col("value").alias("line"))
 
 
 def _read(spark: SparkSession, path: str, schema: str, multi_line: bool) -> DataFrame:
