@@ -66,3 +66,10 @@ def test_counts_like_the_library(spark, rows):
             assert got[doc_id].n_tokens == sum(map(len, tokens)) and got[doc_id].n_unknown == sum(t == ["[UNK]"] for t in tokens)
     assert got[-1].n_tokens == got[-2].n_tokens == 0
     assert token_counts(rows("doc_id long, text string", []), build(["a"], ["b"])).count() == 0
+
+
+def test_long_page(spark, rows):
+    text = "\n".join(["menu"] * 3 + [f"line {i}" for i in range(50_000)])
+    frame = rows("doc_id long, site string, text string", [(i, "a", text if i == 0 else f"menu\n{i}") for i in range(6)])
+    got = {r.doc_id: r for r in drop_boilerplate(frame).collect()}
+    assert got[0].n_dropped == 3 and got[0].n_lines == 50_003 and got[5].text == "5"

@@ -121,3 +121,9 @@ def test_query_against_brute_force(spark):
     want = brute_components(prints)
     got = query(spark, sf_dir).collect()
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == {d: (f"{prints[d]:016x}", want[d]) for d in texts}
+
+
+def test_long_text(spark, rows):
+    line = " ".join(f"v{i * 7919 % 5003}" for i in range(60_000))
+    got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, [(3, line), (5, line + " end"), (9, "other " * 60_000)]), TWO_BITS).collect()}
+    assert got == {3: 3, 5: 3, 9: 9}

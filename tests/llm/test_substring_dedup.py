@@ -6,7 +6,9 @@ import random
 import numpy as np
 import pytest
 
+from devident.llm.queries.substring_dedup import SQL, query
 from devident.llm.substring_dedup import anchored, dedupe, subtree, word_hashes
+from tests.oracle_check import connect, difference
 
 DOCS = "doc_id long, text string"
 
@@ -82,3 +84,14 @@ def test_subtree_nodes():
     owner, offset, least = subtree(np.array([1, 1]), [a, b], np.array([7, 3]), 10)
     found = {(o, f): x for o, f, x in zip(owner.tolist(), offset.tolist(), least.tolist())}
     assert found[0, 0] == 7 and found[0, 5] == 3 and found[0, 10] == 3 and found[1, 6] == 3 and found[1, 0] == 3
+
+
+def test_long_text(spark, rows):
+    line = " ".join(f"v{i * 7919 % 5003}" for i in range(60_000))
+    got = {r.doc_id: r for r in dedupe(rows(DOCS, [(1, line), (2, "new " + line), (3, "same " * 50_000)])).collect()}
+    assert (got[2].n_words, got[2].n_removed, got[3].n_removed) == (60_001, 60_000, 0)
+
+
+def test_query_like_sql(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    assert difference(query(spark, sf_dir), connect(sf_dir), SQL) is None
