@@ -24,6 +24,8 @@ from devident.session import materialize
 #: odd multipliers that derive further 64-bit hashes from the first
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _CHUNK = 1 << 14
+#: members of a hot group that the whole group is verified against in a round
+HEADS = 16
 
 
 @dataclass(frozen=True)
@@ -210,37 +212,38 @@ def links(classes: DataFrame, plan: Plan, group: int = 256) -> DataFrame:
 
     `classes`: rep, lane0..; one row per distinct fingerprint. Key groups up to `group` members are
     verified member by member. Members of larger groups go another way: for 2 of 64 bits, by one-bit
-    flips, which is exact; for wider plans, by rounds in which a group's least member is verified
-    against the group and those that it doesn't reach stay for the next round.
+    flips, which is exact; for wider plans, by rounds in which about HEADS members are verified against
+    the whole group, and those that no head reaches stay for the next round.
     """
     lanes = plan.names()
     keyed = _keyed(classes, plan)
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("b")).filter("n > 1"))
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     # rows of keys that two classes have at least, with their fingerprints
     keyed = materialize(keyed.join(sizes.select("key", "n"), "key")).join(classes.select("rep", *lanes), "rep")
     found = _links_in_groups(keyed.filter(F.col("n") <= group), plan)
-    hot = sizes.filter(F.col("n") > group).select("key", "b")
+    hot = keyed.filter(F.col("n") > group)
     if plan.lanes == 1 and plan.max_bits == 2:
-        members = keyed.filter(F.col("n") > group).select("rep", "lane0").distinct()
-        return found.unionByName(_links_by_flips(members))
-    keyed = keyed.filter(F.col("n") > group).select("key", "rep", *lanes)
+        return found.unionByName(_links_by_flips(hot.select("rep", "lane0").distinct()))
+    turn = 0
     while not hot.isEmpty():
-        heads = hot.join(classes.select(F.col("rep").alias("b"), *[F.col(c).alias(f"h_{c}") for c in lanes]), "b")
-        met = keyed.join(heads, "key").filter(F.col("rep") != F.col("b"))
-        near = met.withColumn("near", _distance(plan, "", "h_") <= plan.max_bits)
-        near = materialize(near.select("key", "rep", *lanes, "b", "near"))
-        found = found.unionByName(near.filter("near").select(F.col("rep").alias("a"), "b").distinct())
-        rest = near.filter(~F.col("near")).select("key", "rep", *lanes)
-        sizes = materialize(rest.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("b")).filter("n > 1"))
-        found = found.unionByName(
-            _links_in_groups(rest.join(sizes.filter(F.col("n") <= group).select("key"), "key"), plan)
-        )
-        hot = sizes.filter(F.col("n") > group).select("key", "b")
-        keyed = rest.join(hot.select("key"), "key")
+        # some heads of each group, chosen by a hash, meet all of its members
+        heads = hot.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("n")) < HEADS)
+        named = heads.select("key", F.col("rep").alias("b"), *[F.col(c).alias(f"h_{c}") for c in lanes])
+        near = hot.join(named, "key").filter((F.col("rep") != F.col("b")) & (_distance(plan, "", "h_") <= plan.max_bits))
+        near = materialize(near.select("key", F.col("rep").alias("a"), "b"))
+        found = found.unionByName(near.select("a", "b").distinct())
+        done = near.select("key", F.col("a").alias("rep")).unionByName(heads.select("key", "rep")).distinct()
+        rest = materialize(hot.select("key", "rep", *lanes).join(done, ["key", "rep"], "left_anti"))
+        sizes = materialize(rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        rest = rest.join(sizes, "key")
+        found = found.unionByName(_links_in_groups(rest.filter(F.col("n") <= group), plan))
+        hot, turn = rest.filter(F.col("n") > group), turn + 1
     return found
 
 
-def near_duplicates(docs: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text", group: int = 256
+) -> DataFrame:
     """Per row: `key`, the lanes and `component_id`, the smallest key reachable by links, itself included.
 
     NULL, empty and blank texts have fingerprint zero and are linked like any other. Rows with a
@@ -254,7 +257,7 @@ def near_duplicates(docs: DataFrame, plan: Plan, key: str = "doc_id", text: str
     repeated = marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
     tied = marked.join(repeated, "doc_id").join(classes, both).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     known = classes.filter("rep IS NOT NULL")
-    joined = links(known, plan).unionByName(tied)
+    joined = links(known, plan, group).unionByName(tied)
     found = materialize(components(joined))
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
         *both, F.coalesce("component", "rep").alias("component_id")

@@ -87,7 +87,8 @@ def test_links_of_hot_groups_lose_nothing(spark, rows, group):
     assert {i: found.get(i, i) for i in want} == want
 
 
-def test_wide_plan_with_hot_groups(spark, rows):
+@pytest.mark.parametrize("group", [3, 256])
+def test_wide_plan_with_hot_groups(spark, rows, group):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
     docs = []
@@ -98,7 +99,7 @@ def test_wide_plan_with_hot_groups(spark, rows):
             if i:
                 copy[rng.randrange(200)] = "changed"
             docs.append((g * 100 + i, " ".join(copy)))
-    got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, docs), RESEMBLING).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, docs), RESEMBLING, group=group).collect()}
     assert got == {d: d // 100 * 100 for d, _ in docs}
 
 
