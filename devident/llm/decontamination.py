@@ -78,7 +78,7 @@ def item_grams(items: DataFrame) -> DataFrame:
 def bitmap(grams: DataFrame) -> np.ndarray:
     """A bitmap of 2^BITMAP_BITS bits with the grams' bits set: Spark folds them, the driver gets 64-bit words of it."""
     place = F.col("gram").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    folded = grams.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(gram & 63 AS int))").alias("bit"))
+    folded = grams.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, CAST(gram & 63 AS int))").alias("bit"))
     out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
     for batch in folded.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
@@ -164,13 +164,18 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, rarity: f
     found = materialize(
         passages(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), bitmap(pairs))
     )
-    hits = found.select("passage", F.explode("grams").alias("gram"))
-    counts = hits.join(pairs.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    # passages with the same n-grams, as very many copies have, meet the items as one
+    found = found.withColumn("grams_id", F.xxhash64("grams"))
+    sets = materialize(found.groupBy("grams_id").agg(F.any_value("grams").alias("grams"), F.count("*").alias("n")))
+    hits = sets.select("grams_id", "n", F.explode("grams").alias("gram"))
+    counts = hits.join(pairs.select("gram").distinct(), "gram").groupBy("gram").agg(F.sum("n").alias("n"))
     counted = pairs.join(counts, "gram")
     usual = counted.groupBy("item_id").agg(F.percentile_approx("n", 0.5).alias("usual"))
     seeds = materialize(counted.join(usual, "item_id").filter(F.col("n") <= rarity * F.col("usual")).select("item_id", "gram"))
-    met = hits.distinct().join(seeds, "gram").groupBy("passage", "item_id").agg(F.count("*").alias("n_seeds"))
-    candidates = materialize(met).join(found.select("passage", "doc_id", "words", "places"), "passage").join(
+    met = hits.select("grams_id", "gram").distinct().join(seeds, "gram").groupBy("grams_id", "item_id").agg(
+        F.count("*").alias("n_seeds")
+    )
+    candidates = materialize(met).join(found.select("grams_id", "doc_id", "words", "places"), "grams_id").join(
         listed.select("item_id", "tokens"), "item_id"
     )
 
