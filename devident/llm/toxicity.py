@@ -29,7 +29,7 @@ class Training:
 
     positives: int = 1500
     negatives: int = 2500
-    windows: int = 16
+    windows: int = 10
     steps: int = 240
     batch: int = 128
     least: int = 3
@@ -162,6 +162,7 @@ def train(rows: list, training: Training) -> Model:
     params["word"][1:, 0] += word_start
     params["char"][1:, 0] += gram_start
     feats = gru.resolve(hashed, gru.Rows(known_words), gru.Rows(known_grams))
+    del hashed, index
     adam, rng = gru.Adam(params, word=0.0005, char=0.0005), np.random.default_rng(training.seed)
     toxic, clean = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     groups = np.split(toxic, np.flatnonzero(np.diff(owner[toxic])) + 1)
