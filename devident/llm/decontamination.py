@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
 Test items give n-grams of words; a fixed-size bitmap of their hashes tells each document which of its n-grams may be among
-them, so only passages around such places leave the scan. Seeds are the n-grams that are rare in the
-corpus compared with the others of their item, which keeps passages that very many documents copied. Passages meet items on
+them, so only passages around such places leave the scan. Seeds are the n-grams that are rare among the distinct
+passages compared with the others of their item, and the least frequent one of a passage without any. Passages meet items on
 seeds by a join, and a Smith-Waterman alignment of words scores exact, edited and paraphrased copies alike.
 """
 
@@ -155,48 +155,53 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.5, rarity: f
     """(doc_id, item_id, score, n_seeds, first_word, last_word): the best aligned passage of each document and item
     with a score of `threshold` or more; the score is the alignment's over the item's words, 1 for a whole copy.
 
-    An item's n-gram is a seed if the corpus has it at most `rarity` times as often as its median n-gram. NULL and empty texts
-    and NULL items match nothing; rows with the same doc_id are reported as one document, those without as another. Repeated
-    items are one.
+    An item's n-gram is rare if at most `rarity` times as many distinct passages have it as the item's median n-gram. A
+    passage's seeds are the rare n-grams that it shares with an item, or, where it shares frequent ones only, the least
+    frequent of these: every passage meets every item with a common n-gram. NULL and empty texts and NULL items match
+    nothing; rows with the same doc_id are reported as one document, those without as another. Repeated items are one.
     """
     listed = materialize(item_grams(items).dropDuplicates(["item_id", "tokens"]))
     pairs = listed.select("item_id", F.explode(F.array_distinct("grams")).alias("gram")).distinct()
     found = materialize(
-        passages(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), bitmap(pairs))
+        passages(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), bitmap(pairs)).withColumns(
+            {"grams_id": F.xxhash64("grams"), "words_id": F.xxhash64("words")}
+        )
     )
-    # passages with the same n-grams, as very many copies have, meet the items as one
-    found = found.withColumn("grams_id", F.xxhash64("grams"))
-    sets = materialize(found.groupBy("grams_id").agg(F.any_value("grams").alias("grams"), F.count("*").alias("n")))
-    hits = sets.select("grams_id", "n", F.explode("grams").alias("gram"))
-    counts = hits.join(pairs.select("gram").distinct(), "gram").groupBy("gram").agg(F.sum("n").alias("n"))
+    # passages with the same n-grams, as very many copies have, count and meet the items as one
+    sets = materialize(found.groupBy("grams_id").agg(F.any_value("grams").alias("grams")))
+    hits = sets.select("grams_id", F.explode(F.array_distinct("grams")).alias("gram"))
+    counts = hits.join(pairs.select("gram").distinct(), "gram").groupBy("gram").agg(F.count("*").alias("n"))
     counted = pairs.join(counts, "gram")
     usual = counted.groupBy("item_id").agg(F.percentile_approx("n", 0.5).alias("usual"))
-    seeds = materialize(counted.join(usual, "item_id").filter(F.col("n") <= rarity * F.col("usual")).select("item_id", "gram"))
-    met = hits.select("grams_id", "gram").distinct().join(seeds, "gram").groupBy("grams_id", "item_id").agg(
-        F.count("*").alias("n_seeds")
-    )
-    candidates = materialize(met).join(found.select("grams_id", "doc_id", "words", "places"), "grams_id").join(
-        listed.select("item_id", "tokens"), "item_id"
+    seeds = materialize(counted.join(usual, "item_id").select("item_id", "gram", (F.col("n") <= rarity * F.col("usual")).alias("rare")))
+    met = hits.join(seeds, "gram").groupBy("grams_id", "item_id").agg(
+        F.greatest(F.count_if("rare"), F.lit(1)).alias("n_seeds")
     )
+    # equal passages are aligned once
+    distinct = found.groupBy("words_id", "grams_id").agg(F.any_value("words").alias("words"))
+    candidates = materialize(met).join(distinct, "grams_id").join(listed.select("item_id", "tokens"), "item_id")
 
     def run(batches):
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "item_id", "n_seeds")]
-            for doc_id, item_id, seeds_, words_, places, tokens in zip(*columns, *[batch.column(c) for c in ("words", "places", "tokens")]):
-                item = np.asarray(tokens.values)
-                score, first, last = align(np.asarray(words_.values), item)
+            columns = [batch.column(c).to_pylist() for c in ("words_id", "item_id", "n_seeds")]
+            for words_id, item_id, seeds_, words_, tokens in zip(*columns, *[batch.column(c) for c in ("words", "tokens")]):
+                passage, item = np.asarray(words_.values), np.asarray(tokens.values)
+                # words that the passage lacks match nothing, so that their number bounds the score
+                if np.isin(item, passage).sum() < threshold * len(item):
+                    continue
+                score, first, last = align(passage, item)
                 if score >= threshold * len(item):
-                    places = np.asarray(places.values)
-                    out.append((doc_id, item_id, score / len(item), seeds_, int(places[first]), int(places[last])))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                    out.append((words_id, item_id, score / len(item), seeds_, first, last))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), type=t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)],
-                names=["doc_id", "item_id", "score", "n_seeds", "first_word", "last_word"],
+                names=["words_id", "item_id", "score", "n_seeds", "first", "last"],
             )
 
-    scored = candidates.mapInArrow(
-        run, "doc_id long, item_id long, score double, n_seeds long, first_word long, last_word long"
+    aligned = candidates.mapInArrow(run, "words_id long, item_id long, score double, n_seeds long, first int, last int")
+    scored = materialize(aligned).join(found.select("words_id", "doc_id", "places"), "words_id").withColumns(
+        {"first_word": F.expr("places[first]"), "last_word": F.expr("places[last]")}
     )
     best = scored.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("score", "n_seeds", F.negative("first_word").alias("before"), "last_word")).alias("b")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from devident.llm.decontamination import align, matches, token_hashes
 from devident.llm.queries.decontamination import query
@@ -79,3 +80,36 @@ def test_query_against_every_pair(spark):
             if score >= 0.5:
                 want[d, i.item_id] = score
     assert got == want
+
+
+def every_pair(docs, items, threshold=0.5):
+    want = {}
+    for item_id, item in items:
+        own = token_hashes(item.encode())
+        for doc_id, text in docs:
+            score = align(token_hashes(text.encode()), own)[0] / len(own)
+            if score >= threshold:
+                want[doc_id, item_id] = score
+    return want
+
+
+@pytest.mark.parametrize("around", [False, True])
+def test_groups_of_equal_edited_copies(spark, rows, around):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.sample(vocabulary, 37))) for i in range(3)]
+    edited = items[0][1].split()
+    for at in (6, 12, 18, 24, 30):
+        edited[at] = "edited"
+    text = lambda own: " ".join([*(rng.sample(vocabulary, 80) if around else []), *own])
+    docs = [(0, text(items[0][1].split())), (1, text(items[1][1].split()))]
+    docs += [(10 + i, text(edited)) for i in range(20)]
+    # frequent n-grams only, in passages that all differ
+    docs += [(100 + i, text([*edited[:31], f"tail{i}", f"w{i}"])) for i in range(40)]
+    want = every_pair(docs, items)
+    assert all((10 + i, 0) in want and (100 + i, 0) in want for i in range(20))
+    got = {(r.doc_id, r.item_id): r for r in matches(rows(DOCS, docs), rows("item_id long, text string", items)).collect()}
+    assert {k: r.score for k, r in got.items()} == want and all(r.n_seeds >= 1 for r in got.values())
+    texts = dict(docs)
+    for (doc_id, _), r in got.items():
+        assert texts[doc_id].split()[r.first_word] in edited + items[0][1].split() + items[1][1].split()
