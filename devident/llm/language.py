@@ -37,7 +37,7 @@ class Learning:
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def grams(text: bytes | None):
@@ -49,7 +49,7 @@ def grams(text: bytes | None):
     points = np.concatenate([[32], points, [32]]).astype(np.uint32)
     for begin in range(0, len(points), _STRETCH):  # n-grams that begin there
         own = points[begin : begin + _STRETCH + max(SIZES) - 1]
-        letter = _letters()[np.minimum(own, 0xFFFF)] | (own > 0xFFFF)
+        letter = _letters()[own]
         code = np.where(letter, own, 32).astype(np.uint64)
         rolled = np.zeros(len(code), dtype=np.uint64)
         inner = np.ones(len(code), dtype=bool)

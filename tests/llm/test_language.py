@@ -54,3 +54,12 @@ def test_odd_rows(spark, rows):
     empty = rows("doc_id long, text string, lang string", [])
     assert identify(empty, learn(empty)).count() == 0
     assert {r.lang_pred for r in identify(frame, learn(empty)).collect()} == {"und"}
+
+
+def test_symbols_beyond_the_basic_plane(spark, rows):
+    for text in ("\U0001f600\U0001f680 \U0001f4a9", "a\U0001f600b", "\U0001d4b3y \U00010400"):
+        assert len(np.concatenate(list(grams(text.encode())) or [[]])) == len(brute_grams(text)), text
+    data = [(1, "the cat and the dog", "en"), (2, "\U0001f600\U0001f680 \U0001f4a9", "en"), (3, "\U0001f600 the dog", None)]
+    frame = rows("doc_id long, text string, lang string", data)
+    got = {r.doc_id: r.lang_pred for r in identify(frame, learn(frame, Learning(documents=100)), keep=("doc_id",)).collect()}
+    assert got == {1: "en", 2: "und", 3: "en"}
