@@ -169,8 +169,9 @@ def spans_of(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame
     """`keep`, `base` and `candidates` of each row; a NULL text has none. One pass, written to the shared folder."""
     frame = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_pii_text"))
     frame = base_spans(frame, "_pii_text")
+    # follows from every alternative of CANDIDATE
     frame = _located(frame, "_pii_text", CANDIDATE, "_pii_candidates", F.col("_pii_text").rlike(
-        r"[0-9]{2}|(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)|[(\[\x20]at[)\]\x20]|(?<!\p{L})(?:" + "|".join(TITLES) + r")\.?\x20"
+        r"[0-9]{2}|AKIA|[0-9a-f]{32}|(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)|[(\[\x20]at[)\]\x20]|(?<!\p{L})(?:" + "|".join(TITLES) + r")\.?\x20"
     ))
     # through a generator, so that the base spans aren't worked out again for each candidate
     frame = frame.select(*keep, F.inline(F.array(F.struct("base", "_pii_candidates"))))
