@@ -29,7 +29,7 @@ class Training:
 
     positives: int = 1500
     negatives: int = 2500
-    windows: int = 10
+    windows: int = 16
     steps: int = 240
     batch: int = 128
     least: int = 3
@@ -117,8 +117,11 @@ def _lexicon(labels, owner, ids, feats, least: int):
     them, from -1 to 1."""
     word_hash, gram_hash, begins = feats
     known_words, word_row = np.unique(word_hash, return_inverse=True)
-    known_grams, gram_row = np.unique(gram_hash, return_inverse=True)
-    gram_row = gram_row.astype(np.int32)
+    # without the inverse of np.unique, which sorts places of 64 bits
+    known_grams = np.unique(gram_hash)
+    gram_row = np.empty(len(gram_hash), dtype=np.int32)
+    for i in range(0, len(gram_hash), 1 << 16):
+        gram_row[i : i + (1 << 16)] = np.searchsorted(known_grams, gram_hash[i : i + (1 << 16)])
     has_word, has_gram = (np.zeros((2, len(k)), dtype=np.int64) for k in (known_words, known_grams))
     total = np.zeros(2)
     cuts = np.flatnonzero(np.diff(owner)) + 1  # rows are ordered by document
@@ -152,10 +155,11 @@ def train(rows: list, training: Training) -> Model:
         return Model(params, none, none)
     owner = np.array([r.doc_id for r in rows])
     index: dict[bytes, int] = {}
-    ids = np.full((len(rows), WINDOW), -1, dtype=np.int64)
+    ids = np.full((len(rows), WINDOW), -1, dtype=np.int32)
     for i, row in enumerate(rows):
         parts = words(row.text.encode())
         ids[i, : len(parts)] = [index.setdefault(w, len(index)) for w in parts]
+    rows = row = None  # the texts aren't needed any more
     hashed = gru.features(list(index))
     (known_words, word_start), (known_grams, gram_start) = _lexicon(labels, owner, ids, hashed, training.least)
     params = gru.initial(training.seed, len(known_words), len(known_grams))
