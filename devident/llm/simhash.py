@@ -4,6 +4,9 @@ Fingerprints are computed per text, equal ones fold into one class, and each dis
 several keys: its bits are cut into segments of at most 23 bits, a segment is decoded to the Golay
 codewords nearby, and a key joins two segments. Fingerprints with a common key are candidates and are
 verified by their whole distance.
+
+Where texts are linked by the resemblance of their sets of shingles, the keys are shingles of which resembling sets
+have one in common, and candidates are verified on the sets.
 """
 
 from __future__ import annotations
@@ -24,45 +27,35 @@ from devident.session import materialize
 #: odd multipliers that derive further 64-bit hashes from the first
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _CHUNK = 1 << 14
-#: members of a hot group that the whole group is verified against in a round
-HEADS = 16
+#: one in how many texts tells which shingles are frequent, and how many of these are kept at most
+SAMPLED, FREQUENT = 16, 500_000
 
 
 @dataclass(frozen=True)
 class Plan:
     """What links two texts, and the keys that find them.
 
-    `shingle` words; `lanes` times 64 bits of fingerprint, of which `max_bits` may differ. `bounds` cut the
-    fingerprint that keys are made of into segments: the same one or, with `key_shingle`, another of as many lanes over
-    shorter shingles, which small edits change less. `pairs`: (exact, decoded) segments that make up a key; of the exact
-    one the `exact_bits` lowest count.
+    `shingle` words; `lanes` times 64 bits of fingerprint. Without `resemblance`, `max_bits` may differ: `bounds` cut the
+    fingerprint into segments, and `pairs` are the (exact, decoded) segments that make up a key. With it, texts are linked
+    whose sets of shingles have at least that Jaccard similarity; their keys are shingles (`resembling`).
     """
 
     shingle: int
     lanes: int
-    bounds: tuple[int, ...]
-    pairs: tuple[tuple[int, int], ...]
-    max_bits: int
-    exact_bits: int = 22
-    key_shingle: int | None = None
+    bounds: tuple[int, ...] = ()
+    pairs: tuple[tuple[int, int], ...] = ()
+    max_bits: int = 0
+    resemblance: float | None = None
 
     def names(self) -> list[str]:
         return [f"lane{i}" for i in range(self.lanes)]
 
-    def key_names(self) -> list[str]:
-        return [f"key{i}" for i in range(self.lanes)] if self.key_shingle else self.names()
-
 
 #: At most 2 of 64 bits: of three segments one is equal, and the next differs in at most 2 bits, so it shares a codeword.
 #: Every such pair is found.
 TWO_BITS = Plan(3, 1, (0, 22, 43, 64), ((0, 1), (1, 2), (2, 0)), 2)
-#: Five-word shingles that resemble each other by 0.8 or more: of 256 bits then about 39 differ, give or take 6. With 44
-#: allowed about 8 in 10 pairs at 0.8 pass, nearly all from 0.87 on, and 1 in 3 at 0.7. Keys are taken from three-word
-#: shingles; measured, they find 7 in 10 pairs at 0.8, 9 in 10 at 0.85 and all from 0.9 on.
-RESEMBLING = Plan(
-    5, 4, tuple(range(0, 254, 23)), tuple(((i + 1 + j) % 11, i) for j in range(2) for i in range(8)), 44,
-    exact_bits=16, key_shingle=3,
-)
+#: Five-word shingles that resemble each other by 0.8 or more. Keys of fingerprints would miss some of these pairs.
+RESEMBLING = Plan(5, 4, resemblance=0.8)
 
 
 def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -100,16 +93,12 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, plan: Plan, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`carry` columns and the plan's lanes of each whole text, as signed 64-bit numbers."""
-    names = list(dict.fromkeys([*plan.names(), *plan.key_names()]))
-    shingles = [plan.shingle] + ([plan.key_shingle] if plan.key_shingle else [])
+    names = plan.names()
     fields = [docs.schema[c] for c in carry]
 
     def run(batches):
         for batch in batches:
-            prints = [
-                np.concatenate([fingerprint(shingle_hashes(t, n), plan.lanes) for n in shingles])
-                for t in utf8(batch.column("_sh_text"))
-            ]
+            prints = [fingerprint(shingle_hashes(t, plan.shingle), plan.lanes) for t in utf8(batch.column("_sh_text"))]
             table = np.array(prints, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in carry] + [pa.array(table[:, i]) for i in range(len(names))],
@@ -133,7 +122,7 @@ def key_rows(table: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for every key of every row. A key holds the pair's number, the exact bits and a codeword's index."""
     rows, out = [], []
     for number, (first, second) in enumerate(plan.pairs):
-        exact = _segment(table, plan.bounds[first], min(plan.bounds[first + 1], plan.bounds[first] + plan.exact_bits))
+        exact = _segment(table, plan.bounds[first], plan.bounds[first + 1])
         index, used = golay.keys(_segment(table, plan.bounds[second], plan.bounds[second + 1]))
         key = (np.int64(number) << 40) | (exact[:, None] << 12) | index
         at = np.nonzero(used)
@@ -143,7 +132,7 @@ def key_rows(table: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(classes: DataFrame, plan: Plan) -> DataFrame:
-    names = plan.key_names()
+    names = plan.names()
 
     def run(batches):
         for batch in batches:
@@ -154,10 +143,6 @@ def _keyed(classes: DataFrame, plan: Plan) -> DataFrame:
     return classes.select("rep", *names).mapInArrow(run, "key long, rep long")
 
 
-def _distance(plan: Plan, left: str, right: str):
-    return sum(F.bit_count(F.col(left + c).bitwiseXOR(F.col(right + c))) for c in plan.names())
-
-
 def _links_in_groups(keyed: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) that join all members of a key's group that lie within `max_bits` of each other.
 
@@ -208,12 +193,10 @@ def _links_by_flips(classes: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, plan: Plan, group: int = 256) -> DataFrame:
-    """Links (a, b) between representatives whose fingerprints differ in at most `max_bits`.
+    """Links (a, b) between representatives whose 64-bit fingerprints differ in at most 2 bits.
 
-    `classes`: rep, lane0..; one row per distinct fingerprint. Key groups up to `group` members are
-    verified member by member. Members of larger groups go another way: for 2 of 64 bits, by one-bit
-    flips, which is exact; for wider plans, by rounds in which about HEADS members are verified against
-    the whole group, and those that no head reaches stay for the next round.
+    `classes`: rep, lane0; one row per distinct fingerprint. Key groups up to `group` members are verified member by
+    member. Members of larger groups go another way, by one-bit flips, which is exact as well.
     """
     lanes = plan.names()
     keyed = _keyed(classes, plan)
@@ -222,23 +205,151 @@ def links(classes: DataFrame, plan: Plan, group: int = 256) -> DataFrame:
     keyed = materialize(keyed.join(sizes.select("key", "n"), "key")).join(classes.select("rep", *lanes), "rep")
     found = _links_in_groups(keyed.filter(F.col("n") <= group), plan)
     hot = keyed.filter(F.col("n") > group)
-    if plan.lanes == 1 and plan.max_bits == 2:
-        return found.unionByName(_links_by_flips(hot.select("rep", "lane0").distinct()))
-    turn = 0
-    while not hot.isEmpty():
-        # some heads of each group, chosen by a hash, meet all of its members
-        heads = hot.filter(F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("n")) < HEADS)
-        named = heads.select("key", F.col("rep").alias("b"), *[F.col(c).alias(f"h_{c}") for c in lanes])
-        near = hot.join(named, "key").filter((F.col("rep") != F.col("b")) & (_distance(plan, "", "h_") <= plan.max_bits))
-        near = materialize(near.select("key", F.col("rep").alias("a"), "b"))
-        found = found.unionByName(near.select("a", "b").distinct())
-        done = near.select("key", F.col("a").alias("rep")).unionByName(heads.select("key", "rep")).distinct()
-        rest = materialize(hot.select("key", "rep", *lanes).join(done, ["key", "rep"], "left_anti"))
-        sizes = materialize(rest.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-        rest = rest.join(sizes, "key")
-        found = found.unionByName(_links_in_groups(rest.filter(F.col("n") <= group), plan))
-        hot, turn = rest.filter(F.col("n") > group), turn + 1
-    return found
+    return found.unionByName(_links_by_flips(hot.select("rep", "lane0").distinct()))
+
+
+def shingle_set(hashes: np.ndarray) -> np.ndarray:
+    """The distinct shingles in order, 63 bits of each."""
+    return np.unique(hashes >> np.uint64(1)).view(np.int64)
+
+
+def _set_id(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
+
+
+def _prefix_length(size, resemblance: float):
+    """Of two sets that resemble each other, the first so many elements have one in common, whatever the order."""
+    return size - np.ceil(resemblance * size - 1e-9).astype(np.int64) + 1
+
+
+def frequent_shingles(docs: DataFrame, plan: Plan) -> np.ndarray:
+    """Shingles that many texts have, from a sample, at most `FREQUENT`. They only order the shingles; no result depends on them."""
+
+    def run(batches):
+        for batch in batches:
+            own = [shingle_set(shingle_hashes(t, plan.shingle)) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["shingle"])
+
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "shingle long")
+    counts = some.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= 4)
+    return np.sort(counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow()["shingle"].to_numpy())
+
+
+def _sets(docs: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
+    """doc_id, the lanes, and of the set of shingles its id, its size and its first elements, frequent ones last."""
+    shared, names = docs.sparkSession.sparkContext.broadcast(frequent), plan.names()
+
+    def run(batches):
+        for batch in batches:
+            prints, ids, sizes, firsts = [], [], [], []
+            for text in utf8(batch.column("text")):
+                hashes = shingle_hashes(text, plan.shingle)
+                own = shingle_set(hashes)
+                prints.append(fingerprint(hashes, plan.lanes))
+                ids.append(_set_id(own))
+                sizes.append(len(own))
+                known = shared.value
+                often = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
+                order = np.concatenate([own[~often] - np.int64((1 << 63) - 1) - 1, own[often]])
+                firsts.append(order[: _prefix_length(np.int64(len(own)), plan.resemblance) if len(own) else 0])
+            lanes = np.array(prints, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *[pa.array(lanes[:, i]) for i in range(len(names))], pa.array(ids, pa.int64()),
+                 pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["doc_id", *names, "set_id", "size", "firsts"],
+            )
+
+    lanes = ", ".join(f"{n} long" for n in names)
+    return docs.mapInArrow(run, f"doc_id long, {lanes}, set_id long, size long, firsts array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """Those of the pairs (a, b) of set ids whose sets resemble each other, compared as a whole."""
+    ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    wanted = materialize(classes.join(ids, "set_id").select("set_id", "rep"))
+
+    def sets(batches):
+        for batch in batches:
+            own = [shingle_set(shingle_hashes(t, plan.shingle)) for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_set_id(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["set_id", "own"]
+            )
+
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # a doc_id with several texts gives sets of its own, and some twice
+    known = texts.select("text").mapInArrow(sets, "set_id long, own array<long>").join(wanted.select("set_id"), "set_id", "left_semi")
+    known = materialize(known.groupBy("set_id").agg(F.any_value("own").alias("own")))
+
+    def run(batches):
+        for batch in batches:
+            left, right = (batch.column(c) for c in ("own_a", "own_b"))
+            kept = []
+            for x, y in zip(left, right):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(both / (len(x) + len(y) - both) >= plan.resemblance)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.join(known.select(F.col("set_id").alias("a"), F.col("own").alias("own_a")), "a").join(
+        known.select(F.col("set_id").alias("b"), F.col("own").alias("own_b")), "b"
+    ).select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
+
+
+def resembling(classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between set ids that join all sets with a Jaccard similarity of `plan.resemblance` or more.
+
+    `classes`: set_id, rep, size, firsts. Resembling sets share one of their first elements, which are the keys. First each
+    set is compared with one set that many of its keys name, the least of each key's members. Then all pairs with a common
+    key whose members these links haven't joined are compared, in a join that a hot key's tasks share; bounds on what a
+    pair can have in common, by sizes, places and number of common keys, only drop pairs that can't resemble each other.
+    """
+    r = plan.resemblance
+    keyed = classes.select("set_id", "size", F.posexplode("firsts").alias("place", "key"))
+    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("head")).filter("n > 1"))
+    shared = materialize(keyed.join(several.select("key", "head"), "key"))
+    named = shared.filter("set_id <> head").groupBy("set_id", "head").agg(F.count("*").alias("n"))
+    first = named.groupBy("set_id").agg(F.max(F.struct("n", "head")).alias("m"))
+    easy = materialize(_verified(materialize(first.select(F.col("set_id").alias("a"), F.col("m.head").alias("b"))), docs, classes, plan))
+    joined = materialize(components(easy))
+    # keys of members that aren't all joined
+    member = materialize(
+        shared.join(joined, shared["set_id"] == joined["node"], "left").select(
+            "key", "set_id", "size", "place", F.coalesce("component", "set_id").alias("component")
+        )
+    )
+    open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    member = materialize(member.join(open_.select("key"), "key"))
+    other = member.select("key", *[F.col(c).alias(f"o_{c}") for c in ("set_id", "size", "place", "component")])
+    least = F.lit(r / (1 + r)) * (F.col("size") + F.col("o_size")) - 1e-6
+    most = F.least("place", "o_place") + F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place"))
+    met = member.join(other, "key").filter(
+        (F.col("set_id") < F.col("o_set_id")) & (F.col("component") != F.col("o_component")) & (most >= least)
+    )
+    counted = met.groupBy(F.col("set_id").alias("a"), F.col("o_set_id").alias("b")).agg(F.count("*").alias("n"))
+    known = classes.select("set_id", "size", F.size("firsts").alias("keys"), F.try_element_at("firsts", F.lit(-1)).alias("last"))
+    for side in ("a", "b"):
+        counted = counted.join(known.select(*[F.col(c).alias(f"{side}_{c}" if c != "set_id" else side) for c in known.columns]), side)
+    # all elements up to the lesser last key are counted
+    rest = F.when(F.col("a_last") <= F.col("b_last"), F.col("a_size") - F.col("a_keys")).otherwise(F.col("b_size") - F.col("b_keys"))
+    able = counted.filter(F.col("n") + rest >= F.lit(r / (1 + r)) * (F.col("a_size") + F.col("b_size")) - 1e-6)
+    return easy.unionByName(_verified(materialize(able.select("a", "b")), docs, classes, plan))
+
+
+def _resembling_documents(docs: DataFrame, plan: Plan) -> DataFrame:
+    """doc_id, the lanes and component_id by `resembling`."""
+    marked = materialize(_sets(docs, plan, frequent_shingles(docs, plan)))
+    classes = materialize(marked.groupBy("set_id").agg(
+        F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("firsts").alias("firsts")
+    ))
+    repeated = marked.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.max("set_id").alias("m")).filter("b < m AND doc_id IS NOT NULL")
+    tied = marked.join(repeated.select("doc_id", "b"), "doc_id").select(F.col("set_id").alias("a"), "b")
+    found = materialize(components(resembling(classes.filter("rep IS NOT NULL"), docs, plan).unionByName(tied)))
+    own = classes.join(found, classes["set_id"] == found["node"], "left").select(
+        "set_id", "rep", F.coalesce("component", "set_id").alias("component")
+    )
+    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialize(own.join(least, "component").select("set_id", "component_id"))
+    return marked.join(named, "set_id").select("doc_id", *plan.names(), "component_id")
 
 
 def near_duplicates(
@@ -248,18 +359,22 @@ def near_duplicates(
 
     NULL, empty and blank texts have fingerprint zero and are linked like any other. Rows with a
     repeated key are one node of the links. A row whose key is NULL gets the component of its
-    fingerprint, NULL if no row of it has a key.
+    fingerprint, NULL if no row of it has a key. With a resemblance, texts without a word are linked with
+    each other, and a set of shingles stands for the fingerprint.
     """
-    lanes, both = plan.names(), list(dict.fromkeys([*plan.names(), *plan.key_names()]))
-    marked = materialize(fingerprints(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), plan))
-    classes = materialize(marked.groupBy(*both).agg(F.min("doc_id").alias("rep")))
+    lanes = plan.names()
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if plan.resemblance is not None:
+        return _resembling_documents(docs, plan).withColumnRenamed("doc_id", key)
+    marked = materialize(fingerprints(docs, plan))
+    classes = materialize(marked.groupBy(*lanes).agg(F.min("doc_id").alias("rep")))
     # a doc_id with several texts ties their fingerprints together
     repeated = marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    tied = marked.join(repeated, "doc_id").join(classes, both).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    tied = marked.join(repeated, "doc_id").join(classes, lanes).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     known = classes.filter("rep IS NOT NULL")
     joined = links(known, plan, group).unionByName(tied)
     found = materialize(components(joined))
     named = classes.join(found, classes["rep"] == found["node"], "left").select(
-        *both, F.coalesce("component", "rep").alias("component_id")
+        *lanes, F.coalesce("component", "rep").alias("component_id")
     )
-    return marked.join(materialize(named), both).select(F.col("doc_id").alias(key), *lanes, "component_id")
+    return marked.join(materialize(named), lanes).select(F.col("doc_id").alias(key), *lanes, "component_id")

@@ -128,3 +128,45 @@ def test_long_text(spark, rows):
     line = " ".join(f"v{i * 7919 % 5003}" for i in range(60_000))
     got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, [(3, line), (5, line + " end"), (9, "other " * 60_000)]), TWO_BITS).collect()}
     assert got == {3: 3, 5: 3, 9: 9}
+
+
+def five(text):
+    parts = text.lower().split()
+    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))}
+
+
+def resembling_components(docs):
+    sets = {d: five(t) for d, t in docs}
+    linked = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    label = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+def test_resemblance_against_brute_force(spark, rows):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(2000)]
+    docs, near = [], 0
+    for g in range(150):
+        size = rng.choice([6, 12, 40, 200, 400])
+        base = rng.choices(vocabulary, k=size)
+        copy = list(base)
+        if g % 2:  # places apart, about 0.6 to 0.95
+            for at in rng.sample(range(size), max(1, round(size * rng.uniform(0.005, 0.05)))):
+                copy[at] = "edited"
+        else:
+            copy = base[: size - round(size * rng.uniform(0.05, 0.35))]
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        a, b = five(docs[-2][1]), five(docs[-1][1])
+        near += 0.75 <= len(a & b) / len(a | b) <= 0.85
+    line = " ".join(rng.choices(vocabulary, k=12))
+    docs += [(1000 + i, " ".join([line, *rng.choices(vocabulary, k=20), line])) for i in range(60)]
+    assert near >= 20
+    got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, docs), RESEMBLING).collect()}
+    assert got == resembling_components(docs)
