@@ -217,6 +217,13 @@ def _set_id(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def _small(batches, rows: int = 256):
+    """The batches in pieces, so that few texts' shingles are held at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _prefix_length(size, resemblance: float):
     """Of two sets that resemble each other, the first so many elements have one in common, whatever the order."""
     return size - np.ceil(resemblance * size - 1e-9).astype(np.int64) + 1
@@ -226,7 +233,7 @@ def frequent_shingles(docs: DataFrame, plan: Plan) -> np.ndarray:
     """Shingles that many texts have, from a sample, at most `FREQUENT`. They only order the shingles; no result depends on them."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             own = [shingle_set(shingle_hashes(t, plan.shingle)) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *own]))], names=["shingle"])
 
@@ -240,7 +247,7 @@ def _sets(docs: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
     shared, names = docs.sparkSession.sparkContext.broadcast(frequent), plan.names()
 
     def run(batches):
-        for batch in batches:
+        for batch in _small(batches):
             prints, ids, sizes, firsts = [], [], [], []
             for text in utf8(batch.column("text")):
                 hashes = shingle_hashes(text, plan.shingle)
@@ -269,7 +276,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan)
     wanted = materialize(classes.join(ids, "set_id").select("set_id", "rep"))
 
     def sets(batches):
-        for batch in batches:
+        for batch in _small(batches):
             own = [shingle_set(shingle_hashes(t, plan.shingle)) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_set_id(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["set_id", "own"]
@@ -305,10 +312,12 @@ def resembling(classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """
     r = plan.resemblance
     keyed = classes.select("set_id", "size", F.posexplode("firsts").alias("place", "key"))
-    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("head")).filter("n > 1"))
-    shared = materialize(keyed.join(several.select("key", "head"), "key"))
-    named = shared.filter("set_id <> head").groupBy("set_id", "head").agg(F.count("*").alias("n"))
-    first = named.groupBy("set_id").agg(F.max(F.struct("n", "head")).alias("m"))
+    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    shared = materialize(keyed.join(several, "key"))
+    heads = shared.groupBy("key").agg(F.min("set_id").alias("head"))
+    named = shared.join(heads, "key").filter("set_id <> head").groupBy("set_id", "size", "head").agg(F.count("*").alias("n"))
+    # a quarter of the keys; pairs with fewer in common are left to the second comparison
+    first = named.filter(4 * F.col("n") >= (1 - r) * F.col("size")).groupBy("set_id").agg(F.max(F.struct("n", "head")).alias("m"))
     easy = materialize(_verified(materialize(first.select(F.col("set_id").alias("a"), F.col("m.head").alias("b"))), docs, classes, plan))
     joined = materialize(components(easy))
     # keys of members that aren't all joined

@@ -170,3 +170,15 @@ def test_resemblance_against_brute_force(spark, rows):
     assert near >= 20
     got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, docs), RESEMBLING).collect()}
     assert got == resembling_components(docs)
+
+
+def test_chain_in_a_hot_group(spark, rows):
+    rng = random.Random(12)
+    words_ = [f"w{i}" for i in range(100 + 3 * 320)]
+    # each resembles its neighbours only, and all have one long run of a word in common
+    docs = [(i, " ".join(words_[3 * i : 3 * i + 100])) for i in range(320)]
+    head = " ".join(f"common{i}" for i in range(30))
+    docs = [(i, f"{head} {t}") for i, t in docs if i != 160] + [(1000 + i, f"{head} other{i} " + " ".join(rng.sample(words_, 9))) for i in range(20)]
+    rng.shuffle(docs)
+    got = {r.doc_id: r.component_id for r in near_duplicates(rows(DOCS, docs), RESEMBLING).collect()}
+    assert got == resembling_components(docs) and len(set(got.values())) < 25
