@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from devident.llm.queries import (
-    decontamination, language, line_dedup, packing, pii, quality_rules, simhash, substring_dedup, toxicity, wordpiece,
+    decontamination, filter_audit, language, line_dedup, packing, pii, quality_rules, simhash, substring_dedup, toxicity, wordpiece,
 )
 
 _MODULES = (
     toxicity, substring_dedup, decontamination, language, line_dedup, pii, simhash, packing, quality_rules, wordpiece,
+    filter_audit,
 )
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
