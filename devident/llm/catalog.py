@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from devident.llm.queries import (
     decontamination, filter_audit, language, line_dedup, packing, pii, quality_rules, simhash, spelling, substring_dedup, toxicity,
-    wordpiece,
+    url_rules, wordpiece,
 )
 
 _MODULES = (
     toxicity, substring_dedup, decontamination, language, line_dedup, pii, simhash, packing, quality_rules, wordpiece,
-    filter_audit, spelling,
+    url_rules, filter_audit, spelling,
 )
 
 QUERIES = {m.NAME: m.query for m in _MODULES}
