@@ -9,6 +9,7 @@ from devident.functions.cpe import cpe_normalize
 from devident.functions.documents import to_json_text
 from devident.functions.text import run_stamp
 from devident.operators.extract import CPE_SCHEMA, parse_documents, raw_cpes
+from devident.session import materialize
 
 
 def scanner_cpes(scans: DataFrame, xml: str = "xml", out: str = "cpes") -> DataFrame:
@@ -18,13 +19,32 @@ def scanner_cpes(scans: DataFrame, xml: str = "xml", out: str = "cpes") -> DataF
     return documents.withColumn(out, F.array_distinct(known)).drop("doc", "malformed")
 
 
+#: slots of the filter of wanted sessions: a table of at most so many numbers
+SESSION_SLOTS = 1 << 20
+
+
+def of_sessions(scan_runs: DataFrame, sessions: DataFrame, slots: int = SESSION_SLOTS) -> DataFrame:
+    """The scan runs that may belong to the sessions: a fixed-size filter, before anything is read of their documents.
+
+    Session ids are hashed to `slots` slots by one aggregation; its result can't grow beyond that, so it is broadcast, and
+    no document is moved. Few sessions let few others pass; very many let all pass, and cost no more than that.
+    """
+    slot = F.pmod(F.xxhash64("scan_session_id"), F.lit(slots)).cast("int")
+    taken = sessions.select(slot.alias("_slot")).distinct()
+    return scan_runs.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", "left_semi").drop("_slot")
+
+
 def session_cpes(scan_runs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """`scan_session_id, cpes, tool_version` over all documents of a session, of `sessions` only if given.
 
+    Only documents of those sessions, and of the few that share a slot with them (`of_sessions`), are parsed.
+
     Identifiers come in first-seen order by scan run. They are made distinct, with partial
     aggregation, before a session's list is built, so a list holds distinct identifiers only,
     however many documents repeat them.
     """
+    if sessions is not None:
+        scan_runs = of_sessions(scan_runs, sessions)
     full = scan_runs.select("id", "scan_session_id", "tool_version", F.nullif("stdout_text", F.lit("")).alias("xml"))
     # each document is reduced to its identifiers and its version where it is read: no text is shuffled;
     # outer: the filter Spark infers for a plain explode would repeat the parse, and sessions without
@@ -64,7 +84,8 @@ def baseline_runs(inputs: DataFrame, scan_runs: DataFrame, now: str | None = Non
 
     See `baseline_status` for what becomes of each request.
     """
-    wanted = inputs.select(F.col("id").alias("aggregated_input_id"), "scan_session_id")
+    # read three times: once for the filter, once behind it, once for the runs
+    wanted = materialize(inputs.select(F.col("id").alias("aggregated_input_id"), "scan_session_id"))
     found = wanted.join(session_cpes(scan_runs, wanted), "scan_session_id")
 
     def absent(kind: str) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from devident.operators import scoring
 from devident.operators.keys import with_defaults
 from devident.operators.outputs import accepted_entries
+from devident.session import shuffle_partitions
 
 VENDORS = ["economy", "large", "medium", "promo", "small", "standard"]
 PRODUCTS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
@@ -214,7 +215,7 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = F.transform(F.sequence(F.lit(0), F.lit(ACCEPTED - 1)), _entry)
     customers = load(spark, sf_dir, "customer").filter(F.col("c_acctbal") >= 0)
     return with_defaults(
-        customers.select("c_custkey", "c_nationkey", "c_mktsegment").repartition("c_custkey").select(
+        customers.select("c_custkey", "c_nationkey", "c_mktsegment").repartition(shuffle_partitions(spark), "c_custkey").select(
             F.col("c_custkey").alias("id"),
             F.col("c_custkey").alias("device_id"),
             F.lower("c_mktsegment").alias("true_vendor"),
@@ -353,7 +354,7 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
-    return orders.repartition("o_orderkey").select(
+    return orders.repartition(shuffle_partitions(spark), "o_orderkey").select(
         key.alias("seq"),
         customer.alias("scan_session_id"),
         _text("scan-", key).alias("scan_name"),

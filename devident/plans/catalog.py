@@ -14,7 +14,7 @@ from devident.operators import baseline, extract, inference, integrity, outputs,
 from devident.operators.keys import with_defaults, with_keys
 from devident.operators.payload import payload_text
 from devident.plans import binding, pipeline
-from devident.session import configure, shared_folder
+from devident.session import configure, shared_folder, shuffle_partitions
 from devident.sources.feeds import read_prompts, read_truth
 from devident.sources.reports import write_report
 from devident.sources.scans import read_scans
@@ -276,7 +276,7 @@ def cpe_validate_lines(spark, sf_dir):
 
 def _raw_outputs(spark, sf_dir) -> DataFrame:
     """Free texts of models, one per order: fenced, bare, broken or without an object."""
-    orders = binding.load(spark, sf_dir, "orders").repartition("o_orderkey")
+    orders = binding.load(spark, sf_dir, "orders").repartition(shuffle_partitions(spark), "o_orderkey")
     urgency = F.substring("o_orderpriority", 1, 1)
     stored = binding.stored_output()
     body = F.coalesce(

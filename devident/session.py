@@ -28,6 +28,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions; as an explicit number AQE doesn't coalesce it by bytes.
+
+    For rows that are cheap to move and costly to work on, such as documents before they are parsed.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share.
 
