@@ -137,6 +137,18 @@ def baseline_status(requested: DataFrame, inputs: DataFrame, scan_runs: DataFram
     )
 
 
+def replaced_baselines(requested: DataFrame, inputs: DataFrame, runs: DataFrame) -> DataFrame:
+    """`id, aggregated_input_id` of the runs that a rebuild for requested inputs (`id`) replaces: of each the first."""
+    chosen = inputs.join(requested.select("id").distinct(), "id", "left_semi")
+    baselines = runs.filter(F.col("model_name") == SCANNER_MODEL_NAME).select("id", "aggregated_input_id")
+    return (
+        baselines.join(chosen.select(F.col("id").alias("aggregated_input_id")), "aggregated_input_id", "left_semi")
+        .groupBy("aggregated_input_id")
+        .agg(F.min("id").alias("id"))
+        .select("id", "aggregated_input_id")
+    )
+
+
 def rebuild_baselines(
     requested: DataFrame, inputs: DataFrame, scan_runs: DataFrame, runs: DataFrame, scores: DataFrame,
     now: str | None = None,
@@ -146,13 +158,7 @@ def rebuild_baselines(
     Of an input's baselines the first is replaced; its score rows go with it.
     """
     chosen = inputs.join(requested.select("id").distinct(), "id", "left_semi")
-    baselines = runs.filter(F.col("model_name") == SCANNER_MODEL_NAME).select("id", "aggregated_input_id")
-    replaced = (
-        baselines.join(chosen.select(F.col("id").alias("aggregated_input_id")), "aggregated_input_id", "left_semi")
-        .groupBy("aggregated_input_id")
-        .agg(F.min("id").alias("id"))
-        .select("id")
-    )
+    replaced = replaced_baselines(requested, inputs, runs).select("id")
     kept = runs.join(replaced, "id", "left_anti").select(runs.columns)
     kept_scores = scores.join(
         replaced.select(F.col("id").alias("model_run_id")), "model_run_id", "left_anti"

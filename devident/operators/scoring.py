@@ -155,6 +155,15 @@ def score_status(
     return known.select("model_run_id", status.alias("score_status"))
 
 
+def replaced_runs(
+    requested: DataFrame, runs: DataFrame, inputs: DataFrame, sessions: DataFrame, truth: DataFrame
+) -> DataFrame:
+    """`model_run_id` of the requested runs whose rows a rescore replaces: known ones with a label."""
+    chosen = runs.join(requested.select(F.col("model_run_id").alias("id")).distinct(), "id", "left_semi")
+    context = scoring_context(chosen, inputs, sessions, truth)
+    return context.filter(F.col("ground_truth_id").isNotNull()).select("model_run_id")
+
+
 def rescore(
     requested: DataFrame, runs: DataFrame, inputs: DataFrame, sessions: DataFrame, truth: DataFrame,
     accepted: DataFrame, scores: DataFrame,
@@ -164,7 +173,6 @@ def rescore(
     Runs that are unknown or have no label keep their old rows.
     """
     chosen = runs.join(requested.select(F.col("model_run_id").alias("id")).distinct(), "id", "left_semi")
-    context = scoring_context(chosen, inputs, sessions, truth)
-    replaced = context.filter(F.col("ground_truth_id").isNotNull()).select("model_run_id")
+    replaced = replaced_runs(requested, runs, inputs, sessions, truth)
     kept = scores.join(replaced, "model_run_id", "left_anti").select(scores.columns)
     return kept, score_runs(chosen, inputs, sessions, truth, accepted)

@@ -85,11 +85,15 @@ def ingest_rejects(scans: DataFrame) -> DataFrame:
 
 
 def ingest(store: Store, scans: DataFrame, now: str | None = None) -> DataFrame:
-    """Append a batch of scan documents to the store; returns the documents that gave no rows."""
+    """Append a batch of scan documents to the store; returns the documents that gave no rows.
+
+    The four tables are published together: a batch that fails on the way leaves the store as it was.
+    """
     tables = ("devices", "scan_sessions", "scan_runs", "aggregated_inputs")
     starts = {name: last_key(store.table(name)) for name in tables}
-    for name, rows in ingest_rows(scans, store.table("devices"), starts, now).items():
-        store.append(name, rows)
+    with store.change() as change:
+        for name, rows in ingest_rows(scans, store.table("devices"), starts, now).items():
+            change.append(name, rows)
     return ingest_rejects(scans)
 
 
@@ -109,24 +113,30 @@ def _append_keyed(store: Store, table: str, rows: DataFrame, order_by: list[str]
     store.append(table, with_defaults(keyed.drop("pos"), table, now))
 
 
-def add_baselines(store: Store, now: str | None = None) -> None:
-    """Baseline runs for inputs that have none."""
-    rows = baseline.build_baselines(
-        store.table("aggregated_inputs"), store.table("scan_runs"), store.table("model_runs"), now
-    )
-    _append_keyed(store, "model_runs", rows, ["aggregated_input_id"], now)
+def add_baselines(store: Store, now: str | None = None) -> DataFrame:
+    """Baseline runs for inputs that have none; returns what became of each of these (`id, baseline_status`)."""
+    inputs, scans, runs = (store.table(t) for t in ("aggregated_inputs", "scan_runs", "model_runs"))
+    status = materialize(baseline.baseline_status(baseline.missing_baselines(inputs, runs), inputs, scans, runs))
+    _append_keyed(store, "model_runs", baseline.build_baselines(inputs, scans, runs, now), ["aggregated_input_id"], now)
+    return status
 
 
-def redo_baselines(store: Store, requested: DataFrame, now: str | None = None) -> None:
-    """Replace the baselines of requested inputs (`id`) and drop their scores."""
-    runs, scores = store.table("model_runs"), store.table("scores")
-    start = last_key(runs)
-    kept, kept_scores, fresh = baseline.rebuild_baselines(
-        requested, store.table("aggregated_inputs"), store.table("scan_runs"), runs, scores, now
-    )
-    keyed = with_defaults(with_keys(fresh, ["aggregated_input_id"], start, costly=True), "model_runs", now)
-    store.replace("scores", kept_scores)
-    store.replace("model_runs", kept.unionByName(keyed))
+def redo_baselines(store: Store, requested: DataFrame, now: str | None = None) -> DataFrame:
+    """Replace the baselines of requested inputs (`id`) and drop their scores, both or neither.
+
+    Only the buckets of the runs and scores concerned are written. Returns the class each request had before
+    (`id, baseline_status`).
+    """
+    inputs, scans, runs = (store.table(t) for t in ("aggregated_inputs", "scan_runs", "model_runs"))
+    status = materialize(baseline.baseline_status(requested, inputs, scans, runs))
+    replaced = materialize(baseline.replaced_baselines(requested, inputs, runs))
+    fresh = baseline.baseline_runs(inputs.join(requested.select("id").distinct(), "id", "left_semi"), scans, now)
+    keyed = with_defaults(with_keys(fresh, ["aggregated_input_id"], last_key(runs), costly=True), "model_runs", now)
+    with store.change() as change:
+        change.delete("scores", replaced.select(F.col("id").alias("model_run_id")))
+        change.delete("model_runs", replaced)
+        change.append("model_runs", keyed)
+    return status
 
 
 def run_models(
@@ -180,16 +190,17 @@ def score_selected(store: Store, requested: DataFrame, now: str | None = None) -
 
 
 def rescore(store: Store, requested: DataFrame, now: str | None = None) -> DataFrame:
-    """Replace the score rows of named runs; returns the class that each one had."""
+    """Replace the score rows of named runs; returns the class that each one had. Only the runs' buckets are written."""
     classes = _classes(store, requested)
+    runs, inputs, sessions = (store.table(t) for t in ("model_runs", "aggregated_inputs", "scan_sessions"))
     truth, scores = store.table("ground_truth"), store.table("scores")
-    start = last_key(scores)
-    kept, fresh = scoring.rescore(
-        requested, store.table("model_runs"), store.table("aggregated_inputs"), store.table("scan_sessions"),
-        truth, accepted_entries(truth), scores,
-    )
-    keyed = with_defaults(with_keys(fresh, ["model_run_id", "pos"], start, costly=True).drop("pos"), "scores", now)
-    store.replace("scores", kept.unionByName(keyed))
+    replaced = materialize(scoring.replaced_runs(requested, runs, inputs, sessions, truth))
+    chosen = runs.join(replaced.select(F.col("model_run_id").alias("id")), "id", "left_semi")
+    fresh = scoring.score_runs(chosen, inputs, sessions, truth, accepted_entries(truth))
+    keyed = with_keys(fresh, ["model_run_id", "pos"], last_key(scores), costly=True).drop("pos")
+    with store.change() as change:
+        change.delete("scores", replaced)
+        change.append("scores", with_defaults(keyed, "scores", now))
     return classes
 
 

@@ -63,6 +63,11 @@ TABLES: dict[str, T.StructType] = {
     ),
 }
 
+# What a store notes beside the tables
+LEDGERS: dict[str, T.StructType] = {
+    "files_read": _struct("path string not null, length long not null, modified_us long not null"),
+}
+
 # Columns that get the append time when the writer does not list them
 NOW_DEFAULTS: dict[str, tuple[str, ...]] = {
     "devices": ("created_at",),
