@@ -42,7 +42,7 @@ def brute(text):
 
 
 def noisy(rng):
-    bits = ["a@b.c", "_d@e.f", "a@b", "@c.d", ".", "..", "x.y%+@m-1.co.uk", "1.2.3.4", ".5", "256.1.1.1", "001.02.3.255", "4111 1111-1111 1111",
+    bits = ["a@b.c", "_d@e.f", "a@b", "@c.d", ".", "..", "x.y%+@m-1.co.uk", "1.2.3.4", ".5", "256.1.1.1", "001.02.3.255", "10.0.0.1", "0.0.0.0", "00.000.0.255", "1.2.3.0", "192.168.0.5", "0256.0.0.1", "0.0.0.256", "0", "4111 1111-1111 1111",
             "4111111111111111", "5", "-", "--", " ", "\n", "é", "𝒳", "+1 (203) 555-8282", "+49 30 1234567", "+", "+1 .", "12", "+1234567890123456", "the", "name"]
     return "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
 
@@ -55,8 +55,9 @@ def test_base_like_the_patterns(spark, rows):
         assert got[i] == brute(text), repr(text)
 
 
-def test_query(spark):
-    sf_dir = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_query(spark, scale):
+    sf_dir = f"/root/testdata/sf{scale}"
     got = {r.doc_id: r for r in query(spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         base = brute(r.text)
