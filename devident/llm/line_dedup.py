@@ -2,7 +2,8 @@
 
 A line's ratio is the number of the site's pages that contain it over the number of the site's pages; lines
 above a ratio go from all pages of that site. Counting is one partial aggregation of distinct
-lines per page; lines on fewer than `least` pages are dropped from the count before anything is joined.
+lines per page; lines on fewer than `least` pages are dropped from the count before anything is joined. Two is the least number that makes a
+line recur; with a ratio r, a line on two pages of a site goes if the site has fewer than 2 / r pages.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
 
 
 def drop_boilerplate(
-    pages: DataFrame, site: str = "site", text: str = "text", ratio: float = 0.05, least: int = 5
+    pages: DataFrame, site: str = "site", text: str = "text", ratio: float = 0.05, least: int = 2
 ) -> DataFrame:
     """The frame with `text` freed from boilerplate lines, `n_lines` (not blank) and `n_dropped`.
 

@@ -6,7 +6,7 @@ from devident.llm.line_dedup import BLOCK_TAG, HIDDEN, HOST, TAG, drop_boilerpla
 from devident.llm.text import read
 
 NAME = "op5_line_dedup"
-RATIO, LEAST = 0.05, 5
+RATIO, LEAST = 0.05, 2
 
 
 def query(spark, sf_dir):

@@ -68,6 +68,14 @@ def test_counts_like_the_library(spark, rows):
     assert token_counts(rows("doc_id long, text string", []), build(["a"], ["b"])).count() == 0
 
 
+def test_small_sites(spark, rows):
+    data = [(10 * n + i, f"h{n}", f"menu\nown {n} {i}") for n in (1, 2, 3, 4) for i in range(n)]
+    data += [(100 + i, "big", "menu\nx" + str(i) if i < 2 else f"y{i}") for i in range(40)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in drop_boilerplate(rows("doc_id long, site string, text string", data)).collect()}
+    assert got[10] == ("menu\nown 1 0", 0) and got[100] == ("menu\nx0", 0)  # 2 of 40 pages are 5 %, not more
+    assert all(got[10 * n + i] == (f"own {n} {i}", 1) for n in (2, 3, 4) for i in range(n))
+
+
 def test_long_page(spark, rows):
     text = "\n".join(["menu"] * 3 + [f"line {i}" for i in range(50_000)])
     frame = rows("doc_id long, site string, text string", [(i, "a", text if i == 0 else f"menu\n{i}") for i in range(6)])
