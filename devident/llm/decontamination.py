@@ -9,6 +9,7 @@ seeds by a join, and a Smith-Waterman alignment of words scores exact, edited an
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,30 +18,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devident.llm.text import utf8, words
+from devident.llm.text import Recent, utf8, words
 from devident.session import materialize
 
 GRAM = 4
 BITMAP_BITS = 26
-CACHED_WORDS = 1_000_000
 MARGIN = 64
 MISMATCH = GAP = 0.5
 
-_known: dict[bytes, int] = {}
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def token_hashes(text: bytes | None) -> np.ndarray:
+def _bare_hashes(missing: list[bytes]) -> Iterator[int]:
+    for w in missing:
+        bare = _OUTER.sub("", w.decode("utf-8", "replace").lower())
+        yield xxhash.xxh64_intdigest(bare.encode("utf-8", "replace")) if bare else 0
+
+
+def token_hashes(text: bytes | None, known: Recent | None = None) -> np.ndarray:
     """64-bit hashes of a text's words in lower case without outer punctuation; 0 for words that are nothing else."""
     parts = words(text)
-    if len(_known) > CACHED_WORDS:
-        _known.clear()
-    for w in set(parts):
-        if w not in _known:
-            bare = _OUTER.sub("", w.decode("utf-8", "replace").lower())
-            _known[w] = xxhash.xxh64_intdigest(bare.encode("utf-8", "replace")) if bare else 0
-    return np.fromiter(map(_known.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    return np.fromiter((known or Recent(_bare_hashes)).of(parts), dtype=np.uint64, count=len(parts))
 
 
 def gram_hashes(tokens: np.ndarray) -> np.ndarray:
@@ -58,10 +57,11 @@ def item_grams(items: DataFrame) -> DataFrame:
     """(item_id, tokens, grams) of items with GRAM words or more; shorter ones are no evidence of a copy."""
 
     def run(batches):
+        known = Recent(_bare_hashes)
         for batch in batches:
             out = []
             for item_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                tokens = token_hashes(text)
+                tokens = token_hashes(text, known)
                 tokens = tokens[tokens != 0]
                 if len(tokens) >= GRAM and item_id is not None:
                     out.append((item_id, tokens.view(np.int64), gram_hashes(tokens).view(np.int64)))
@@ -92,11 +92,12 @@ def passages(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches):
         own, number, task = shared.value, 0, TaskContext.get().partitionId()
+        known = Recent(_bare_hashes)
         low_bits = np.uint64((1 << BITMAP_BITS) - 1)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                tokens = token_hashes(text)
+                tokens = token_hashes(text, known)
                 places = np.flatnonzero(tokens)
                 tokens = tokens[places]
                 grams = gram_hashes(tokens)

@@ -17,6 +17,7 @@ has to fit in memory whose size grows with the corpus.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +25,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devident.llm.text import utf8, words
+from devident.llm.text import Recent, utf8, words
 from devident.session import materialize
 
 PREFIX = 10
-CACHED_WORDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SUFFIXES = 1 << 15
 
-_known: dict[bytes, int] = {}
 
+def _hashes(missing: list[bytes]) -> Iterator[int]:
+    return map(xxhash.xxh64_intdigest, missing)
 
-def word_hashes(parts: list[bytes]) -> np.ndarray:
-    """The 64-bit hash of each word; distinct words are hashed once per worker."""
-    if len(_known) > CACHED_WORDS:
-        _known.clear()
-    of = xxhash.xxh64_intdigest
-    _known.update((w, of(w)) for w in set(parts) if w not in _known)
-    return np.fromiter(map(_known.__getitem__, parts), dtype=np.uint64, count=len(parts))
+
+def word_hashes(parts: list[bytes], known: Recent | None = None) -> np.ndarray:
+    """The 64-bit hash of each word."""
+    return np.fromiter((known or Recent(_hashes)).of(parts), dtype=np.uint64, count=len(parts))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -96,13 +94,14 @@ def _index(docs: DataFrame, length: int) -> DataFrame:
     """Per document: its words' count and digest, and its anchored suffixes."""
 
     def run(batches):
+        known = Recent(_hashes)
         for batch in batches:
             out = [[] for _ in range(8)]
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 parts = words(text)
                 sha, print_ = _digest(parts)
                 # a NULL doc_id is neither smaller nor larger than another
-                suffixes = anchored(word_hashes(parts if doc_id is not None else []), length)
+                suffixes = anchored(word_hashes(parts if doc_id is not None else [], known), length)
                 key, low, more, segment = (c.view(np.int64) for c in suffixes)
                 for column, value in zip(out, (doc_id, print_, len(parts), sha, key, low, more, segment)):
                     column.append(value)
@@ -125,6 +124,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The word hashes of wanted segments, taken from one document each."""
 
     def run(batches):
+        known = Recent(_hashes)
         for batch in batches:
             rows = []
             lists = batch.column("wanted").to_pylist()
@@ -132,7 +132,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 parts = words(text)
                 if _digest(parts)[1] != print_:
                     continue  # another row with the same doc_id
-                hashes = word_hashes(parts).view(np.int64)
+                hashes = word_hashes(parts, known).view(np.int64)
                 rows += [(w["key"], w["segment"], w["n"], doc_id, hashes[w["low"] : w["low"] + w["more"] + length]) for w in own]
             columns = zip(*rows) if rows else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
