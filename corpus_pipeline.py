@@ -17,7 +17,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from devident.llm import decontamination, line_dedup, packing, simhash, toxicity  # noqa: E402
 from devident.llm.queries.packing import CAPACITY, END_ID, SEQUENCE, tokenizer_path  # noqa: E402
 from devident.llm.text import documents, read  # noqa: E402
-from devident.session import materialize  # noqa: E402
+from devident.session import configure, materialize  # noqa: E402
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that over 5 % of their source's documents have, n_chars counted anew.
+    """All documents, without the lines that two of their source's documents and over 5 % of these have, n_chars counted anew.
 
     Documents stay even where no line does; a source that is NULL has no boilerplate.
     """
-    found = line_dedup.drop_boilerplate(docs, site="source", ratio=0.05, least=5)
+    found = line_dedup.drop_boilerplate(docs, site="source", ratio=0.05, least=2)
     counted = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return found.withColumns(counted).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -65,12 +65,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(cut, CAPACITY)
 
 
+def _configured(stage):
+    """The stage, run by a session with the runtime settings."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_boilerplate),
-    ("simhash_near_dedup", drop_near_duplicates),
-    ("benchmark_decontamination", drop_benchmark_copies),
-    ("best_fit_packing", pack),
+    ("toxicity", _configured(drop_toxic)),
+    ("line_dedup", _configured(drop_boilerplate)),
+    ("simhash_near_dedup", _configured(drop_near_duplicates)),
+    ("benchmark_decontamination", _configured(drop_benchmark_copies)),
+    ("best_fit_packing", _configured(pack)),
 ]
 
 # no SQL can say the first, third, fourth and fifth stage; tests hold them against brute force
