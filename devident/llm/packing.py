@@ -11,9 +11,15 @@ neither holds all pieces nor depends on hot keys; a group wastes part of one bin
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,44 +27,132 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from devident.llm.text import utf8, words
+from devident.llm.merges import of_tokenizer
+from devident.llm.text import Recent, utf8, words
 from devident.session import materialize
 
-#: distinct words whose ids a worker keeps; beyond, it starts anew
-CACHED_WORDS = 1_000_000
+#: characters whose lower case and kind no version of Unicode changes: visible ASCII and the letters up to U+00FF
+PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
+#: bytes of words, and of parts of words, whose ids a task remembers (twice this, as there are two generations)
+REMEMBERED = 24 << 20
+#: bytes of text that are worked on together
+TOGETHER = 1 << 20
+#: no id is this number, nor do the bytes of ids hold it: their upper half is zero
+END_OF_WORD = b"\xff\xff\xff\xff"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-_worker: dict = {}
 
+_worker: dict[str, WordIds] = {}
 
-def _word_ids(path: str, missing: list[bytes]) -> Iterator[bytes]:
-    """The ids of single words as little-endian unsigned 32-bit numbers."""
+
+class WordIds(Recent):
+    """`of` gives the ids of words; `words` cuts a text into words with the same ids in a row as the text's."""
+
+    def __init__(self, make, words: Callable[[bytes | None], list[bytes]]):
+        super().__init__(make, REMEMBERED)
+        self.words = words
+
+
+def word_ids(path: str) -> WordIds:
+    """The ids of single words as little-endian unsigned 32-bit numbers, by the tokenizer in the file.
+
+    A word is cut into the parts that the tokenizer's splitter makes, and the merges of its model give the ids of each. Words that
+    differ in case or punctuation share parts, so that a part is worked on once while it is remembered. Words with other
+    characters than those of PLAIN or with one of the tokenizer's added tokens, and all words of other kinds of tokenizers, are
+    encoded as a whole. The tokenizer works in the task's own thread.
+
+    A worker remembers the words of one tokenizer from task to task, within the bound of REMEMBERED: most words of a task are
+    those of the task before.
+    """
+    if path in _worker:
+        return _worker[path]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    if path not in _worker:
-        _worker[path] = Tokenizer.from_file(path)
-    encode = _worker[path].encode_batch_fast
-    for i in range(0, len(missing), 4096):
-        texts = [w.decode("utf-8", "replace") for w in missing[i : i + 4096]]
-        for e in encode(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4").tobytes()
+    whole = Tokenizer.from_file(path)
+    parted, merges, model = _splitter(whole), of_tokenizer(whole), whole.model
+    plain = re.compile(PLAIN).fullmatch
+    added_bytes = [t.content.lower().encode() for t in whole.get_added_tokens_decoder().values()]
+    added = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)").search
+
+    def packed(ids: list[int]) -> bytes:
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def part_ids(missing: list[str]) -> Iterator[bytes]:
+        found = merges.ids(missing) if merges else [None] * len(missing)
+        for part, ids in zip(missing, found):
+            yield END_OF_WORD if part == "\n" else packed([t.id for t in model.tokenize(part)]) if ids is None else ids
+
+    parts = Recent(part_ids, REMEMBERED)
+
+    def make(missing: list[bytes]) -> Iterator[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in missing]
+        own = [bool(parted and plain(t) and not added(t)) for t in texts]
+        # one line per word
+        lines = "".join(t + "\n" for t, is_own in zip(texts, own) if is_own)
+        ids = iter(b"".join(parts.of(parted(lines) if lines else [])).split(END_OF_WORD))
+        return (next(ids) if is_own else packed(whole.encode(t, add_special_tokens=False).ids) for t, is_own in zip(texts, own))
+
+    def equal_words(text: bytes | None) -> list[bytes]:
+        # a tokenizer that lower-cases has fewer words to remember; no text may turn into an added token by that
+        low = text.lower() if parted and text else text
+        return words(text if low and any(t in low for t in added_bytes) else low)
+
+    _worker.clear()
+    return _worker.setdefault(path, WordIds(make, equal_words))
+
+
+def _splitter(whole) -> Callable[[str], list[str]] | None:
+    """For a tokenizer that lower-cases, splits by a pattern and writes bytes as characters: how lines of PLAIN characters, which
+    are composed and have one lower case, fall into parts for its model and line ends. None for others."""
+    steps = json.loads(whole.to_str())
+    kinds = [n.get("type") for n in (steps["normalizer"] or {}).get("normalizers", ())]
+    splits = (steps["pre_tokenizer"] or {}).get("pretokenizers", ())
+    spaces = [n for n in (steps["normalizer"] or {}).get("normalizers", ()) if n["type"] == "Replace"]
+    fits = (
+        kinds == ["NFC", "Replace", "Lowercase"] and spaces[0]["pattern"] == {"Regex": r"\s+"}
+        and [s["type"] for s in splits] == ["Split", "ByteLevel"] and "Regex" in splits[0]["pattern"]
+        and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+        and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"] and steps["post_processor"] is None
+    )
+    if not fits:
+        return None
+    import regex
+
+    # no part holds white space, so the line's end after each word is a part of its own
+    find = regex.compile(splits[0]["pattern"]["Regex"] + r"|\n").findall
+    letters = [chr(c) for c in range(256) if re.fullmatch(PLAIN, chr(c)) and chr(c).lower() == chr(c) and not chr(c).isascii()]
+    written = str.maketrans({c: whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+
+    def parted(text: str) -> list[str]:
+        found = find(text.lower())
+        return found if text.isascii() else [p if p.isascii() else p.translate(written) for p in found]
 
+    return parted
 
-def token_bytes(path: str, texts: list[bytes | None]) -> Iterator[bytes]:
+
+def token_bytes(known: WordIds, texts: list[bytes | None]) -> Iterator[bytes]:
     """The ids of each text, for a tokenizer that never joins across ASCII white space.
 
-    Such a tokenizer gives a text the ids of its words in a row, so each distinct word is encoded once per worker.
+    Such a tokenizer gives a text the ids of its words in a row, so a word is encoded once while it is remembered.
     """
-    known = _worker.setdefault(("words", path), {})
+    held, size = [], 0
+
+    def of_held() -> Iterator[bytes]:
+        ids = known.of([w for own in held for w in own])
+        return (b"".join(islice(ids, len(own))) for own in held)
+
     for text in texts:
-        parts = words(text)
-        if missing := [w for w in set(parts) if w not in known]:
-            if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
-                missing = list(set(parts))
-            known.update(zip(missing, _word_ids(path, missing)))
-        yield b"".join(map(known.__getitem__, parts))
+        held.append(known.words(text))
+        size += len(text or b"")
+        if size >= TOGETHER:
+            yield from of_held()
+            held, size = [], 0
+    yield from of_held()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -70,10 +164,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        seen, task = 0, TaskContext.get().partitionId()
+        seen, task, known = 0, TaskContext.get().partitionId(), word_ids(path)
         for batch in batches:
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(path, utf8(batch.column(1)))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(known, utf8(batch.column(1)))):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]

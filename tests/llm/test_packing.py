@@ -1,11 +1,13 @@
 """Packing: an exact round trip, every capacity, defined results for odd input."""
 
+import os
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from devident.llm.packing import Capacity, best_fit, pack, pieces
+from devident.llm.packing import REMEMBERED, Capacity, best_fit, pack, pieces, token_bytes, word_ids
 from devident.llm.queries.packing import CAPACITY, END_ID, SEQUENCE, query, tokenizer_path
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -75,3 +77,43 @@ def test_odd_input(spark, rows):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert total == {1: 2, None: 3, 2: len(ids_of(data[3][1])), 3: 501}
     assert pack(pieces(rows("doc_id long, text string", []), tokenizer_path(), 64, END_ID), CAPACITY).count() == 0
+
+
+def test_ids_like_the_tokenizer():
+    """Words of every kind, met again after they were forgotten, in small and large batches."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    whole = Tokenizer.from_file(tokenizer_path())
+    bits = ["the", "The", "thaned", "Über", "naïve", "don't", "DON'T", "'S", "''", "_a_1", "12a", "--", "...", "x", "é", "×", "÷", "é", "ﬁ", "½",
+            "日本語", "𝒳", "😀👍🏽", "Σίσυφος", "ΟΔΟΣ", "İstanbul", "a\u0085b", "\x1c\x1d", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", "�", "a" * 60,
+            "ontiontion" * 30, "Ab" * 200, "‍́", "ÿß", "#$%&"]
+    texts = [" ".join("".join(rng.choices(bits, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 40))).encode() for _ in range(300)]
+    texts += [None, b"", b" \n\t ", b"\n".join(b.encode() for b in bits), b"\xff\xfe broken \xc3"]
+    known = word_ids(tokenizer_path())
+    for limit in (REMEMBERED, 2000):
+        known.limit = limit
+        for start in range(0, len(texts), 50):
+            part = texts[start : start + 50]
+            for text, ids in zip(part, token_bytes(known, part), strict=True):
+                expected = whole.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+                assert np.frombuffer(ids, dtype="<u4").tolist() == expected, text
+
+
+def test_other_tokenizers_encode_whole_words():
+    from tokenizers import Tokenizer
+
+    path = os.path.join(os.path.dirname(tokenizer_path()), "byte_bpe_50k.json")
+    known = word_ids(path)
+    expected = [i for w in ("Hello", "wörld", "don't") for i in Tokenizer.from_file(path).encode(w, add_special_tokens=False).ids]
+    assert np.frombuffer(next(iter(token_bytes(known, ["Hello wörld don't".encode()]))), dtype="<u4").tolist() == expected
+
+
+def test_a_long_text_without_white_space(rows):
+    text = "añb" * 330_000
+    frame = rows("doc_id long, text string", [(1, text), (2, "z" * 1_000_000)])
+    got = pieces(frame, tokenizer_path(), 4096, END_ID).collect()
+    ids = np.array(ids_of(text), dtype="<u4")
+    own = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.piece)
+    assert sum(r.length for r in own) == len(ids) and own[0].ids_crc32 == zlib.crc32(ids[:4096].tobytes())
+    assert [r.start for r in own] == list(range(0, len(ids), 4096)) and own[-1].ids_crc32 == zlib.crc32(ids[own[-1].start :].tobytes())
