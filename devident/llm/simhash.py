@@ -37,7 +37,7 @@ class Plan:
 
     `shingle` words; `lanes` times 64 bits of fingerprint. Without `resemblance`, `max_bits` may differ: `bounds` cut the
     fingerprint into segments, and `pairs` are the (exact, decoded) segments that make up a key. With it, texts are linked
-    whose sets of shingles have at least that Jaccard similarity; their keys are shingles (`resembling`).
+    whose sets of shingles have at least that Jaccard similarity; their keys are shingles (`resembling`) and no fingerprint is made.
     """
 
     shingle: int
@@ -55,7 +55,7 @@ class Plan:
 #: Every such pair is found.
 TWO_BITS = Plan(3, 1, (0, 22, 43, 64), ((0, 1), (1, 2), (2, 0)), 2)
 #: Five-word shingles that resemble each other by 0.8 or more. Keys of fingerprints would miss some of these pairs.
-RESEMBLING = Plan(5, 4, resemblance=0.8)
+RESEMBLING = Plan(5, 0, resemblance=0.8)
 
 
 def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
@@ -243,31 +243,26 @@ def frequent_shingles(docs: DataFrame, plan: Plan) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
-    """doc_id, the lanes, and of the set of shingles its id, its size and its first elements, frequent ones last."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(frequent), plan.names()
+    """doc_id, and of the set of shingles its id, its size and its first elements, frequent ones last."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         for batch in _small(batches):
-            prints, ids, sizes, firsts = [], [], [], []
+            ids, sizes, firsts = [], [], []
             for text in utf8(batch.column("text")):
-                hashes = shingle_hashes(text, plan.shingle)
-                own = shingle_set(hashes)
-                prints.append(fingerprint(hashes, plan.lanes))
+                own = shingle_set(shingle_hashes(text, plan.shingle))
                 ids.append(_set_id(own))
                 sizes.append(len(own))
                 known = shared.value
                 often = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own if len(known) else np.zeros(len(own), bool)
                 order = np.concatenate([own[~often] - np.int64((1 << 63) - 1) - 1, own[often]])
                 firsts.append(order[: _prefix_length(np.int64(len(own)), plan.resemblance) if len(own) else 0])
-            lanes = np.array(prints, dtype=np.uint64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(lanes[:, i]) for i in range(len(names))], pa.array(ids, pa.int64()),
-                 pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["doc_id", *names, "set_id", "size", "firsts"],
+                [batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["doc_id", "set_id", "size", "firsts"],
             )
 
-    lanes = ", ".join(f"{n} long" for n in names)
-    return docs.mapInArrow(run, f"doc_id long, {lanes}, set_id long, size long, firsts array<long>")
+    return docs.mapInArrow(run, "doc_id long, set_id long, size long, firsts array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
@@ -345,7 +340,7 @@ def resembling(classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _resembling_documents(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id, the lanes and component_id by `resembling`."""
+    """doc_id and component_id by `resembling`."""
     marked = materialize(_sets(docs, plan, frequent_shingles(docs, plan)))
     classes = materialize(marked.groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("firsts").alias("firsts")
@@ -358,7 +353,7 @@ def _resembling_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     )
     least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialize(own.join(least, "component").select("set_id", "component_id"))
-    return marked.join(named, "set_id").select("doc_id", *plan.names(), "component_id")
+    return marked.join(named, "set_id").select("doc_id", "component_id")
 
 
 def near_duplicates(
