@@ -208,7 +208,8 @@ class Scorer:
         self.model, self.params = model, model.params
         self.rows = gru.Rows(model.words), gru.Rows(model.grams)
         self.known: dict[bytes, int] = {}
-        self.forth = np.empty((1024, 3 * gru.HIDDEN), np.float32)
+        # pages of an array are taken as its rows are filled, and rows are never copied to make room
+        self.forth = np.empty((CACHED_WORDS, 3 * gru.HIDDEN), np.float32)
         self.back = np.empty_like(self.forth)
 
     def _learn(self, parts: set[bytes]) -> None:
@@ -219,8 +220,8 @@ class Scorer:
         if not new:
             return
         begin = len(self.known)
-        while len(self.forth) < begin + len(new):
-            self.forth, self.back = (np.concatenate([a, np.empty_like(a)]) for a in (self.forth, self.back))
+        if len(self.forth) < begin + len(new):  # a stretch with more words than are kept
+            self.forth, self.back = (np.concatenate([a, np.empty((begin + len(new) - len(a), a.shape[1]), a.dtype)]) for a in (self.forth, self.back))
         for i in range(0, len(new), 1 << 15):
             some = new[i : i + (1 << 15)]
             forth, back = gru.project(self.params, gru.embed(self.params, *gru.resolve(gru.features(some), *self.rows)))
