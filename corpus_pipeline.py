@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+from functools import wraps
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -20,6 +21,17 @@ from devident.llm.text import documents, read  # noqa: E402
 from devident.session import configure, materialize  # noqa: E402
 
 
+def _configured(stage):
+    """The stage, run by a session with the runtime settings."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+
+    return run_stage
+
+
+@_configured
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, learned from the given labels, doesn't call toxic. NULL and empty texts stay."""
     model = toxicity.learn(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
@@ -27,6 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.filter("predicted = 0").select(*[F.col(f"d_{c}").alias(c) for c in docs.columns])
 
 
+@_configured
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that two of their source's documents and over 5 % of these have, n_chars counted anew.
 
@@ -37,6 +50,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return found.withColumns(counted).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_configured
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose five-word shingles resemble each other by 0.8 or more, the one with the smallest doc_id.
 
@@ -52,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.join(repeated, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(once)
 
 
+@_configured
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found, exact or edited. NULL and empty texts and rows without a doc_id stay."""
     found = decontamination.matches(docs.select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
@@ -59,27 +74,19 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_configured
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens, in sequences of 4096 at most."""
     cut = packing.pieces(docs.select("doc_id", "text"), tokenizer_path(), SEQUENCE, END_ID)
     return packing.pack(cut, CAPACITY)
 
 
-def _configured(stage):
-    """The stage, run by a session with the runtime settings."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        return stage(configure(spark), docs, sf_dir)
-
-    return run_stage
-
-
 STAGES = [
-    ("toxicity", _configured(drop_toxic)),
-    ("line_dedup", _configured(drop_boilerplate)),
-    ("simhash_near_dedup", _configured(drop_near_duplicates)),
-    ("benchmark_decontamination", _configured(drop_benchmark_copies)),
-    ("best_fit_packing", _configured(pack)),
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_benchmark_copies),
+    ("best_fit_packing", pack),
 ]
 
 # no SQL can say the first, third, fourth and fifth stage; tests hold them against brute force
