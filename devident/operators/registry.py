@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from devident.functions.text import created_stamp, strip
 from devident.operators.keys import last_key, with_defaults, with_keys
+from devident.session import materialize
 
 TRUTH_LABELS = [
     "true_vendor", "true_product", "true_firmware_version", "accepted_cpes_json",
@@ -16,25 +17,63 @@ TRUTH_LABELS = [
 ]
 
 
-def new_devices(devices: DataFrame, seen: DataFrame, now: str | None = None, start: int | None = None) -> DataFrame:
-    """Keyed rows for device codes not in the table yet.
+def claims(devices: DataFrame, seen: DataFrame) -> DataFrame:
+    """`device_code, mac, vendor, seq` of the sighting that makes each device not in the table yet.
 
-    `seen` is `device_code, mac, vendor, seq`; the first sighting by `seq` counts.
+    As if sightings came one after the other by `seq`: one with an unknown code makes a device unless a device, old or
+    made before, has its mac; then it is refused, and a later sighting of that code may still make one. A NULL mac clashes
+    with none. Sightings fold per code and mac first. Then each round grants those that are first both of their code and of
+    their mac, and closes the code and the mac; without clashes within the batch one round grants all.
     """
-    firsts = (
+    known = devices.filter(F.col("mac").isNotNull()).select("mac").distinct()
+    open_ = (
         seen.filter(F.col("device_code").isNotNull())
-        .groupBy("device_code")
-        .agg(F.min_by(F.struct("mac", "vendor"), "seq").alias("_first"), F.min("seq").alias("_seq"))
+        .join(devices.select("device_code"), "device_code", "left_anti")
+        .groupBy("device_code", "mac")
+        .agg(F.min(F.struct("seq", "vendor")).alias("_first"))
+        .select("device_code", "mac", "_first.seq", "_first.vendor")
+        .join(known, "mac", "left_anti")
     )
-    unknown = firsts.join(devices.select("device_code"), "device_code", "left_anti").select(
-        "device_code", F.col("_first.mac").alias("mac"), F.col("_first.vendor").alias("manufacturer"), "_seq"
-    )
-    keyed = with_keys(unknown, ["_seq"], last_key(devices) if start is None else start)
+    open_ = materialize(open_.select("device_code", "mac", "vendor", "seq"))
+    granted = None
+    while True:
+        of_code = open_.groupBy("device_code").agg(F.min(F.struct("seq", "mac", "vendor")).alias("_first"))
+        first = of_code.select("device_code", "_first.*")
+        named = open_.filter(F.col("mac").isNotNull())
+        of_mac = named.groupBy("mac").agg(F.min(F.struct("seq", "device_code")).alias("_of_mac"))
+        met = first.join(of_mac, "mac", "left")
+        met = met.filter(F.col("_of_mac").isNull() | (F.col("_of_mac.device_code") == F.col("device_code")))
+        now_ = materialize(met.select(open_.columns))
+        granted = now_ if granted is None else granted.unionByName(now_)
+        left = open_.join(now_.select("device_code"), "device_code", "left_anti")
+        open_ = materialize(left.join(now_.filter(F.col("mac").isNotNull()).select("mac"), "mac", "left_anti").select(open_.columns))
+        if not open_.limit(1).count():
+            return granted
+
+
+def refused(devices: DataFrame, seen: DataFrame, granted: DataFrame) -> DataFrame:
+    """The sightings of `seen` that neither find nor make their device, as its mac is another one's (see `claims`)."""
+    unknown = seen.filter(F.col("device_code").isNotNull()).join(devices.select("device_code"), "device_code", "left_anti")
+    made = granted.select("device_code", F.col("seq").alias("_made"))
+    late = unknown.join(made, "device_code", "left").filter(F.col("_made").isNull() | (F.col("seq") < F.col("_made")))
+    return late.select(seen.columns)
+
+
+def new_devices(
+    devices: DataFrame, seen: DataFrame, now: str | None = None, start: int | None = None, granted: DataFrame | None = None
+) -> DataFrame:
+    """Keyed rows for device codes not in the table yet, in the order of the sightings that make them.
+
+    `seen` is `device_code, mac, vendor, seq`; `granted` is what `claims` says of it, if that is known already.
+    """
+    granted = claims(devices, seen) if granted is None else granted
+    unknown = granted.select("device_code", "mac", F.col("vendor").alias("manufacturer"), F.col("seq").alias("_seq"))
+    keyed = with_keys(unknown, ["_seq", "device_code"], last_key(devices) if start is None else start)
     return with_defaults(keyed, "devices", now)
 
 
 def upsert_devices(devices: DataFrame, seen: DataFrame, now: str | None = None) -> DataFrame:
-    """Get or create by code: known devices stay unchanged, new ones take mac and vendor."""
+    """Get or create by code: known devices stay unchanged, new ones take mac and vendor; no mac is given twice."""
     return devices.unionByName(new_devices(devices, seen, now))
 
 

@@ -13,6 +13,8 @@ from devident.operators.keys import last_key, with_defaults, with_keys
 from devident.operators.outputs import accepted_entries
 from devident.operators.payload import payload_text
 from devident.sources.reports import report_dir, write_report
+from devident.sources.scans import listed_scans, read_files
+from devident.sources.feeds import sound_entries
 from devident.session import materialize
 from devident.store import Store
 
@@ -20,7 +22,14 @@ from devident.store import Store
 def ingest_rows(
     scans: DataFrame, devices: DataFrame, starts: dict[str, int] | None = None, now: str | None = None
 ) -> dict[str, DataFrame]:
-    """New rows of four tables for a batch of scan documents.
+    """New rows of four tables for a batch of scan documents (`ingest_batch`)."""
+    return ingest_batch(scans, devices, starts, now)[0]
+
+
+def ingest_batch(
+    scans: DataFrame, devices: DataFrame, starts: dict[str, int] | None = None, now: str | None = None
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """New rows of four tables for a batch of scan documents, and the documents refused for the mac of another device.
 
     `scans` has `device_code, scan_name, xml, seq` and optionally `operator, network_name`; `seq`
     is the ingest order. Each usable document gives one session, scan run and input, so one
@@ -45,9 +54,15 @@ def ingest_rows(
         "device_code", "scan_name", "xml", "seq", "operator", "network_name"
     )
     documents = with_keys(raw, ["seq"], key="_n", then=parse)
-    added = registry.new_devices(
-        devices, documents.select("device_code", "mac", "vendor", "seq"), now, starts.get("devices")
-    )
+    # a document's place among all is its place among the sightings as well
+    seen = documents.select("device_code", "mac", "vendor", F.col("_n").alias("seq"))
+    granted = materialize(registry.claims(devices, seen))
+    refused = materialize(registry.refused(devices, seen, granted).select(F.col("seq").alias("_n")))
+    clashing = documents.join(refused, "_n", "left_semi")
+    if refused.limit(1).count():  # what is left is numbered anew, without gaps
+        numbers = with_keys(documents.select("_n").join(refused, "_n", "left_anti"), ["_n"], key="_m")
+        documents = documents.join(numbers, "_n").drop("_n").withColumnRenamed("_m", "_n")
+    added = registry.new_devices(devices, seen, now, starts.get("devices"), granted)
     codes = devices.select("id", "device_code").unionByName(added.select("id", "device_code"))
     placed = documents.join(codes.withColumnRenamed("id", "device_id"), "device_code")
 
@@ -69,12 +84,13 @@ def ingest_rows(
         key("aggregated_inputs"), session, F.lit(INPUT_VARIANT).alias("variant_name"),
         F.lit(PARSER_VERSION).alias("parser_version"), "input_payload_json",
     )
-    return {
+    tables = {
         "devices": added,
         "scan_sessions": with_defaults(sessions, "scan_sessions", now),
         "scan_runs": with_defaults(runs, "scan_runs", now),
         "aggregated_inputs": with_defaults(inputs, "aggregated_inputs", now),
     }
+    return tables, clashing.drop("_n")
 
 
 def ingest_rejects(scans: DataFrame) -> DataFrame:
@@ -84,28 +100,53 @@ def ingest_rejects(scans: DataFrame) -> DataFrame:
     return rejected_documents(scans.filter(coded)).select(*scans.columns, "reason").unionByName(nameless)
 
 
-def ingest(store: Store, scans: DataFrame, now: str | None = None) -> DataFrame:
+def ingest(store: Store, scans: DataFrame, now: str | None = None, notes: dict[str, DataFrame] | None = None) -> DataFrame:
     """Append a batch of scan documents to the store; returns the documents that gave no rows.
 
-    The four tables are published together: a batch that fails on the way leaves the store as it was.
+    The four tables, and rows of the store's ledgers in `notes`, are published together: a batch that fails on the way leaves
+    the store as it was.
     """
     tables = ("devices", "scan_sessions", "scan_runs", "aggregated_inputs")
     starts = {name: last_key(store.table(name)) for name in tables}
+    rows, clashing = ingest_batch(scans, store.table("devices"), starts, now)
     with store.change() as change:
-        for name, rows in ingest_rows(scans, store.table("devices"), starts, now).items():
-            change.append(name, rows)
-    return ingest_rejects(scans)
+        for name, table in {**rows, **(notes or {})}.items():
+            change.append(name, table)
+    kept = [F.col(c) if c in clashing.columns else F.lit(None).cast(t).alias(c) for c, t in scans.dtypes]
+    return ingest_rejects(scans).unionByName(clashing.select(*kept, F.lit("mac of another device").alias("reason")))
+
+
+def ingest_folder(
+    store: Store, path: str, name: Callable[[DataFrame], DataFrame], pattern: str = "*.xml", now: str | None = None
+) -> DataFrame | None:
+    """Ingest the scan files below a folder that the store hasn't read yet; returns the documents that gave no rows, None
+    without a new file.
+
+    `name` adds `device_code` and `seq` to what `read_scans` returns. A file counts as read by its path, length and modification
+    time, noted in the same version of the store as its rows; files that are known are listed, but not opened.
+    """
+    unread = materialize(listed_scans(store.spark, path, pattern).join(store.table("files_read"), ["path", "length", "modified_us"], "left_anti"))
+    # as many paths as Spark's own list of the files to read has
+    paths = [r.path for r in unread.select("path").orderBy("path").collect()]
+    if not paths:
+        return None
+    return ingest(store, name(read_files(store.spark, paths)), now, {"files_read": unread})
 
 
 def load_truth(store: Store, entries: DataFrame, now: str | None = None) -> DataFrame:
-    """Upsert labels; returns the entries that resolve to no device."""
+    """Upsert labels; returns the entries that resolve to no device, and the broken ones of a feed that was read with them."""
+    entries, broken = sound_entries(entries)
     devices = store.table("devices")
     store.replace("ground_truth", registry.upsert_truth(store.table("ground_truth"), entries, devices, now))
-    return registry.truth_rejects(entries, devices)
+    unresolved = registry.truth_rejects(entries, devices)
+    return unresolved if broken is None else unresolved.unionByName(broken, allowMissingColumns=True)
 
 
-def load_prompts(store: Store, feed: DataFrame, now: str | None = None) -> None:
+def load_prompts(store: Store, feed: DataFrame, now: str | None = None) -> DataFrame | None:
+    """Upsert prompts; returns the broken lines of a feed that was read with them, None of others."""
+    feed, broken = sound_entries(feed)
     store.replace("prompts", registry.upsert_prompts(store.table("prompts"), feed, now))
+    return broken
 
 
 def _append_keyed(store: Store, table: str, rows: DataFrame, order_by: list[str], now: str | None) -> None:
