@@ -11,7 +11,7 @@ from devident.fixed_values import CPE_FIELDS
 from devident.functions.cpe import cpe_is_valid, cpe_normalize, cpe_parse
 from devident.functions.text import strip
 from devident.operators import baseline, extract, inference, integrity, outputs, registry, reports, scoring
-from devident.operators.keys import with_defaults, with_keys
+from devident.operators.keys import last_key, with_defaults, with_keys
 from devident.operators.payload import payload_text
 from devident.plans import binding, pipeline
 from devident.session import configure, shared_folder, shuffle_partitions
@@ -415,6 +415,42 @@ def scan_files(spark, sf_dir):
     return scans.select("target_ip", "scan_ts", strip(F.col("xml")).alias("xml"))
 
 
+@query
+def store_rescore(spark, sf_dir):
+    """Urgent runs scored again through a store, which writes the buckets of these runs only: all score rows afterwards."""
+    store = _filled_store(spark, sf_dir)
+    requested = (
+        binding.load(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_orderkey").alias("model_run_id"))
+    )
+    pipeline.rescore(store, requested, binding.NOW)
+    return store.table("scores").select("id", *scoring.SCORE_COLUMNS)
+
+
+@query
+def store_baselines(spark, sf_dir):
+    """Baselines of all building customers rebuilt through a store: all runs afterwards, new ones with their lists, and the scores left."""
+    store = _filled_store(spark, sf_dir)
+    new = F.col("id") > last_key(store.table("model_runs"))
+    store.replace("scan_runs", with_defaults(binding.document_runs(spark, sf_dir), "scan_runs", binding.NOW))
+    customers = binding.load(spark, sf_dir, "customer")
+    pipeline.redo_baselines(store, customers.filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("id")), binding.NOW)
+    runs = store.table("model_runs").select(
+        F.lit("run").alias("kind"), "id", "aggregated_input_id", "model_name",
+        F.when(new, F.col("model_version")).alias("model_version"), F.when(new, F.col("parsed_output_json")).alias("listed"),
+    )
+    scores = store.table("scores").select(F.lit("score").alias("kind"), "id", F.col("model_run_id").alias("aggregated_input_id"))
+    return runs.unionByName(scores, allowMissingColumns=True)
+
+
+def _filled_store(spark, sf_dir) -> Store:
+    store = Store(spark, shared_folder(spark), buckets=16)
+    with store.change() as change:
+        for name, table in binding.base_tables(spark, sf_dir).items():
+            change.replace(name, table)
+        change.replace("scores", _old_scores(spark, sf_dir))
+    return store
+
+
 # --- scanner baseline ------------------------------------------------------
 
 
@@ -485,6 +521,18 @@ def upsert_devices(spark, sf_dir):
     return registry.upsert_devices(known, seen, binding.NOW).select("id", "device_code", "mac", "manufacturer")
 
 
+@query
+def device_claims(spark, sf_dir):
+    """Devices after sightings whose macs clash, with stored devices and with each other: no mac is given twice."""
+    known = binding.devices(spark, sf_dir).filter(F.col("device_type") == "router")
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    mac = F.when(key % 5 != 0, F.concat(F.lit("mac-"), (customer + F.when(key % 3 == 0, 1).otherwise(0)).cast("string")))
+    seen = binding.load(spark, sf_dir, "orders").select(
+        binding.device_code(customer).alias("device_code"), mac.alias("mac"), F.lower("o_orderpriority").alias("vendor"), key.alias("seq"),
+    )
+    return registry.upsert_devices(known, seen, binding.NOW).select("id", "device_code", "mac", "manufacturer")
+
+
 def _truth_feed(spark, sf_dir) -> DataFrame:
     """Labelled entries, one per order: known, unknown and blank macs."""
     customer = F.col("o_custkey").cast("string")

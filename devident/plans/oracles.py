@@ -303,6 +303,16 @@ SELECT model_run_id, 'old' AS predicted_cpe, CAST(NULL AS VARCHAR) AS best_match
 FROM old_scores WHERE model_run_id NOT IN (SELECT model_run_id FROM urgent_scores)
 UNION ALL SELECT model_run_id, predicted_cpe, best_match_tier, match_score FROM urgent_scores"""
 
+ORACLES["store_rescore"] = _with("urgent_scores", "old_scores") + f"""
+SELECT id, model_run_id, CAST(0 AS BIGINT) AS ground_truth_id, 'old' AS predicted_cpe, CAST(NULL AS VARCHAR) AS matched_accepted_cpe,
+  CAST(NULL AS INTEGER) AS part_correct, CAST(NULL AS INTEGER) AS vendor_correct, CAST(NULL AS INTEGER) AS product_correct,
+  CAST(NULL AS INTEGER) AS version_correct, CAST(NULL AS INTEGER) AS exact_match, CAST(NULL AS INTEGER) AS cve_lookup_valid,
+  CAST(NULL AS VARCHAR) AS best_match_tier, CAST(0 AS DOUBLE) AS match_score, CAST(NULL AS VARCHAR) AS predicted_vendor,
+  CAST(NULL AS VARCHAR) AS predicted_product, CAST(NULL AS VARCHAR) AS score_notes, CAST(NULL AS VARCHAR) AS scorer_version
+FROM old_scores WHERE model_run_id NOT IN (SELECT model_run_id FROM urgent_scores)
+UNION ALL SELECT (SELECT max(id) FROM old_scores) + row_number() OVER (ORDER BY model_run_id, pos NULLS FIRST), {_SCORE_COLUMNS}
+FROM urgent_scores"""
+
 # --- identifiers -------------------------------------------------------------
 
 _table(
@@ -495,8 +505,37 @@ SELECT 'run kept' AS kind, id AS key FROM model_runs WHERE id NOT IN (SELECT id
 UNION ALL SELECT 'score kept', id FROM old_scores WHERE model_run_id NOT IN (SELECT id FROM gone)
 UNION ALL SELECT 'run for input', c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT c FROM docs)"""
 
+ORACLES["store_baselines"] = _with("aggregated_inputs", "model_runs", "old_scores", "merged") + f""",
+gone AS (SELECT min(r.id) AS id FROM model_runs r JOIN customer ON c_custkey = r.aggregated_input_id
+         WHERE c_mktsegment = 'BUILDING' AND r.model_name = 'nmap' GROUP BY r.aggregated_input_id)
+SELECT 'run' AS kind, id, aggregated_input_id, model_name, CAST(NULL AS VARCHAR) AS model_version, CAST(NULL AS VARCHAR) AS listed
+FROM model_runs WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'run', (SELECT max(id) FROM model_runs) + row_number() OVER (ORDER BY i.id), i.id, 'nmap', coalesce(x.tool_version, ''),
+  CASE WHEN len(x.cpes) = 0 THEN '{{"cpes":[]}}' ELSE '{{"cpes":' || {_JSON_LIST.format('x.cpes')} || '}}' END
+FROM aggregated_inputs i JOIN merged x ON x.c = i.scan_session_id JOIN customer ON c_custkey = i.id WHERE c_mktsegment = 'BUILDING'
+UNION ALL SELECT 'score', id, model_run_id, NULL, NULL, NULL FROM old_scores WHERE model_run_id NOT IN (SELECT id FROM gone)"""
+
 # --- devices, labels, prompts ------------------------------------------------
 
+ORACLES["device_claims"] = f"""WITH RECURSIVE known AS (
+  SELECT c_custkey AS id, c_name AS device_code, 'mac-' || c_custkey AS mac, lower(c_mktsegment) AS manufacturer FROM customer WHERE c_acctbal >= 1000
+), sighted AS (
+  SELECT {_CODE.format(k='o_custkey')} AS device_code, CASE WHEN o_orderkey % 5 <> 0 THEN 'mac-' || (o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) END AS mac,
+    lower(o_orderpriority) AS vendor, o_orderkey AS seq FROM orders
+), open AS (
+  SELECT device_code, mac, arg_min(vendor, seq) AS vendor, row_number() OVER (ORDER BY min(seq)) AS i FROM sighted
+  WHERE device_code NOT IN (SELECT device_code FROM known) AND (mac IS NULL OR mac NOT IN (SELECT mac FROM known))
+  GROUP BY device_code, mac
+), made AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS codes, CAST([] AS VARCHAR[]) AS macs, false AS granted
+  UNION ALL
+  SELECT o.i, CASE WHEN ok THEN list_append(codes, device_code) ELSE codes END, CASE WHEN ok AND mac IS NOT NULL THEN list_append(macs, mac) ELSE macs END, ok
+  FROM (SELECT open.*, codes, macs, NOT list_contains(codes, device_code) AND (mac IS NULL OR NOT list_contains(macs, mac)) AS ok
+        FROM made JOIN open ON open.i = made.i + 1) o
+)
+SELECT * FROM known
+UNION ALL SELECT (SELECT max(id) FROM known) + row_number() OVER (ORDER BY i), device_code, mac, vendor FROM open WHERE i IN (SELECT i FROM made WHERE granted)"""
+
 ORACLES["upsert_devices"] = _with("devices") + f"""
 SELECT id, device_code, mac, manufacturer FROM devices WHERE device_type = 'router'
 UNION ALL SELECT (SELECT max(id) FROM devices WHERE device_type = 'router') + row_number() OVER (ORDER BY first), device_code, mac, vendor
