@@ -760,6 +760,37 @@ def null_violations(spark, sf_dir):
     return found.select("id", "missing")
 
 
+@query
+def checked_rows(spark, sf_dir):
+    """Batches for three tables with faults of every kind: each row with the constraints it breaks."""
+    tables = binding.base_tables(spark, sf_dir)
+    customers, orders = binding.load(spark, sf_dir, "customer"), binding.load(spark, sf_dir, "orders")
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+
+    def spelled(prefix: str, number: Column) -> Column:
+        return F.concat(F.lit(prefix), number.cast("string"))
+
+    devices = customers.select(
+        (k + 10**6).alias("id"),
+        F.when(k % 7 == 0, None).when(k % 5 == 0, binding.device_code(k)).when(k % 3 == 0, spelled("new-", F.floor(k / 10))).otherwise(spelled("new-", k * 100)).alias("device_code"),
+        F.when(k % 4 == 0, spelled("mac-", k)).when(k % 11 == 0, None).otherwise(spelled("nm-", F.floor(k / 2))).alias("mac"),
+    )
+    truth = customers.select(
+        F.when(k % 13 != 0, k).alias("id"), F.when(k % 6 == 0, None).when(k % 5 == 0, -k).otherwise(F.floor(k / 2) + 1).alias("device_id"),
+    )
+    runs = orders.select(
+        o.alias("id"), F.when(o % 9 == 0, None).when(o % 4 == 0, F.col("o_custkey") + 10**9).otherwise(F.col("o_custkey")).alias("aggregated_input_id"),
+        F.when(o % 3 == 0, 99).when(o % 3 == 1, 1).cast("long").alias("prompt_id"), F.when(o % 10 == 0, 5).cast("long").alias("experiment_id"),
+    )
+    parts = []
+    for name, rows in (("devices", devices), ("ground_truth", truth), ("model_runs", runs)):
+        full = with_defaults(rows, name, binding.NOW)
+        sound, rejects = integrity.checked(name, full, tables)
+        told = rejects.select("id", F.array_join(F.array_sort("broken"), "; ").alias("broken")).unionByName(sound.select("id", F.lit("").alias("broken")))
+        parts.append(told.select(F.lit(name).alias("table_name"), "id", "broken"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query
 def violations(spark, sf_dir):
     """Every declared constraint, with the number of rows that break it."""

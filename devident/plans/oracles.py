@@ -647,6 +647,34 @@ ORACLES["null_violations"] = _with("model_runs") + """
 SELECT id, array_to_string(list_filter([CASE WHEN prompt_id IS NULL THEN 'prompt_id' END,
   CASE WHEN n_stored = 0 THEN 'parsed_output_json' END, CASE WHEN temperature IS NULL THEN 'temperature' END], lambda x: x IS NOT NULL), ',') AS missing
 FROM model_runs WHERE prompt_id IS NULL OR n_stored = 0"""
+ORACLES["checked_rows"] = _with("devices", "ground_truth", "aggregated_inputs", "prompts") + f""",
+new_devices AS (
+  SELECT c_custkey + 1000000 AS id,
+    CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN {_CODE.format(k='c_custkey')}
+      WHEN c_custkey % 3 = 0 THEN 'new-' || c_custkey // 10 ELSE 'new-' || c_custkey * 100 END AS device_code,
+    CASE WHEN c_custkey % 4 = 0 THEN 'mac-' || c_custkey WHEN c_custkey % 11 = 0 THEN NULL ELSE 'nm-' || c_custkey // 2 END AS mac FROM customer
+), new_truth AS (
+  SELECT CASE WHEN c_custkey % 13 <> 0 THEN c_custkey END AS id, c_custkey AS k,
+    CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey // 2 + 1 END AS device_id FROM customer
+), new_runs AS (
+  SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END AS input,
+    CASE o_orderkey % 3 WHEN 0 THEN 99 WHEN 1 THEN 1 END AS prompt_id, CASE WHEN o_orderkey % 10 = 0 THEN 5 END AS experiment_id FROM orders
+), told AS (
+  SELECT 'devices' AS table_name, id, [CASE WHEN device_code IS NULL THEN 'not null device_code' END,
+    CASE WHEN device_code IN (SELECT device_code FROM devices) OR id > min(id) OVER (PARTITION BY device_code) AND device_code IS NOT NULL THEN 'unique device_code' END,
+    CASE WHEN mac IN (SELECT mac FROM devices) OR id > min(id) OVER (PARTITION BY mac) AND mac IS NOT NULL THEN 'unique mac' END] AS broken FROM new_devices
+  UNION ALL
+  SELECT 'ground_truth', id, [CASE WHEN id IS NULL THEN 'not null id' END, CASE WHEN device_id IS NULL THEN 'not null device_id' END,
+    CASE WHEN device_id NOT IN (SELECT id FROM devices) THEN 'foreign key device_id' END,
+    CASE WHEN device_id IN (SELECT device_id FROM ground_truth)
+      OR device_id IS NOT NULL AND k <> first(k) OVER (PARTITION BY device_id ORDER BY id NULLS FIRST) THEN 'logical key device_id' END] FROM new_truth
+  UNION ALL
+  SELECT 'model_runs', id, [CASE WHEN input IS NULL THEN 'not null aggregated_input_id' END,
+    CASE WHEN input NOT IN (SELECT id FROM aggregated_inputs) THEN 'foreign key aggregated_input_id' END,
+    CASE WHEN experiment_id IS NOT NULL THEN 'foreign key experiment_id' END,
+    CASE WHEN prompt_id NOT IN (SELECT id FROM prompts) THEN 'foreign key prompt_id' END] FROM new_runs
+)
+SELECT table_name, id, coalesce(array_to_string(list_sort(list_filter(broken, lambda x: x IS NOT NULL)), '; '), '') AS broken FROM told"""
 ORACLES["violations"] = _with("old_scores", "ground_truth") + """
 SELECT * FROM (VALUES
   ('foreign key', 'scan_sessions', 'device_id', CAST(0 AS BIGINT)), ('foreign key', 'scan_runs', 'scan_session_id', 0),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from devident.fixed_values import INPUT_VARIANT, PARSER_VERSION, SCANNER_TOOL_NAME
-from devident.operators import baseline, inference, registry, reports, scoring
+from devident.operators import baseline, inference, integrity, registry, reports, scoring
 from devident.operators.extract import host_json, primary_hosts, rejected_documents
 from devident.operators.keys import last_key, with_defaults, with_keys
 from devident.operators.outputs import accepted_entries
@@ -133,6 +133,13 @@ def ingest_folder(
     return ingest(store, name(read_files(store.spark, paths)), now, {"files_read": unread})
 
 
+def append_checked(store: Store, table: str, rows: DataFrame) -> DataFrame:
+    """Append the rows of a batch that break no constraint; returns the others with all that each one breaks (`broken`)."""
+    sound, rejects = integrity.checked(table, rows, store.tables())
+    store.append(table, sound)
+    return rejects
+
+
 def load_truth(store: Store, entries: DataFrame, now: str | None = None) -> DataFrame:
     """Upsert labels; returns the entries that resolve to no device, and the broken ones of a feed that was read with them."""
     entries, broken = sound_entries(entries)
