@@ -167,7 +167,11 @@ def decide(filter_: Filter, wrong: np.ndarray, text: bytes | None) -> tuple[str,
 
 
 def identify(docs: DataFrame, filter_: Filter, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Per row the columns `keep`, `lang_pred` and `score` (0 to 1). NULL texts and texts without a letter: `und`, 0."""
+    """Per row the columns `keep`, `lang_pred` and `score` (0 to 1). NULL texts and texts without a letter: `und`, 0.
+
+    Columns of `keep` with the names of the new ones are replaced by these; `_li_text` is taken.
+    """
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -175,11 +179,11 @@ def identify(docs: DataFrame, filter_: Filter, text: str = "text", keep=("doc_id
         own = shared.value
         wrong = own.false_positives()
         for batch in batches:
-            found = [decide(own, wrong, t) for t in utf8(batch.column("_text"))]
+            found = [decide(own, wrong, t) for t in utf8(batch.column("_li_text"))]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*keep, "lang_pred", "score"],
             )
 
-    read = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_li_text"))
     return read.mapInArrow(run, f"{fields}, lang_pred string, score double")

@@ -62,11 +62,13 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     n_dup_lines (equal to an earlier line) and n_repeat_words: words in windows of five that occur
     twice or more in the text. Windows are compared by a 64-bit hash of their words' 64-bit hashes,
     sorted with their places; only texts with a repeated hash are sorted. A NULL or empty text has
-    zero of everything. Columns that start with `_qr_` are taken by this function while it works.
+    zero of everything. Columns that start with `_qr_` are taken by this function while it works; columns with the names of
+    the counts are replaced.
     """
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in COUNTS]
     places = F.greatest(F.size("_qr_hashes") - (WINDOW - 1), F.lit(0))
     split = (
-        docs.withColumn("_qr_text", F.coalesce(F.col(text), F.lit("")))
+        docs.withColumn("_qr_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
         .withColumn("_qr_words", F.filter(F.split("_qr_text", SPACE), lambda w: w != ""))
         .withColumn(
             "_qr_lines",
@@ -78,7 +80,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "_qr_windows",
         F.transform(F.arrays_zip(*[F.slice("_qr_hashes", i + 1, places) for i in range(WINDOW)]), lambda z: F.xxhash64(z)),
     ).select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *columns,
         "_qr_windows",
         F.size("_qr_words").cast("long").alias("n_words"),
         F.length(F.array_join("_qr_words", "")).cast("long").alias("word_chars"),
@@ -109,7 +111,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # through a generator, so that a filter on a count isn't pushed below and doesn't count again
     return starts.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *columns,
         F.inline(F.array(F.struct(*COUNTS[:-1], covered.cast("long").alias(COUNTS[-1])))),
     )
 
@@ -126,7 +128,8 @@ def passes(rule: Rule) -> Column:
 def judge(docs: DataFrame, text: str = "text", base=BASE_RULES, rules=RULES) -> DataFrame:
     """The frame with its counts, `base_failed` and `kept`.
 
-    `base_failed`: a base rule fails; `kept`: no rule fails. NULL and empty texts fail by length.
+    `base_failed`: a base rule fails; `kept`: no rule fails. NULL and empty texts fail by length. Columns with the names of the new
+    ones are replaced.
     """
     failed = reduce(lambda a, b: a | b, [~passes(r) for r in base])
     ok = reduce(lambda a, b: a & b, [passes(r) for r in rules], ~F.col("base_failed"))

@@ -96,8 +96,10 @@ def sentencepiece_vocabulary(path: str) -> tuple[list[str], list[str]]:
 def token_counts(docs: DataFrame, automaton: Automaton, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """`keep`, n_words, n_tokens and n_unknown of each whole text.
 
-    A word that can't be cut into pieces is one unknown token. NULL, empty and blank texts count 0.
+    A word that can't be cut into pieces is one unknown token. NULL, empty and blank texts count 0. Columns of `keep` with the names
+    of the counts are replaced by these; `_wp_text` is taken.
     """
+    keep = [c for c in keep if c not in ("n_words", "n_tokens", "n_unknown")]
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -120,5 +122,5 @@ def token_counts(docs: DataFrame, automaton: Automaton, text: str = "text", keep
                 [*[batch.column(c) for c in keep], *columns], names=[*keep, "n_words", "n_tokens", "n_unknown"]
             )
 
-    read = docs.select(*keep, F.col(text).cast("string").alias("_wp_text"))
+    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_wp_text"))
     return read.mapInArrow(run, f"{fields}, n_words long, n_tokens long, n_unknown long")

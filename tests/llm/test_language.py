@@ -54,6 +54,8 @@ def test_odd_rows(spark, rows):
     empty = rows("doc_id long, text string, lang string", [])
     assert identify(empty, learn(empty)).count() == 0
     assert {r.lang_pred for r in identify(frame, learn(empty)).collect()} == {"und"}
+    kept = identify(frame, learn(empty), keep=("doc_id", "score", "lang_pred", "lang"))
+    assert kept.columns == ["doc_id", "lang", "lang_pred", "score"] and kept.first().lang_pred == "und"
 
 
 def test_symbols_beyond_the_basic_plane(spark, rows):

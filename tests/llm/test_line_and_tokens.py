@@ -81,3 +81,10 @@ def test_long_page(spark, rows):
     frame = rows("doc_id long, site string, text string", [(i, "a", text if i == 0 else f"menu\n{i}") for i in range(6)])
     got = {r.doc_id: r for r in drop_boilerplate(frame).collect()}
     assert got[0].n_dropped == 3 and got[0].n_lines == 50_003 and got[5].text == "5"
+
+
+def test_clashing_columns_of_counts_are_replaced(rows):
+    frame = rows("doc_id long, text string", [(1, "a ab"), (2, None)]).selectExpr("*", "'x' AS n_words", "'y' AS n_unknown", "3 AS other")
+    got = token_counts(frame, build(["a"], ["b"]), keep=("doc_id", "n_words", "n_unknown", "other"))
+    assert got.columns == ["doc_id", "other", "n_words", "n_tokens", "n_unknown"]
+    assert [tuple(r) for r in got.collect()] == [(1, 3, 2, 3, 0), (2, 3, 0, 0, 0)]

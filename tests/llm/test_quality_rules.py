@@ -52,3 +52,13 @@ def test_query_like_sql(spark):
 def test_plan_stays_native(spark):
     plan = query(spark, SF_DIR).filter("kept")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_clashing_columns_are_replaced(rows):
+    data = [(1, "one two three"), (2, None), (3, "a b c d e f g h i j k l")]
+    plain = judge(rows(DOCS, data)).collect()
+    names = [*COUNTS, "base_failed", "kept"]
+    odd = rows(DOCS, data).selectExpr("*", *[f"'x' AS {c}" for c in names], "7 AS other")
+    got = judge(odd)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "other", *names])
+    assert [[r[c] for c in names] for r in got.collect()] == [[r[c] for c in names] for r in plain]
