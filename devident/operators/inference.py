@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from devident.fixed_values import STATUS_COMPLETE, STATUS_ERROR
 from devident.functions.documents import to_json_text
 from devident.operators.outputs import extract_object, filter_predictions
+from devident.session import materialize
 
 
 @dataclass(frozen=True)
@@ -175,6 +177,45 @@ def infer(
     return asked.mapInArrow(answer, schema)
 
 
+def infer_in_rounds(
+    requests: DataFrame, backend: Callable[[str, str], Backend], folder: str, rounds: int, tasks: int | None = None
+) -> DataFrame:
+    """As `infer`, in `rounds` jobs that keep their answers below `folder`, which driver and executors share.
+
+    A round asks for one share of the requests, by a hash, less those that have an answer below the folder. A job that dies
+    loses the calls of its own round; called again with the same folder, only requests without an answer are asked, so the
+    share of calls that can be lost at once is 1 / `rounds`. Equal requests are trials of their own, told apart by a number. A task
+    has one call in flight. Answers below the folder to requests that aren't asked now stay there and aren't returned.
+    """
+    spark = requests.sparkSession
+    names = requests.columns
+    said = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    folded = requests.withColumn("_request", F.sha2(said, 256)).groupBy("_request").agg(
+        F.any_value(F.struct(*names)).alias("_asked"), F.count("*").alias("_copies")
+    )
+    trials = materialize(folded.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_request", "_copy", "_asked.*"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def answered() -> list[str]:
+        found = files.listStatus(place) if files.exists(place) else []
+        done = [f.getPath() for f in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        return sorted(p.toString() for p in done)
+
+    schema = None
+    for number in range(rounds):
+        share = trials.filter(F.pmod(F.xxhash64("_request", "_copy"), F.lit(rounds)) == number)
+        if before := answered():
+            share = share.join(spark.read.parquet(*before).select("_request", "_copy"), ["_request", "_copy"], "left_anti")
+        answers = infer(share, backend, tasks)
+        schema = answers.schema
+        if share.limit(1).count():
+            answers.write.parquet(f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}")
+    if not (done := answered()):
+        return spark.createDataFrame([], schema).drop("_request", "_copy")
+    return spark.read.schema(schema).parquet(*done).join(trials.select("_request", "_copy"), ["_request", "_copy"], "left_semi").drop("_request", "_copy")
+
+
 def run_records(answered: DataFrame) -> DataFrame:
     """Run rows without key: identifiers extracted and filtered, full settings stamped.
 

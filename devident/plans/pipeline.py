@@ -188,14 +188,20 @@ def redo_baselines(store: Store, requested: DataFrame, now: str | None = None) -
 
 
 def run_models(
-    store: Store, asked: DataFrame, backend: Callable[[str, str], inference.Backend], tasks: int | None = None
+    store: Store, asked: DataFrame, backend: Callable[[str, str], inference.Backend], tasks: int | None = None,
+    rounds: int | None = None, folder: str | None = None,
 ) -> DataFrame:
     """Answer requests (`aggregated_input_id, prompt_id`, settings) and append the runs.
 
-    Returns the requests that name an unknown input or prompt.
+    With `rounds` and a shared `folder`, answers are kept there round by round (`infer_in_rounds`): called again after a failure with
+    the same folder, only requests without an answer are asked. Returns the requests that name an unknown input or prompt.
     """
     inputs, prompts = store.table("aggregated_inputs"), store.table("prompts")
-    answered = inference.infer(inference.build_requests(asked, inputs, prompts), backend, tasks)
+    requests = inference.build_requests(asked, inputs, prompts)
+    if folder:
+        answered = inference.infer_in_rounds(requests, backend, folder, rounds or 16, tasks)
+    else:
+        answered = inference.infer(requests, backend, tasks)
     order = ["aggregated_input_id", "prompt_id", "model_name", "started_at"]
     _append_keyed(store, "model_runs", inference.run_records(answered), order, None)
     return inference.rejected_requests(asked, inputs, prompts)

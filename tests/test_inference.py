@@ -1,9 +1,10 @@
 import json
+import os
 
 import pytest
 
 from devident.operators.inference import (
-    ModelSettings, build_requests, infer, rejected_requests, run_records, sweep, with_settings,
+    ModelSettings, build_requests, infer, infer_in_rounds, rejected_requests, run_records, sweep, with_settings,
 )
 
 GOOD = "cpe:2.3:h:v:p" + ":*" * 8
@@ -98,3 +99,44 @@ def test_each_model_answers_for_itself_in_many_tasks(spark, inputs, prompts):
     assert all(r.raw_output_text.startswith(f"{r.model_name}-{r.model_version} {r.seed} ") for r in answers)
     assert {r.seed for r in answers if r.model_name == "b"} == {None} and 29 in {r.seed for r in answers}
     assert infer(asked, lambda name, version: Named(name, version), tasks=6).rdd.getNumPartitions() == 6
+
+
+def counted(notes, left=None):
+    """A backend that notes every call in a file; a worker dies at a call after `left` of them."""
+
+    class Model:
+        def chat(self, messages, **settings):
+            with open(notes, "a") as f:
+                f.write(messages[1]["content"] + "\n")
+            if left is not None and sum(1 for _ in open(notes)) > left:
+                os._exit(1)
+            return f"answer to {messages[1]['content']}"
+
+    return lambda name, version: Model()
+
+
+def test_answers_survive_a_lost_task(spark, rows, prompts, tmp_path):
+    inputs = rows("id long, input_payload_json string", [(i, f"text {i}") for i in range(40)])
+    grid = with_settings(rows("aggregated_input_id long, prompt_id long", [(i, 1) for i in range(40)] + [(7, 1)] * 2), ModelSettings("m"))
+    requests = build_requests(grid, inputs, prompts)
+    notes, folder = str(tmp_path / "calls"), str(tmp_path / "answers")
+    with pytest.raises(Exception):
+        infer_in_rounds(requests, counted(notes, 25), folder, 6, 1)
+    first = open(notes).read().splitlines()
+    kept = spark.read.parquet(f"{folder}/round-*").count()
+    assert 0 < kept <= 25 <= len(first)
+    answered = infer_in_rounds(requests, counted(notes), folder, 6, 1)
+    assert sorted(r.aggregated_input_id for r in answered.collect()) == sorted([*range(40), 7, 7])
+    assert set(answered.columns) == set(infer(requests, counted(notes), 1).columns)
+    # only what has no answer is asked again: at most the calls of the round that died
+    assert len(open(notes).read().splitlines()) - len(first) == 42 - kept
+    before = len(open(notes).read().splitlines())
+    again = infer_in_rounds(requests.filter("aggregated_input_id < 5"), counted(notes), folder, 3, 1)
+    assert again.count() == 5 and len(open(notes).read().splitlines()) == before
+    assert {r.raw_output_text for r in again.collect()} == {f"answer to text {i}" for i in range(5)}
+
+
+def test_rounds_without_requests(rows, inputs, prompts, tmp_path):
+    requests = build_requests(with_settings(rows("aggregated_input_id long, prompt_id long", [(99, 1)]), ModelSettings("m")), inputs, prompts)
+    got = infer_in_rounds(requests, lambda name, version: None, str(tmp_path / "none"), 2, 1)
+    assert got.count() == 0 and "raw_output_text" in got.columns and "_copy" not in got.columns

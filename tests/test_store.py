@@ -114,3 +114,19 @@ def test_drafts_and_empty_writes(spark, rows, tmp_path):
     os.makedirs(f"{tmp_path}/prompts/left-behind")
     (tmp_path / "_versions" / ".draft-1").write_text("{")
     assert store.table("scores").count() == 0 and store.table("prompts").count() == 1 and store.version()["version"] == 2
+
+
+def test_checked_appends(spark, rows, tmp_path):
+    store = Store(spark, str(tmp_path))
+    devices = lambda *r: with_defaults(rows("id long, device_code string, mac string", list(r)), "devices", "t")
+    assert pipeline.append_checked(store, "devices", devices((1, "a", "m1"), (2, "b", None), (3, "c", None))).count() == 0
+    rejects = pipeline.append_checked(store, "devices", devices((4, "a", "m4"), (5, None, "m1"), (None, "e", "m6"), (6, "f", "m7"), (7, "f", "m7"), (8, "g", None)))
+    assert sorted((r.id or 0, sorted(r.broken)) for r in rejects.collect()) == [
+        (0, ["not null id"]), (4, ["unique device_code"]), (5, ["not null device_code", "unique mac"]), (7, ["unique device_code", "unique mac"])]
+    assert sorted(r.id for r in store.table("devices").collect()) == [1, 2, 3, 6, 8]
+    truth = with_defaults(rows("id long, device_id long", [(1, 1), (2, 99), (3, 1), (4, None), (5, 8)]), "ground_truth", "t")
+    rejects = pipeline.append_checked(store, "ground_truth", truth)
+    assert sorted((r.id, r.broken) for r in rejects.collect()) == [(2, ["foreign key device_id"]), (3, ["logical key device_id"]), (4, ["not null device_id"])]
+    assert pipeline.append_checked(store, "ground_truth", truth.filter("false")).count() == 0 and store.table("ground_truth").count() == 2
+    runs = with_defaults(rows("id long, aggregated_input_id long, experiment_id long", [(1, 5, 7)]), "model_runs", "t")
+    assert pipeline.append_checked(store, "model_runs", runs).first().broken == ["foreign key aggregated_input_id", "foreign key experiment_id"]
