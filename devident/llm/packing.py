@@ -71,8 +71,8 @@ def word_ids(path: str) -> WordIds:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    parted, merges, model = _splitter(whole), of_tokenizer(whole), whole.model
-    plain = re.compile(PLAIN).fullmatch
+    (parted, written), merges, model = _splitter(whole), of_tokenizer(whole), whole.model
+    plain, control = re.compile(PLAIN).fullmatch, re.compile(r"[\x00-\x09\x0b-\x20\x7f]").search
     added_bytes = [t.content.lower().encode() for t in whole.get_added_tokens_decoder().values()]
     added = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or r"(?!)").search
 
@@ -83,6 +83,7 @@ def word_ids(path: str) -> WordIds:
         return out.tobytes()
 
     def part_ids(missing: list[str]) -> Iterator[bytes]:
+        missing = [p if p.isascii() else p.translate(written) for p in missing]
         found = merges.ids(missing) if merges else [None] * len(missing)
         for part, ids in zip(missing, found):
             yield END_OF_WORD if part == "\n" else packed([t.id for t in model.tokenize(part)]) if ids is None else ids
@@ -90,12 +91,17 @@ def word_ids(path: str) -> WordIds:
     parts = Recent(part_ids, REMEMBERED)
 
     def make(missing: list[bytes]) -> Iterator[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in missing]
-        own = [bool(parted and plain(t) and not added(t)) for t in texts]
-        # one line per word
-        lines = "".join(t + "\n" for t, is_own in zip(texts, own) if is_own)
-        ids = iter(b"".join(parts.of(parted(lines) if lines else [])).split(END_OF_WORD))
-        return (next(ids) if is_own else packed(whole.encode(t, add_special_tokens=False).ids) for t, is_own in zip(texts, own))
+        # one line per word; a word has no line feed
+        joined = b"\n".join(missing).decode("utf-8", "replace")
+        texts, clear = joined.split("\n"), not control(joined) and not added(joined)
+        odd = [n for n, t in enumerate(texts) if not (clear and t.isascii()) and not (parted and plain(t) and not added(t))] if parted else range(len(texts))
+        others = {n: packed(whole.encode(texts[n], add_special_tokens=False).ids) for n in odd}
+        for n in odd:
+            texts[n] = ""
+        ids = b"".join(parts.of(parted("\n".join(texts) + "\n"))).split(END_OF_WORD) if parted else [b""] * len(texts)
+        for n, own in others.items():
+            ids[n] = own
+        return ids[: len(texts)]
 
     def equal_words(text: bytes | None) -> list[bytes]:
         # a tokenizer that lower-cases has fewer words to remember; no text may turn into an added token by that
@@ -106,9 +112,9 @@ def word_ids(path: str) -> WordIds:
     return _worker.setdefault(path, WordIds(make, equal_words))
 
 
-def _splitter(whole) -> Callable[[str], list[str]] | None:
+def _splitter(whole) -> tuple[Callable[[str], list[str]] | None, dict[int, str]]:
     """For a tokenizer that lower-cases, splits by a pattern and writes bytes as characters: how lines of PLAIN characters, which
-    are composed and have one lower case, fall into parts for its model and line ends. None for others."""
+    are composed and have one lower case, fall into parts and line ends, and how its model's alphabet writes them. None for others."""
     steps = json.loads(whole.to_str())
     kinds = [n.get("type") for n in (steps["normalizer"] or {}).get("normalizers", ())]
     splits = (steps["pre_tokenizer"] or {}).get("pretokenizers", ())
@@ -120,7 +126,7 @@ def _splitter(whole) -> Callable[[str], list[str]] | None:
         and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"] and steps["post_processor"] is None
     )
     if not fits:
-        return None
+        return None, {}
     import regex
 
     # no part holds white space, so the line's end after each word is a part of its own
@@ -128,11 +134,7 @@ def _splitter(whole) -> Callable[[str], list[str]] | None:
     letters = [chr(c) for c in range(256) if re.fullmatch(PLAIN, chr(c)) and chr(c).lower() == chr(c) and not chr(c).isascii()]
     written = str.maketrans({c: whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
 
-    def parted(text: str) -> list[str]:
-        found = find(text.lower())
-        return found if text.isascii() else [p if p.isascii() else p.translate(written) for p in found]
-
-    return parted
+    return (lambda lines: find(lines.lower())), written
 
 
 def token_bytes(known: WordIds, texts: list[bytes | None]) -> Iterator[bytes]:
