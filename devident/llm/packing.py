@@ -34,7 +34,7 @@ from devident.session import materialize
 #: characters whose lower case and kind no version of Unicode changes: visible ASCII and the letters up to U+00FF
 PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
 #: bytes of words, and of parts of words, whose ids a task remembers (twice this, as there are two generations)
-REMEMBERED = 24 << 20
+REMEMBERED = 32 << 20
 #: bytes of text that are worked on together
 TOGETHER = 1 << 20
 #: no id is this number, nor do the bytes of ids hold it: their upper half is zero
