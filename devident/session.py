@@ -20,11 +20,20 @@ RUNTIME_SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
+#: What a join may broadcast without being told to, in bytes as stored or shuffled. In the driver's memory these are many times as
+#: much: stored tables are compressed, exploded rows aren't counted, and a query has several joins at once.
+BROADCAST_BYTES = 256 << 10
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session and return it."""
+    """Apply the runtime settings to a session and return it. A lower limit of the session's own on broadcasts stays."""
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    # the adaptive limit is unset by default and then is the static one
+    for name, given in ((static, spark.conf.get(static)), (adaptive, spark.conf.get(adaptive, None))):
+        if given and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) > BROADCAST_BYTES:
+            spark.conf.set(name, str(BROADCAST_BYTES))
     return spark
 
 
