@@ -63,6 +63,13 @@ def test_near_duplicates_at_high_resemblance(spark, rows):
     assert all(found[2 * g] == 2 * g for g in range(60))
 
 
+def test_near_duplicates_by_fingerprint(spark, rows):
+    # three shingles of five words, and another one at the end: 3 of 4 are common, but the fingerprints are equal
+    line = "a b c " * 50
+    docs = rows(COLUMNS, [(1, line, "en", "s", 300), (2, line + "x", "en", "s", 301), (3, "quite another text than the one before it", "en", "s", 41)])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()) == [1, 3]
+
+
 def test_run(spark):
     packed = corpus_pipeline.run(spark, SF_DIR).collect()
     by = {}
