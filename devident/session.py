@@ -30,9 +30,9 @@ def configure(spark: SparkSession) -> SparkSession:
     for name, value in RUNTIME_SETTINGS.items():
         spark.conf.set(name, value)
     static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    # the adaptive limit is unset by default and then is the static one
+    # the adaptive limit is unset by default and then is the static one; a negative one broadcasts nothing
     for name, given in ((static, spark.conf.get(static)), (adaptive, spark.conf.get(adaptive, None))):
-        if given and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) > BROADCAST_BYTES:
+        if given and not given.startswith("-") and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) > BROADCAST_BYTES:
             spark.conf.set(name, str(BROADCAST_BYTES))
     return spark
 
