@@ -410,7 +410,10 @@ def scan_files(spark, sf_dir):
         F.concat(F.lit('<nmaprun args="'), F.col("s_name"), F.lit('">\n<host/></nmaprun>')).alias("value"),
     )
     path = shared_folder(spark)
-    files.write.partitionBy("folder").text(path)
+    # a folder is one task's, which itself puts its files in place: the driver would move one after the other. Nobody reads the
+    # folder before the job has ended
+    dealt = files.repartition(shuffle_partitions(spark), "folder")
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("folder").text(path)
     scans = read_scans(spark, path, "*.txt")
     return scans.select("target_ip", "scan_ts", strip(F.col("xml")).alias("xml"))
 
