@@ -65,8 +65,9 @@ def _each(items: Column) -> Column:
 def parse_documents(df: DataFrame, xml: str = "xml", schema: str = SCAN_SCHEMA) -> DataFrame:
     """Add `doc` (the parsed document) and `malformed` (the text is not one well-formed document)."""
     parsed = df.withColumn("_doc", F.from_xml(F.col(xml), schema, _OPTIONS))
-    # an end tag within a comment or a CDATA section ends nothing
-    plain = F.regexp_replace(F.col(xml), _NO_MARKUP, "")
+    # an end tag within a comment or a CDATA section ends nothing; few documents have either
+    marked = F.contains(F.col(xml), F.lit("<!--")) | F.contains(F.col(xml), F.lit("<![CDATA["))
+    plain = F.when(marked, F.regexp_replace(F.col(xml), _NO_MARKUP, "")).otherwise(F.col(xml))
     broken = F.col("_doc").isNull() | F.col("_doc._corrupt").isNotNull() | plain.rlike(_AFTER_ROOT)
     return parsed.withColumn("malformed", broken).withColumn(
         "doc", F.when(~F.col("malformed"), F.col("_doc"))
