@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from devident.fixed_values import NETBIOS_NAME, NETBIOS_SCRIPT
@@ -11,24 +13,46 @@ from devident.functions.text import filled, matched, strip
 # Elements that may repeat are arrays; where only the first counts, `_first` picks it.
 _SCRIPT = "array<struct<_id string, _output string>>"
 _OS = "array<struct<osmatch array<struct<_name string, _accuracy string, osclass array<struct<_cpe string, cpe array<string>>>>>>>"
-_HOST = f"""struct<
-  status array<struct<_state string>>,
-  address array<struct<_addr string, _addrtype string, _vendor string>>,
-  hostnames array<struct<hostname array<struct<_name string>>>>,
-  hostscript array<struct<script {_SCRIPT}>>,
-  os {_OS},
-  ports array<struct<port array<struct<
-    _protocol string, _portid string,
-    state array<struct<_state string>>,
-    service array<struct<_name string, _product string, _version string, cpe array<string>>>,
-    script {_SCRIPT}>>>>>"""
-SCAN_SCHEMA = f"""
-  _args string, _version string, _startstr string,
-  prescript array<struct<script {_SCRIPT}>>,
-  postscript array<struct<script {_SCRIPT}>>,
-  host array<{_HOST}>,
-  runstats array<struct<finished array<struct<_timestr string, _exit string>>>>,
-  _corrupt string"""
+_HOST = {
+    "status": "array<struct<_state string>>",
+    "address": "array<struct<_addr string, _addrtype string, _vendor string>>",
+    "hostnames": "array<struct<hostname array<struct<_name string>>>>",
+    "hostscript": f"array<struct<script {_SCRIPT}>>",
+    "os": _OS,
+    "ports": f"""array<struct<port array<struct<
+      _protocol string, _portid string,
+      state array<struct<_state string>>,
+      service array<struct<_name string, _product string, _version string, cpe array<string>>>,
+      script {_SCRIPT}>>>>""",
+}
+_ROOT = {
+    "_args": "string", "_version": "string", "_startstr": "string",
+    "prescript": f"array<struct<script {_SCRIPT}>>", "postscript": f"array<struct<script {_SCRIPT}>>",
+    "runstats": "array<struct<finished array<struct<_timestr string, _exit string>>>>",
+}
+# as much of the ports as their scripts need
+_PORT_SCRIPTS = f"array<struct<port array<struct<_portid string, state array<struct<_state string>>, script {_SCRIPT}>>>>"
+# what each detail of a primary host is read from: elements of the host, and of the document
+DETAILS = {
+    "meta": ((), ("_args", "_version", "_startstr", "runstats")),
+    "hostname": (("hostnames", "hostscript"), ()),
+    "os": (("os",), ()),
+    "services": (("ports",), ()),
+    "port_scripts": (("ports",), ()),
+    "scripts": (("hostscript",), ("prescript", "postscript")),
+}
+
+
+def scan_schema(details: Collection[str] = DETAILS) -> str:
+    """The schema of what some details read. The parser passes over other elements, but still finds a document malformed by them."""
+    of_host, of_root = ({name for d in details for name in DETAILS[d][side]} for side in (0, 1))
+    kinds = _HOST if "services" in details else _HOST | {"ports": _PORT_SCRIPTS}
+    host = ", ".join(f"{name}: {kind}" for name, kind in kinds.items() if name in of_host | {"status", "address"})
+    root = "".join(f"{name} {kind}, " for name, kind in _ROOT.items() if name in of_root)
+    return f"{root}host array<struct<{host}>>, _corrupt string"
+
+
+SCAN_SCHEMA = scan_schema()
 # only what identifier extraction reads
 CPE_SCHEMA = f"""
   host array<struct<
@@ -79,12 +103,9 @@ def collect_scripts(scripts: Column) -> Column:
 
     A repeated id keeps its first place and its last output.
     """
-    shown = F.transform(
-        F.filter(
-            _each(scripts),
-            lambda s: (F.length(s["_id"]) > 0) & (F.length(strip(s["_output"])) > 0),
-        ),
-        lambda s: F.struct(s["_id"].alias("id"), strip(s["_output"]).alias("output")),
+    shown = F.filter(
+        F.transform(_each(scripts), lambda s: F.struct(s["_id"].alias("id"), strip(s["_output"]).alias("output"))),
+        lambda s: (F.length(s["id"]) > 0) & (F.length(s["output"]) > 0),
     )
     def distinct(listed: Column) -> Column:
         names = F.array_distinct(F.transform(listed, lambda s: s["id"]))
@@ -199,6 +220,14 @@ def services(host: Column) -> Column:
     return F.transform(_open_ports(host), service)
 
 
+def port_scripts(host: Column) -> Column:
+    """Open ports with number and scripts only."""
+    return F.transform(
+        _open_ports(host),
+        lambda p: F.struct(strip(p["_portid"]).try_cast("int").alias("port"), collect_scripts(p["script"]).alias("scripts")),
+    )
+
+
 def raw_cpes(hosts: Column) -> Column:
     """Identifiers of all live hosts, per host services before OS, stripped."""
     return F.flatten(
@@ -232,38 +261,42 @@ def scan_meta(documents: DataFrame) -> DataFrame:
     ).drop("_finish")
 
 
-def primary_hosts(scans: DataFrame, xml: str = "xml") -> DataFrame:
-    """One row per usable document: its columns, the scan's meta data and the primary host.
+def primary_hosts(scans: DataFrame, xml: str = "xml", details: Collection[str] = DETAILS) -> DataFrame:
+    """One row per usable document: its columns, the primary host's addresses, and the details asked for.
 
-    Documents that are malformed or have no live host with an ipv4 address give no row; see
-    `rejected_documents`.
+    Details are the scan's `meta` data, `hostname`, `os` (guesses and identifiers), `services`, or `port_scripts` for
+    services with port and scripts only, and `scripts` (of the host, pre and post); only what these need is read of a document, since building its values costs far more than passing over it. Documents
+    that are malformed or have no live host with an ipv4 address give no row, whatever is asked for; see `rejected_documents`.
     """
-    documents = scan_meta(parse_documents(scans, xml))
+    documents = parse_documents(scans, xml, scan_schema(details))
+    if "meta" in details:
+        documents = scan_meta(documents)
     # the host passes a generator: a filter on it is then not pushed below the parse, repeating it
     hosts = documents.withColumn("_host", F.explode_outer(F.array(primary_host(F.col("doc.host"))))).filter(
         F.col("_host").isNotNull()
     )
     host = F.col("_host")
-    detailed = hosts.withColumns(
-        {
-            "_address": host_addresses(host),
-            "hostname": hostname(host),
-            "os_guesses": os_guesses(host),
-            "os_cpes": os_cpes(host),
-            "services": services(host),
+    made = {"_address": host_addresses(host)}
+    if "hostname" in details:
+        made["hostname"] = hostname(host)
+    if "os" in details:
+        made |= {"os_guesses": os_guesses(host), "os_cpes": os_cpes(host)}
+    if "services" in details or "port_scripts" in details:
+        made["services"] = services(host) if "services" in details else port_scripts(host)
+    if "scripts" in details:
+        made |= {
             "host_scripts": collect_scripts(_first(host["hostscript"])["script"]),
             "pre_scripts": collect_scripts(_first(F.col("doc.prescript"))["script"]),
             "post_scripts": collect_scripts(_first(F.col("doc.postscript"))["script"]),
         }
-    )
-    return detailed.withColumns(
+    return hosts.withColumns(made).withColumns(
         {"ip": F.col("_address.ip"), "mac": F.col("_address.mac"), "vendor": F.col("_address.vendor")}
     ).drop("doc", "malformed", "_host", "_address")
 
 
 def rejected_documents(scans: DataFrame, xml: str = "xml") -> DataFrame:
     """Documents ingest refuses, with the `reason`: malformed, or no live host."""
-    documents = parse_documents(scans, xml)
+    documents = parse_documents(scans, xml, scan_schema(()))
     reason = F.when(F.col("malformed"), "malformed document").when(
         primary_host(F.col("doc.host")).isNull(), "no live host"
     )

@@ -325,21 +325,21 @@ def scan_meta(spark, sf_dir):
 
 @query
 def primary_hosts(spark, sf_dir):
-    return extract.primary_hosts(binding.scan_documents(spark, sf_dir)).select(
+    return extract.primary_hosts(binding.scan_documents(spark, sf_dir), details=["hostname"]).select(
         "seq", "ip", "mac", "vendor", "hostname"
     )
 
 
 @query
 def os_identity(spark, sf_dir):
-    return extract.primary_hosts(binding.scan_documents(spark, sf_dir)).select(
+    return extract.primary_hosts(binding.scan_documents(spark, sf_dir), details=["os"]).select(
         "seq", _joined("os_guesses").alias("guesses"), _joined("os_cpes").alias("cpes")
     )
 
 
 @query
 def open_services(spark, sf_dir):
-    hosts = extract.primary_hosts(binding.scan_documents(spark, sf_dir))
+    hosts = extract.primary_hosts(binding.scan_documents(spark, sf_dir), details=["services"])
     return extract.open_services(hosts).select(
         "seq", "service_pos", "port", "protocol", "service", "product", "version",
         _joined("cpes").alias("cpes"), F.size("scripts").alias("n_scripts"),
@@ -348,7 +348,7 @@ def open_services(spark, sf_dir):
 
 @query
 def scripts(spark, sf_dir):
-    hosts = extract.primary_hosts(binding.scan_documents(spark, sf_dir))
+    hosts = extract.primary_hosts(binding.scan_documents(spark, sf_dir), details=["port_scripts", "scripts"])
     return extract.host_scripts(hosts).select("seq", "scope", "port", "id", "output")
 
 

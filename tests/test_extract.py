@@ -134,3 +134,33 @@ def test_long_endings(rows):
     end = "</nmaprun>" + "\n" * 200_000 + "<!-- " + "x" * 200_000 + " -->" + " " * 200_000
     frame = rows("i int, xml string", [(1, MINIMAL.replace("</nmaprun>", end)), (2, MINIMAL.replace("</nmaprun>", end + "x"))])
     assert [r.i for r in extract.primary_hosts(frame).collect()] == [1]
+
+
+def test_only_what_details_need_is_read(rows):
+    """Fewer details: the same rows and values, malformed documents included, from a smaller schema."""
+    odd = [
+        "<nmaprun><host><status/></host><os></nmaprun>", "<nmaprun>text<host>t<address addr='2' addrtype='ipv4'/><os>x</os></host></nmaprun>",
+        "<nmaprun><host><os><osmatch><osclass><cpe>a<b/></cpe></osclass></osmatch></os><address addr='3' addrtype='ipv4'/></host></nmaprun>",
+        "<nmaprun><host><address addr='4' addrtype='ipv4'/><ports><port portid='1'><state state='open'/><script id='a' output=' '/></port></ports></host>",
+        "<nmaprun><host><address addr='5' addrtype='ipv4'/><ports><port a='1' a='2'/></ports></host></nmaprun>",
+    ]
+    texts = scans(rows).select("i", "xml").unionByName(rows("i int, xml string", [(100 + n, t) for n, t in enumerate(odd)]))
+    whole = extract.primary_hosts(texts)
+    for details in (["os"], ["hostname"], ["meta"], ["services"], ["scripts"], ["os", "services"], []):
+        part = extract.primary_hosts(texts, details=details)
+        assert set(part.columns) < set(whole.columns)
+        assert sorted(part.collect(), key=str) == sorted(whole.select(*part.columns).collect(), key=str), details
+    part = extract.host_scripts(extract.primary_hosts(texts, details=["port_scripts", "scripts"])).select("i", "scope", "port", "id", "output")
+    assert sorted(part.collect(), key=str) == sorted(extract.host_scripts(whole).select(*part.columns).collect(), key=str)
+
+
+def test_queries_read_what_they_return(spark, monkeypatch):
+    """The queries that return a part of a document don't have the rest of it built."""
+    from devident.plans import binding, catalog
+
+    documents = spark.createDataFrame([(1, FULL)], "seq long, xml string")
+    monkeypatch.setattr(binding, "scan_documents", lambda *_: documents)
+    for name, absent in (("os_identity", "ports"), ("open_services", "osmatch"), ("scripts", "osmatch"), ("scripts", "_product"), ("bad_documents", "ports")):
+        found = catalog.QUERIES[name](spark, "")
+        assert absent not in found._jdf.queryExecution().optimizedPlan().toString(), (name, absent)
+        found.collect()
