@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from devident.llm.line_dedup import BLOCK_TAG, HIDDEN, HOST, TAG, drop_boilerplate, host, visible_text
 from devident.llm.text import read
+from devident.session import materialize
 
 NAME = "op5_line_dedup"
 RATIO, LEAST = 0.05, 2
@@ -11,7 +12,8 @@ RATIO, LEAST = 0.05, 2
 
 def query(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", host(F.col("url")).alias("site"), visible_text(F.col("html")).alias("text"))
-    found = drop_boilerplate(pages, ratio=RATIO, least=LEAST)
+    # lines are counted in one pass and dropped in another: the texts are made of the pages once
+    found = drop_boilerplate(materialize(pages), ratio=RATIO, least=LEAST)
     return found.select("page_id", "site", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 

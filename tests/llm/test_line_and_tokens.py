@@ -34,6 +34,12 @@ def test_line_query_like_sql(spark):
     assert difference(query(spark, sf_dir), connect(sf_dir), SQL) is None, NAME
 
 
+def test_line_query_makes_texts_once(spark):
+    """What counts and drops lines reads stored texts and doesn't cut the pages again."""
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" in plan and "regexp_replace" not in plan
+
+
 def reference(initial, inner, texts):
     from tokenizers import Tokenizer, models
 
