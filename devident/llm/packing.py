@@ -83,7 +83,7 @@ def word_ids(path: str) -> WordIds:
         return out.tobytes()
 
     def part_ids(missing: list[str]) -> Iterator[bytes]:
-        missing = [p if p.isascii() else p.translate(written) for p in missing]
+        missing = _rewritten(missing, written)
         found = merges.ids(missing) if merges else [None] * len(missing)
         for part, ids in zip(missing, found):
             yield END_OF_WORD if part == "\n" else packed([t.id for t in model.tokenize(part)]) if ids is None else ids
@@ -112,7 +112,19 @@ def word_ids(path: str) -> WordIds:
     return _worker.setdefault(path, WordIds(make, equal_words))
 
 
-def _splitter(whole) -> tuple[Callable[[str], list[str]] | None, dict[int, str]]:
+def _rewritten(parts: list[str], written: dict[str, str]) -> list[str]:
+    """The parts with characters replaced, for all parts at once; what is written holds none of the characters."""
+    wide = [n for n, p in enumerate(parts) if not p.isascii()]
+    joined = "\n".join([parts[n] for n in wide])
+    for letter, own in written.items():
+        joined = joined.replace(letter, own)
+    out = parts.copy()
+    for n, part in zip(wide, joined.split("\n")):
+        out[n] = part
+    return out
+
+
+def _splitter(whole) -> tuple[Callable[[str], list[str]] | None, dict[str, str]]:
     """For a tokenizer that lower-cases, splits by a pattern and writes bytes as characters: how lines of PLAIN characters, which
     are composed and have one lower case, fall into parts and line ends, and how its model's alphabet writes them. None for others."""
     steps = json.loads(whole.to_str())
@@ -132,7 +144,9 @@ def _splitter(whole) -> tuple[Callable[[str], list[str]] | None, dict[int, str]]
     # no part holds white space, so the line's end after each word is a part of its own
     find = regex.compile(splits[0]["pattern"]["Regex"] + r"|\n").findall
     letters = [chr(c) for c in range(256) if re.fullmatch(PLAIN, chr(c)) and chr(c).lower() == chr(c) and not chr(c).isascii()]
-    written = str.maketrans({c: whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+    written = {c: whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+    if any(c in own for c in written for own in written.values()):
+        return None, {}
 
     return (lambda lines: find(lines.lower())), written
 

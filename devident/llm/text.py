@@ -59,10 +59,12 @@ class Recent:
             self.old, self.young, self.used = self.young, {}, 0
         young, old = self.young, self.old
         before = len(young)
-        missing = list(set(parts).difference(young))
+        missing = set(parts).difference(young)
         if old:
-            young.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in old]
+            again = old.keys() & missing
+            young.update(zip(again, map(old.__getitem__, again)))
+            missing -= again
+        missing = list(missing)
         if missing:
             young.update(zip(missing, self.make(missing)))
         self.used += (len(young) - before) * self.OVERHEAD + sum(map(len, missing))

@@ -117,3 +117,26 @@ def test_a_long_text_without_white_space(rows):
     own = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.piece)
     assert sum(r.length for r in own) == len(ids) and own[0].ids_crc32 == zlib.crc32(ids[:4096].tobytes())
     assert [r.start for r in own] == list(range(0, len(ids), 4096)) and own[-1].ids_crc32 == zlib.crc32(ids[own[-1].start :].tobytes())
+
+
+def test_parts_are_written_as_by_the_alphabet():
+    """All parts at once as one by one; the words asked for, which are keys of what is remembered, stay as they are."""
+    from devident.llm.packing import _rewritten, _splitter
+    from tokenizers import Tokenizer
+
+    _, written = _splitter(Tokenizer.from_file(tokenizer_path()))
+    parts = ["plain", "\n", "café", "ÿßà", "naïve-", "é", "è" * 3]
+    before = list(parts)
+    assert written and _rewritten(parts, written) == [p.translate(str.maketrans(written)) for p in before]
+    assert parts == before and _rewritten(["a", "\n"], written) == ["a", "\n"] and _rewritten([], written) == []
+
+
+def test_remembered_words_are_worked_out_once():
+    """Words of the older generation move to the younger one and aren't made again."""
+    from devident.llm.text import Recent
+
+    asked = []
+    known = Recent(lambda words: asked.extend(words) or [w * 2 for w in words], limit=300)
+    for own in ([b"a", b"b", b"a"], [b"c", b"a"], [b"a", b"d", b"c"], [b"a", b"e"]):
+        assert list(known.of(own)) == [w * 2 for w in own]
+    assert sorted(asked) == [b"a", b"b", b"c", b"d", b"e"]
