@@ -35,8 +35,8 @@ from devident.session import materialize
 PLAIN = r"[!-~À-ÖØ-öø-ÿ]+"
 #: bytes of words, and of parts of words, whose ids a task remembers (twice this, as there are two generations)
 REMEMBERED = 32 << 20
-#: bytes of text that are worked on together
-TOGETHER = 1 << 20
+#: bytes of text that are worked on together: a batch, so that a word that it repeats is looked for once
+TOGETHER = 4 << 20
 #: no id is this number, nor do the bytes of ids hold it: their upper half is zero
 END_OF_WORD = b"\xff\xff\xff\xff"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"

@@ -140,3 +140,23 @@ def test_remembered_words_are_worked_out_once():
     for own in ([b"a", b"b", b"a"], [b"c", b"a"], [b"a", b"d", b"c"], [b"a", b"e"]):
         assert list(known.of(own)) == [w * 2 for w in own]
     assert sorted(asked) == [b"a", b"b", b"c", b"d", b"e"]
+
+
+def test_the_texts_of_a_batch_are_worked_on_together():
+    """A word that a batch repeats is looked for among those remembered once per group of texts."""
+    from devident.llm import packing
+
+    class Known:
+        calls = 0
+
+        def words(self, text):
+            return text.split()
+
+        def of(self, own):
+            self.calls += 1
+            return iter([w[:4] for w in own])
+
+    known, texts = Known(), [b"word " * 50_000 + b"%04d" % n for n in range(12)]
+    assert sum(map(len, texts)) > 2 << 20
+    assert list(packing.token_bytes(known, texts)) == [b"word" * 50_000 + b"%04d" % n for n in range(12)]
+    assert known.calls == 1
