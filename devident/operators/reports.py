@@ -75,7 +75,8 @@ def scores_wide(tables: Tables, ordered: bool = True) -> DataFrame:
     """The atomic fact table: one row per score and scan run of its session, 49 columns.
 
     A session with several scan runs repeats its scores; one without keeps them with NULL scan
-    columns. Dimensions meet each other at run grain first; the scores are joined last.
+    columns. Dimensions meet each other first, labels at the grain of run and label, of which a run
+    has few; the scores are joined last, by both keys at once, so that they are shuffled once.
     """
     scans = tables["scan_runs"].select("scan_session_id", "scan_name", F.col("tool_version").alias("nmap_version"))
     runs = tables["model_runs"].select(
@@ -94,7 +95,9 @@ def scores_wide(tables: Tables, ordered: bool = True) -> DataFrame:
         "rubric_version", "label_status",
     )
     scores = tables["scores"].withColumnsRenamed({"id": "score_id", "created_at": "scored_at"})
-    wide = scores.join(truth, "ground_truth_id").join(context, "model_run_id").select(*_WIDE_COLUMNS)
+    labelled = scores.select("model_run_id", "ground_truth_id").distinct().join(truth, "ground_truth_id")
+    dimensions = labelled.join(context, "model_run_id")
+    wide = scores.join(dimensions, ["model_run_id", "ground_truth_id"]).select(*_WIDE_COLUMNS)
     return wide.orderBy("device_code", "model_name", "model_run_id", "score_id") if ordered else wide
 
 
