@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from devident.fixed_values import CPE_FIELDS, CPE_TOKENS
-from devident.functions.text import strip
+from devident.functions.text import let, strip
 
 # prefix, known part, named vendor and product, eight more tokens
 _VALID = r"\Acpe:2\.3:[hoa]:(?!\*:)[^:]+:(?!\*:)[^:]+(?::[^:]*){8}\z"
@@ -61,21 +61,26 @@ def cpe_normalize(c: Column) -> Column:
 
     Short forms with more than eleven fields pass through over-long.
     """
-    text = strip(c)
-    tokens = _colons(text) + 1
-    long_form = (
-        F.when(tokens == CPE_TOKENS, text)
-        .when(tokens.between(5, CPE_TOKENS - 1), F.concat(text, F.repeat(F.lit(":*"), CPE_TOKENS - tokens)))
-    )
-    body = F.substr(text, F.lit(len("cpe:/") + 1))
-    fields = _colons(body) + 1
-    padding = F.greatest(F.lit(len(CPE_FIELDS)) - fields, F.lit(0))
-    short_form = F.when(
-        fields >= 3,
-        F.concat(
-            F.lit("cpe:2.3:"),
-            F.regexp_replace(body, _EMPTY_FIELD, "*"),
-            F.repeat(F.lit(":*"), padding),
-        ),
+    return let(strip(c), _normalized)
+
+
+def _normalized(text: Column) -> Column:
+    def long_form(tokens: Column) -> Column:
+        return F.when(tokens == CPE_TOKENS, text).when(
+            tokens.between(5, CPE_TOKENS - 1), F.concat(text, F.repeat(F.lit(":*"), CPE_TOKENS - tokens))
+        )
+
+    def short_form(body: Column) -> Column:
+        # few identifiers have an empty field
+        gaps = body.startswith(":") | body.endswith(":") | body.contains("::")
+        named = F.when(gaps, F.regexp_replace(body, _EMPTY_FIELD, "*")).otherwise(body)
+
+        def padded(fields: Column) -> Column:
+            padding = F.greatest(F.lit(len(CPE_FIELDS)) - fields, F.lit(0))
+            return F.when(fields >= 3, F.concat(F.lit("cpe:2.3:"), named, F.repeat(F.lit(":*"), padding)))
+
+        return let(_colons(body) + 1, padded)
+
+    return F.when(text.startswith("cpe:2.3:"), let(_colons(text) + 1, long_form)).when(
+        text.startswith("cpe:/"), let(F.substr(text, F.lit(len("cpe:/") + 1)), short_form)
     )
-    return F.when(text.startswith("cpe:2.3:"), long_form).when(text.startswith("cpe:/"), short_form)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from devident.fixed_values import CREATED_FORMAT, RUN_STAMP_FORMAT, WHITE_SPACE
@@ -12,6 +14,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def filled(c: Column) -> Column:
     """The text, or NULL when it is empty."""
     return F.nullif(c, F.lit(""))

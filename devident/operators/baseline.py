@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from devident.fixed_values import SCANNER_MODEL_NAME, STATUS_COMPLETE
@@ -19,19 +21,28 @@ def scanner_cpes(scans: DataFrame, xml: str = "xml", out: str = "cpes") -> DataF
     return documents.withColumn(out, F.array_distinct(known)).drop("doc", "malformed")
 
 
-#: slots of the filter of wanted sessions: a table of at most so many numbers
-SESSION_SLOTS = 1 << 20
+#: slots of the filter of wanted sessions, 64 to a row: a table of at most 2^20 rows
+SESSION_SLOTS = 1 << 26
 
 
 def of_sessions(scan_runs: DataFrame, sessions: DataFrame, slots: int = SESSION_SLOTS) -> DataFrame:
     """The scan runs that may belong to the sessions: a fixed-size filter, before anything is read of their documents.
 
-    Session ids are hashed to `slots` slots by one aggregation; its result can't grow beyond that, so it is broadcast, and
-    no document is moved. Few sessions let few others pass; very many let all pass, and cost no more than that.
+    Session ids are hashed to `slots` slots, 64 of them the bits of one row, by one aggregation; its result can't grow beyond
+    that, so it is broadcast, and no document is moved. A million sessions let 2 % of the others pass; very many let all
+    pass, and cost no more than that.
     """
     slot = F.pmod(F.xxhash64("scan_session_id"), F.lit(slots)).cast("int")
-    taken = sessions.select(slot.alias("_slot")).distinct()
-    return scan_runs.withColumn("_slot", slot).join(F.broadcast(taken), "_slot", "left_semi").drop("_slot")
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63))
+    taken = sessions.groupBy(word.alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_taken")
+    )
+    met = scan_runs.withColumn("_word", word).join(F.broadcast(taken), "_word")
+    return met.filter(F.getbit("_taken", bit) == 1).select(scan_runs.columns)
+
+
+#: comes before every id, as NULL does
+_BEFORE_IDS = Decimal(-(2**63) - 1)
 
 
 def session_cpes(scan_runs: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
@@ -41,33 +52,35 @@ def session_cpes(scan_runs: DataFrame, sessions: DataFrame | None = None) -> Dat
 
     Identifiers come in first-seen order by scan run. They are made distinct, with partial
     aggregation, before a session's list is built, so a list holds distinct identifiers only,
-    however many documents repeat them.
+    however many documents repeat them. So are the versions, of which the first counts.
     """
     if sessions is not None:
         scan_runs = of_sessions(scan_runs, sessions)
     full = scan_runs.select("id", "scan_session_id", "tool_version", F.nullif("stdout_text", F.lit("")).alias("xml"))
-    # each document is reduced to its identifiers and its version where it is read: no text is shuffled;
-    # outer: the filter Spark infers for a plain explode would repeat the parse, and sessions without
-    # identifiers still count
+    # each document is reduced to its version and its identifiers where it is read: no text is shuffled
+    version = F.when(F.col("xml").isNotNull(), F.col("tool_version"))
     listed = scanner_cpes(full).select(
         "scan_session_id",
-        "id",
-        F.when(F.col("xml").isNotNull() & F.col("tool_version").isNotNull(), F.struct("id", "tool_version")).alias("version"),
-        F.posexplode_outer("cpes").alias("pos", "cpe"),
+        (F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(_BEFORE_IDS)) * F.lit(2**32)).alias("place"),
+        F.concat(F.array(version), "cpes").alias("items"),
     )
-    if sessions is not None:
-        listed = listed.join(sessions.select("scan_session_id").distinct(), "scan_session_id", "left_semi")
-    first_seen = listed.groupBy("scan_session_id", "cpe").agg(
-        F.min(F.struct("id", "pos")).alias("seen"), F.min("version").alias("version")
+    if sessions is not None:  # inner: a semi join would be moved below the parse, and with it the texts
+        listed = listed.join(sessions.select("scan_session_id").distinct(), "scan_session_id")
+    # outer: the filter Spark infers for a plain explode would repeat the parse
+    items = listed.select("scan_session_id", "place", F.posexplode_outer("items").alias("pos", "item"))
+    # one number for id and position: the least of it is taken by hash, that of a struct would need a sort
+    first_seen = items.groupBy("scan_session_id", "item", (F.col("pos") == 0).alias("is_version")).agg(
+        F.min(F.col("place") + F.col("pos")).alias("seen")
     )
+    found, is_version = F.struct("seen", "item"), F.col("is_version")
     merged = first_seen.groupBy("scan_session_id").agg(
-        F.collect_list(F.when(F.col("cpe").isNotNull(), F.struct("seen", "cpe"))).alias("found"),
-        F.min("version").alias("version"),
+        F.collect_list(F.when(~is_version, found)).alias("found"),
+        F.min(F.when(is_version & F.col("item").isNotNull(), found)).alias("version"),
     )
     return merged.select(
         "scan_session_id",
-        F.transform(F.sort_array("found"), lambda s: s["cpe"]).alias("cpes"),
-        F.col("version.tool_version").alias("tool_version"),
+        F.transform(F.sort_array("found"), lambda s: s["item"]).alias("cpes"),
+        F.col("version.item").alias("tool_version"),
     )
 
 

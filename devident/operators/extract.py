@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from devident.fixed_values import NETBIOS_NAME, NETBIOS_SCRIPT
 from devident.functions.documents import to_json_text
-from devident.functions.text import filled, matched, strip
+from devident.functions.text import filled, let, matched, strip
 
 # Elements that may repeat are arrays; where only the first counts, `_first` picks it.
 _SCRIPT = "array<struct<_id string, _output string>>"
@@ -76,11 +76,6 @@ def _last(items: Column) -> Column:
     return F.try_element_at(items, F.lit(-1))
 
 
-def _let(value: Column, use) -> Column:
-    """`use(value)` with the value computed once, however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _each(items: Column) -> Column:
     """The array, or an empty one when the element is absent."""
     return F.coalesce(items, F.array())
@@ -112,7 +107,7 @@ def collect_scripts(scripts: Column) -> Column:
         last = lambda n: _last(F.filter(listed, lambda s: s["id"] == n))
         return F.when(F.size(names) == F.size(listed), listed).otherwise(F.transform(names, last))
 
-    return _let(shown, distinct)
+    return let(shown, distinct)
 
 
 def merge_scripts(pre: Column, post: Column) -> Column:

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from devident.functions.text import let
 from devident.operators import scoring
 from devident.operators.keys import with_defaults
 from devident.operators.outputs import accepted_entries
@@ -155,11 +156,13 @@ def _quoted(items: Column) -> Column:
 
 def stored_output() -> Column:
     """JSON text: a list, a single identifier, or NULL."""
-    listed = _predicted_list()
-    return (
-        F.when(F.size(listed) == 1, _text('{"cpe": ', _quoted(listed), "}"))
-        .when(F.size(listed) > 1, _text('{"cpes": [', _quoted(listed), "]}"))
-    )
+    def written(listed: Column) -> Column:
+        return (
+            F.when(F.size(listed) == 1, _text('{"cpe": ', _quoted(listed), "}"))
+            .when(F.size(listed) > 1, _text('{"cpes": [', _quoted(listed), "]}"))
+        )
+
+    return let(_predicted_list(), written)
 
 
 @lru_cache

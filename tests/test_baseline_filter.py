@@ -64,3 +64,22 @@ def test_documents_are_dealt_by_number_not_by_bytes(spark):
         assert frame.rdd.getNumPartitions() == n
     seen = with_keys(spark.range(1000).select("id", F.spark_partition_id().alias("p")), ["id"], key="k", then=lambda d: d.withColumn("at", F.spark_partition_id()))
     assert seen.select("at").distinct().count() == n and [r.k - r.id for r in seen.collect()] == [1] * 1000
+
+
+def test_very_many_sessions_still_keep_others_out(spark):
+    runs = spark.range(2_000_000).withColumnRenamed("id", "scan_session_id")
+    passed = of_sessions(runs, runs.filter("scan_session_id % 2 = 0")).groupBy((F.col("scan_session_id") % 2).alias("other")).count()
+    counts = {r.other: r["count"] for r in passed.collect()}
+    assert counts[0] == 1_000_000 and counts.get(1, 0) < 30_000
+
+
+def test_identifiers_are_merged_by_hash_in_first_seen_order(spark, rows):
+    runs = [
+        (7, 1, "b", document("v:p", "v:q")), (7, 1, "a", document("v:q", "v:r")), (None, 1, None, document("v:s", "v:r")),
+        (-2, 1, "", "<broken"), (2**40, 2, "c", None), (-(2**63), 2, "d", ""), (9, 3, "e", document()), (9, None, "f", document("v:t")),
+    ]
+    merged = session_cpes(rows(RUN, runs))
+    cut = len(":*" * 8)
+    got = {r.scan_session_id: ([c[:-cut].split(":")[-1] for c in r.cpes], r.tool_version) for r in merged.collect()}
+    assert got == {1: (["s", "r", "p", "q"], ""), 2: ([], None), 3: ([], "e"), None: (["t"], "f")}
+    assert "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()

@@ -56,3 +56,8 @@ def test_fields_come_from_one_split_and_filters_on_them_do_not_repeat_it(spark):
     assert {(r.v, r.ver) for r in picked.collect()} == {("v", "1"), (None, None)}
     plan = picked.filter("v is not null")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_normalizing_strips_once(spark):
+    frame = spark.createDataFrame([("cpe:/a:v:p",)], "c string").select(cpe_normalize(F.col("c")).alias("n"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("trim(") <= 1
