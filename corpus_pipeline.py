@@ -52,13 +52,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_configured
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose SimHash fingerprints, of three-word shingles, differ in two bits at most, the one with the smallest doc_id.
+    """Of each group of near duplicates the one with the smallest doc_id.
 
-    As in `op7_simhash`: candidates by Golay codewords, verified by their whole distance, links followed to the end.
+    Documents are linked whose SimHash fingerprints, of three-word shingles, differ in two bits at most, found as in `op7_simhash`
+    by Golay codewords, and those whose five-word shingles resemble each other by 0.8 or more; links of both kinds are followed to the end.
 
     Of rows with the same doc_id one stays; rows without a doc_id stay, as nothing tells them apart.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), simhash.TWO_BITS)
+    found = simhash.near_or_resembling(docs.select("doc_id", "text"))
     gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeated = materialize(

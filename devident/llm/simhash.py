@@ -297,24 +297,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan)
     ).select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
 
 
-def resembling(classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Links (a, b) between set ids that join all sets with a Jaccard similarity of `plan.resemblance` or more.
+def resembling(classes: DataFrame, docs: DataFrame, plan: Plan, linked: DataFrame) -> DataFrame:
+    """Links (a, b) between set ids that, with those of `linked`, join all sets with a Jaccard similarity of `plan.resemblance` or more.
 
     `classes`: set_id, rep, size, firsts. Resembling sets share one of their first elements, which are the keys. First each
-    set is compared with one set that many of its keys name, the least of each key's members. Then all pairs with a common
-    key whose members these links haven't joined are compared, in a join that a hot key's tasks share; bounds on what a
+    set is compared with one set that many of its keys name: of each key's members the one whose keys have the most members,
+    as an original has more in common with its copies than these have with each other. Then all pairs with a common
+    key whose members the links haven't joined are compared, in a join that a hot key's tasks share; bounds on what a
     pair can have in common, by sizes, places and number of common keys, only drop pairs that can't resemble each other.
     """
     r = plan.resemblance
     keyed = classes.select("set_id", "size", F.posexplode("firsts").alias("place", "key"))
-    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     shared = materialize(keyed.join(several, "key"))
-    heads = shared.groupBy("key").agg(F.min("set_id").alias("head"))
+    weights = shared.groupBy("set_id").agg(F.sum("n").alias("weight"))
+    heads = shared.join(weights, "set_id").groupBy("key").agg(F.max(F.struct("weight", "set_id"))["set_id"].alias("head"))
     named = shared.join(heads, "key").filter("set_id <> head").groupBy("set_id", "size", "head").agg(F.count("*").alias("n"))
     # a quarter of the keys; pairs with fewer in common are left to the second comparison
     first = named.filter(4 * F.col("n") >= (1 - r) * F.col("size")).groupBy("set_id").agg(F.max(F.struct("n", "head")).alias("m"))
-    easy = materialize(_verified(materialize(first.select(F.col("set_id").alias("a"), F.col("m.head").alias("b"))), docs, classes, plan))
-    joined = materialize(components(easy))
+    met = _apart(first.select(F.col("set_id").alias("a"), F.col("m.head").alias("b")), materialize(components(linked)))
+    easy = materialize(_verified(materialize(met), docs, classes, plan))
+    joined = materialize(components(easy.unionByName(linked)))
     # keys of members that aren't all joined
     member = materialize(
         shared.join(joined, shared["set_id"] == joined["node"], "left").select(
@@ -329,7 +332,7 @@ def resembling(classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     met = member.join(other, "key").filter(
         (F.col("set_id") < F.col("o_set_id")) & (F.col("component") != F.col("o_component")) & (most >= least)
     )
-    counted = met.groupBy(F.col("set_id").alias("a"), F.col("o_set_id").alias("b")).agg(F.count("*").alias("n"))
+    counted = materialize(met.groupBy(F.col("set_id").alias("a"), F.col("o_set_id").alias("b")).agg(F.count("*").alias("n")))
     known = classes.select("set_id", "size", F.size("firsts").alias("keys"), F.try_element_at("firsts", F.lit(-1)).alias("last"))
     for side in ("a", "b"):
         counted = counted.join(known.select(*[F.col(c).alias(f"{side}_{c}" if c != "set_id" else side) for c in known.columns]), side)
@@ -339,15 +342,29 @@ def resembling(classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     return easy.unionByName(_verified(materialize(able.select("a", "b")), docs, classes, plan))
 
 
-def _resembling_documents(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id and component_id by `resembling`."""
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that aren't in one component of `joined(node, component)`."""
+    for side in ("a", "b"):
+        of = joined.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+        pairs = pairs.join(of, side, "left")
+    return pairs.filter("NOT c_a <=> c_b OR c_a IS NULL").select("a", "b")
+
+
+def _resembling_documents(docs: DataFrame, plan: Plan, linked: DataFrame | None = None) -> DataFrame:
+    """doc_id and component_id by `resembling`, and by the components of `linked(doc_id, component_id)`."""
     marked = materialize(_sets(docs, plan, frequent_shingles(docs, plan)))
     classes = materialize(marked.groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("firsts").alias("firsts")
     ))
-    repeated = marked.groupBy("doc_id").agg(F.min("set_id").alias("b"), F.max("set_id").alias("m")).filter("b < m AND doc_id IS NOT NULL")
-    tied = marked.join(repeated.select("doc_id", "b"), "doc_id").select(F.col("set_id").alias("a"), "b")
-    found = materialize(components(resembling(classes.filter("rep IS NOT NULL"), docs, plan).unionByName(tied)))
+    # a doc_id with several texts ties their sets together, as a component of several documents does
+    ids = marked.select("doc_id", "set_id").filter("doc_id IS NOT NULL")
+    if linked is None:
+        ids = ids.select(F.col("doc_id").alias("group"), "set_id")
+    else:
+        ids = ids.join(linked.distinct(), "doc_id").select(F.col("component_id").alias("group"), "set_id")
+    least = ids.groupBy("group").agg(F.min("set_id").alias("b"), F.max("set_id").alias("m")).filter("b < m")
+    tied = materialize(ids.join(least, "group").filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct())
+    found = materialize(components(resembling(classes.filter("rep IS NOT NULL"), docs, plan, tied).unionByName(tied)))
     own = classes.join(found, classes["set_id"] == found["node"], "left").select(
         "set_id", "rep", F.coalesce("component", "set_id").alias("component")
     )
@@ -356,6 +373,19 @@ def _resembling_documents(docs: DataFrame, plan: Plan) -> DataFrame:
     return marked.join(named, "set_id").select("doc_id", "component_id")
 
 
+def near_or_resembling(docs: DataFrame, near: Plan = TWO_BITS, alike: Plan = RESEMBLING) -> DataFrame:
+    """doc_id and component_id of each row, as `near_duplicates` of `near`, with links of either plan followed to the end.
+
+    The fingerprints' links come first; sets that they join aren't compared.
+    """
+    linked = materialize(near_duplicates(docs, near).filter("doc_id IS NOT NULL").select("doc_id", "component_id"))
+    return _resembling_documents(_texts(docs), alike, linked)
+
+
+def _texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
 def near_duplicates(
     docs: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text", group: int = 256
 ) -> DataFrame:
@@ -367,7 +397,7 @@ def near_duplicates(
     each other, and a set of shingles stands for the fingerprint.
     """
     lanes = plan.names()
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = _texts(docs, key, text)
     if plan.resemblance is not None:
         return _resembling_documents(docs, plan).withColumnRenamed("doc_id", key)
     marked = materialize(fingerprints(docs, plan))

@@ -24,6 +24,9 @@ RUNTIME_SETTINGS = {
 #: much: stored tables are compressed, exploded rows aren't counted, and a query has several joins at once.
 BROADCAST_BYTES = 256 << 10
 
+#: removes a run's shuffle files when it ends, instead of when the driver's memory is next collected
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session and return it. A lower limit of the session's own on broadcasts stays."""
@@ -67,8 +70,14 @@ def materialize(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet to the shared folder and read from there.
 
     Cuts the lineage: what follows neither repeats the work above nor depends on an executor that
-    did it, and each later pass reads only the columns it needs.
+    did it, and each later pass reads only the columns it needs. The shuffle files behind it go once
+    it is written; the plan that wrote it is never run again.
     """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    given = spark.conf.get(_SHUFFLE_CLEANUP)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, given)
+    return spark.read.schema(df.schema).parquet(path)

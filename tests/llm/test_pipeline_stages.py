@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from devident.llm.simhash import RESEMBLING, near_duplicates
+from tests.llm.test_simhash import brute_print
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -70,6 +71,34 @@ def test_near_duplicates_by_fingerprint(spark, rows):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()) == [1, 3]
 
 
+def test_near_duplicates_by_fingerprint_and_resemblance(spark, rows):
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(3000)]
+    docs = []
+    for g in range(40):
+        base = rng.choices(vocabulary, k=300)
+        copy = list(base)
+        for at in rng.sample(range(300), 1 + g % 8):
+            copy[at] = rng.choice(vocabulary)
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    line = "a b c " * 50
+    docs += [(100, line), (101, line + "x")]
+    # the first of these is near in bits to 100, as the second is alike in words to the first
+    long = "a b c " * 9 + "x"
+    docs += [(90, long), (91, long + " y")]
+    sets, prints = {d: five(t) for d, t in docs}, {d: brute_print(t) for d, t in docs}
+    by_set = {(a, b) for a in sets for b in sets if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    by_print = {(a, b) for a in sets for b in sets if (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert len(by_set - by_print) >= 20 and by_print - by_set
+    label = {d: d for d in sets}
+    for _ in range(4):
+        for a, b in by_set | by_print:
+            label[a] = label[b] = min(label[a], label[b])
+    frame = rows(COLUMNS, [(d, t, "en", "s", len(t)) for d, t in docs])
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, SF_DIR).collect())
+    assert kept == sorted(set(label.values()))
+
+
 def test_run(spark):
     packed = corpus_pipeline.run(spark, SF_DIR).collect()
     by = {}
