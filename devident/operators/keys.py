@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from devident.functions.text import created_stamp
 from devident.schemas import NOW_DEFAULTS, TABLES, TEXT_DEFAULTS
-from devident.session import materialize, shuffle_partitions
+from devident.session import held, materialize, shuffle_partitions
 
 # monotonically_increasing_id() keeps the partition above this bit
 _ROW_BITS = 33
@@ -28,9 +28,11 @@ def with_keys(
     does not repeat the work behind it. `then` is applied to the ordered rows before they are numbered: heavy
     work on each row, possibly dropping rows, that is done once and after the exchange. It must keep the order.
     """
-    ranged = (materialize(df) if costly else df).repartitionByRange(shuffle_partitions(df.sparkSession), *order_by).sortWithinPartitions(*order_by)
-    ranged = then(ranged) if then else ranged
-    placed = materialize(ranged.withColumn("_place", F.monotonically_increasing_id())).withColumns(
+    with held() as hold:
+        ranged = (hold(df) if costly else df).repartitionByRange(shuffle_partitions(df.sparkSession), *order_by).sortWithinPartitions(*order_by)
+        ranged = then(ranged) if then else ranged
+        placed = materialize(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumns(
         {
             "_part": F.shiftright(F.col("_place"), _ROW_BITS),
             "_row": F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from devident.fixed_values import NO_TIER
 from devident.operators.joins import outer_to_many
-from devident.session import materialize
+from devident.session import held, materialize
 
 Tables = Mapping[str, DataFrame]
 
@@ -77,6 +77,8 @@ def scores_wide(tables: Tables, ordered: bool = True) -> DataFrame:
     A session with several scan runs repeats its scores; one without keeps them with NULL scan
     columns. Dimensions meet each other first, labels at the grain of run and label, of which a run
     has few; the scores are joined last, by both keys at once, so that they are shuffled once.
+    To be ordered the dimensions and then the joined rows are written down first: the files of a step
+    go before the sort makes its own, and its sampling doesn't repeat the joins.
     """
     scans = tables["scan_runs"].select("scan_session_id", "scan_name", F.col("tool_version").alias("nmap_version"))
     runs = tables["model_runs"].select(
@@ -97,8 +99,15 @@ def scores_wide(tables: Tables, ordered: bool = True) -> DataFrame:
     scores = tables["scores"].withColumnsRenamed({"id": "score_id", "created_at": "scored_at"})
     labelled = scores.select("model_run_id", "ground_truth_id").distinct().join(truth, "ground_truth_id")
     dimensions = labelled.join(context, "model_run_id")
-    wide = scores.join(dimensions, ["model_run_id", "ground_truth_id"]).select(*_WIDE_COLUMNS)
-    return wide.orderBy("device_code", "model_name", "model_run_id", "score_id") if ordered else wide
+
+    def joined(dimensions: DataFrame) -> DataFrame:
+        return scores.join(dimensions, ["model_run_id", "ground_truth_id"]).select(*_WIDE_COLUMNS)
+
+    if not ordered:
+        return joined(dimensions)
+    with held() as hold:
+        wide = materialize(joined(hold(dimensions)))
+    return wide.orderBy("device_code", "model_name", "model_run_id", "score_id")
 
 
 def _per_run(grouped, score_key: str) -> DataFrame:

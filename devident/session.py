@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +68,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/devident-{uuid.uuid4().hex}"
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    given = spark.conf.get(_SHUFFLE_CLEANUP)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, given)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet to the shared folder and read from there.
 
@@ -73,11 +86,25 @@ def materialize(df: DataFrame) -> DataFrame:
     did it, and each later pass reads only the columns it needs. The shuffle files behind it go once
     it is written; the plan that wrote it is never run again.
     """
-    spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    given = spark.conf.get(_SHUFFLE_CLEANUP)
-    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    return _write(df, shared_folder(df.sparkSession))
+
+
+@contextmanager
+def held() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A `materialize` whose tables are deleted at the end of the block.
+
+    What leaves the block must not read them any more, so it is written by then.
+    """
+    written = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        path = shared_folder(df.sparkSession)
+        written.append((df.sparkSession, path))
+        return _write(df, path)
+
     try:
-        df.write.parquet(path)
+        yield hold
     finally:
-        spark.conf.set(_SHUFFLE_CLEANUP, given)
-    return spark.read.schema(df.schema).parquet(path)
+        for spark, path in written:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
