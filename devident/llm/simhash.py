@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from devident.llm import golay
 from devident.llm.components import components
 from devident.llm.text import utf8, words
-from devident.session import materialize
+from devident.session import held, materialize
 
 #: odd multipliers that derive further 64-bit hashes from the first
 _MIX = tuple(np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -266,10 +266,8 @@ def _sets(docs: DataFrame, plan: Plan, frequent: np.ndarray) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """Those of the pairs (a, b) of set ids whose sets resemble each other, compared as a whole."""
+    """Those of the pairs (a, b) of set ids whose sets resemble each other, compared as a whole, written down."""
     ids = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = materialize(classes.join(ids, "set_id").select("set_id", "rep"))
-
     def sets(batches):
         for batch in _small(batches):
             own = [shingle_set(shingle_hashes(t, plan.shingle)) for t in utf8(batch.column("text"))]
@@ -277,11 +275,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan)
                 [pa.array([_set_id(x) for x in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["set_id", "own"]
             )
 
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # a doc_id with several texts gives sets of its own, and some twice
-    known = texts.select("text").mapInArrow(sets, "set_id long, own array<long>").join(wanted.select("set_id"), "set_id", "left_semi")
-    known = materialize(known.groupBy("set_id").agg(F.any_value("own").alias("own")))
-
     def run(batches):
         for batch in batches:
             left, right = (batch.column(c) for c in ("own_a", "own_b"))
@@ -292,9 +285,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan)
                 kept.append(both / (len(x) + len(y) - both) >= plan.resemblance)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.join(known.select(F.col("set_id").alias("a"), F.col("own").alias("own_a")), "a").join(
-        known.select(F.col("set_id").alias("b"), F.col("own").alias("own_b")), "b"
-    ).select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
+    with held() as hold:
+        wanted = hold(classes.join(ids, "set_id").select("set_id", "rep"))
+        texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        # a doc_id with several texts gives sets of its own, and some twice
+        known = texts.select("text").mapInArrow(sets, "set_id long, own array<long>").join(wanted.select("set_id"), "set_id", "left_semi")
+        known = hold(known.groupBy("set_id").agg(F.any_value("own").alias("own")))
+        both = pairs.join(known.select(F.col("set_id").alias("a"), F.col("own").alias("own_a")), "a").join(
+            known.select(F.col("set_id").alias("b"), F.col("own").alias("own_b")), "b"
+        )
+        return materialize(both.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long"))
 
 
 def resembling(classes: DataFrame, docs: DataFrame, plan: Plan, linked: DataFrame) -> DataFrame:
@@ -307,39 +307,40 @@ def resembling(classes: DataFrame, docs: DataFrame, plan: Plan, linked: DataFram
     pair can have in common, by sizes, places and number of common keys, only drop pairs that can't resemble each other.
     """
     r = plan.resemblance
-    keyed = classes.select("set_id", "size", F.posexplode("firsts").alias("place", "key"))
-    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = materialize(keyed.join(several, "key"))
-    weights = shared.groupBy("set_id").agg(F.sum("n").alias("weight"))
-    heads = shared.join(weights, "set_id").groupBy("key").agg(F.max(F.struct("weight", "set_id"))["set_id"].alias("head"))
-    named = shared.join(heads, "key").filter("set_id <> head").groupBy("set_id", "size", "head").agg(F.count("*").alias("n"))
-    # a quarter of the keys; pairs with fewer in common are left to the second comparison
-    first = named.filter(4 * F.col("n") >= (1 - r) * F.col("size")).groupBy("set_id").agg(F.max(F.struct("n", "head")).alias("m"))
-    met = _apart(first.select(F.col("set_id").alias("a"), F.col("m.head").alias("b")), materialize(components(linked)))
-    easy = materialize(_verified(materialize(met), docs, classes, plan))
-    joined = materialize(components(easy.unionByName(linked)))
-    # keys of members that aren't all joined
-    member = materialize(
-        shared.join(joined, shared["set_id"] == joined["node"], "left").select(
-            "key", "set_id", "size", "place", F.coalesce("component", "set_id").alias("component")
+    with held() as hold:
+        keyed = classes.select("set_id", "size", F.posexplode("firsts").alias("place", "key"))
+        several = hold(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        shared = hold(keyed.join(several, "key"))
+        weights = shared.groupBy("set_id").agg(F.sum("n").alias("weight"))
+        heads = shared.join(weights, "set_id").groupBy("key").agg(F.max(F.struct("weight", "set_id"))["set_id"].alias("head"))
+        named = shared.join(heads, "key").filter("set_id <> head").groupBy("set_id", "size", "head").agg(F.count("*").alias("n"))
+        # a quarter of the keys; pairs with fewer in common are left to the second comparison
+        first = named.filter(4 * F.col("n") >= (1 - r) * F.col("size")).groupBy("set_id").agg(F.max(F.struct("n", "head")).alias("m"))
+        met = _apart(first.select(F.col("set_id").alias("a"), F.col("m.head").alias("b")), hold(components(linked)))
+        easy = _verified(hold(met), docs, classes, plan)
+        joined = hold(components(easy.unionByName(linked)))
+        # keys of members that aren't all joined
+        member = hold(
+            shared.join(joined, shared["set_id"] == joined["node"], "left").select(
+                "key", "set_id", "size", "place", F.coalesce("component", "set_id").alias("component")
+            )
         )
-    )
-    open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    member = materialize(member.join(open_.select("key"), "key"))
-    other = member.select("key", *[F.col(c).alias(f"o_{c}") for c in ("set_id", "size", "place", "component")])
-    least = F.lit(r / (1 + r)) * (F.col("size") + F.col("o_size")) - 1e-6
-    most = F.least("place", "o_place") + F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place"))
-    met = member.join(other, "key").filter(
-        (F.col("set_id") < F.col("o_set_id")) & (F.col("component") != F.col("o_component")) & (most >= least)
-    )
-    counted = materialize(met.groupBy(F.col("set_id").alias("a"), F.col("o_set_id").alias("b")).agg(F.count("*").alias("n")))
-    known = classes.select("set_id", "size", F.size("firsts").alias("keys"), F.try_element_at("firsts", F.lit(-1)).alias("last"))
-    for side in ("a", "b"):
-        counted = counted.join(known.select(*[F.col(c).alias(f"{side}_{c}" if c != "set_id" else side) for c in known.columns]), side)
-    # all elements up to the lesser last key are counted
-    rest = F.when(F.col("a_last") <= F.col("b_last"), F.col("a_size") - F.col("a_keys")).otherwise(F.col("b_size") - F.col("b_keys"))
-    able = counted.filter(F.col("n") + rest >= F.lit(r / (1 + r)) * (F.col("a_size") + F.col("b_size")) - 1e-6)
-    return easy.unionByName(_verified(materialize(able.select("a", "b")), docs, classes, plan))
+        open_ = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        member = hold(member.join(open_.select("key"), "key"))
+        other = member.select("key", *[F.col(c).alias(f"o_{c}") for c in ("set_id", "size", "place", "component")])
+        least = F.lit(r / (1 + r)) * (F.col("size") + F.col("o_size")) - 1e-6
+        most = F.least("place", "o_place") + F.least(F.col("size") - F.col("place"), F.col("o_size") - F.col("o_place"))
+        met = member.join(other, "key").filter(
+            (F.col("set_id") < F.col("o_set_id")) & (F.col("component") != F.col("o_component")) & (most >= least)
+        )
+        counted = hold(met.groupBy(F.col("set_id").alias("a"), F.col("o_set_id").alias("b")).agg(F.count("*").alias("n")))
+        known = classes.select("set_id", "size", F.size("firsts").alias("keys"), F.try_element_at("firsts", F.lit(-1)).alias("last"))
+        for side in ("a", "b"):
+            counted = counted.join(known.select(*[F.col(c).alias(f"{side}_{c}" if c != "set_id" else side) for c in known.columns]), side)
+        # all elements up to the lesser last key are counted
+        rest = F.when(F.col("a_last") <= F.col("b_last"), F.col("a_size") - F.col("a_keys")).otherwise(F.col("b_size") - F.col("b_keys"))
+        able = counted.filter(F.col("n") + rest >= F.lit(r / (1 + r)) * (F.col("a_size") + F.col("b_size")) - 1e-6)
+        return easy.unionByName(_verified(hold(able.select("a", "b")), docs, classes, plan))
 
 
 def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
@@ -352,25 +353,26 @@ def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
 
 def _resembling_documents(docs: DataFrame, plan: Plan, linked: DataFrame | None = None) -> DataFrame:
     """doc_id and component_id by `resembling`, and by the components of `linked(doc_id, component_id)`."""
-    marked = materialize(_sets(docs, plan, frequent_shingles(docs, plan)))
-    classes = materialize(marked.groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("firsts").alias("firsts")
-    ))
-    # a doc_id with several texts ties their sets together, as a component of several documents does
-    ids = marked.select("doc_id", "set_id").filter("doc_id IS NOT NULL")
-    if linked is None:
-        ids = ids.select(F.col("doc_id").alias("group"), "set_id")
-    else:
-        ids = ids.join(linked.distinct(), "doc_id").select(F.col("component_id").alias("group"), "set_id")
-    least = ids.groupBy("group").agg(F.min("set_id").alias("b"), F.max("set_id").alias("m")).filter("b < m")
-    tied = materialize(ids.join(least, "group").filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct())
-    found = materialize(components(resembling(classes.filter("rep IS NOT NULL"), docs, plan, tied).unionByName(tied)))
-    own = classes.join(found, classes["set_id"] == found["node"], "left").select(
-        "set_id", "rep", F.coalesce("component", "set_id").alias("component")
-    )
-    least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = materialize(own.join(least, "component").select("set_id", "component_id"))
-    return marked.join(named, "set_id").select("doc_id", "component_id")
+    with held() as hold:
+        marked = hold(_sets(docs, plan, frequent_shingles(docs, plan)))
+        classes = hold(marked.groupBy("set_id").agg(
+            F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("firsts").alias("firsts")
+        ))
+        # a doc_id with several texts ties their sets together, as a component of several documents does
+        ids = marked.select("doc_id", "set_id").filter("doc_id IS NOT NULL")
+        if linked is None:
+            ids = ids.select(F.col("doc_id").alias("group"), "set_id")
+        else:
+            ids = ids.join(linked.distinct(), "doc_id").select(F.col("component_id").alias("group"), "set_id")
+        least = ids.groupBy("group").agg(F.min("set_id").alias("b"), F.max("set_id").alias("m")).filter("b < m")
+        tied = hold(ids.join(least, "group").filter("set_id <> b").select(F.col("set_id").alias("a"), "b").distinct())
+        found = hold(components(resembling(classes.filter("rep IS NOT NULL"), docs, plan, tied).unionByName(tied)))
+        own = classes.join(found, classes["set_id"] == found["node"], "left").select(
+            "set_id", "rep", F.coalesce("component", "set_id").alias("component")
+        )
+        least = own.groupBy("component").agg(F.min("rep").alias("component_id"))
+        named = hold(own.join(least, "component").select("set_id", "component_id"))
+        return materialize(marked.join(named, "set_id").select("doc_id", "component_id"))
 
 
 def near_or_resembling(docs: DataFrame, near: Plan = TWO_BITS, alike: Plan = RESEMBLING) -> DataFrame:
@@ -378,8 +380,9 @@ def near_or_resembling(docs: DataFrame, near: Plan = TWO_BITS, alike: Plan = RES
 
     The fingerprints' links come first; sets that they join aren't compared.
     """
-    linked = materialize(near_duplicates(docs, near).filter("doc_id IS NOT NULL").select("doc_id", "component_id"))
-    return _resembling_documents(_texts(docs), alike, linked)
+    with held() as hold:
+        linked = hold(near_duplicates(docs, near).filter("doc_id IS NOT NULL").select("doc_id", "component_id"))
+        return _resembling_documents(_texts(docs), alike, linked)
 
 
 def _texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
